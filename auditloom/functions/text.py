@@ -68,13 +68,14 @@ def hit_count_sql(text: str, lowered: str, rule: Rule) -> str:
     return f"CASE WHEN {' AND '.join(tests)} THEN {count} ELSE 0 END" if tests else count
 
 
-def computed_once(df: DataFrame, name: str, sql: str) -> DataFrame:
+def computed_once(df: DataFrame, name: str, value: Column | str) -> DataFrame:
     """Add a costly column so that filters on it are not rewritten into copies of its expression.
 
     The optimizer pushes a filter below a projection by substituting the expression; a one-element
     explode is not passed, so the value is computed once and then filtered.
     """
-    return df.select("*", F.expr(f"explode(array({sql}))").alias(name))
+    value = F.expr(value) if isinstance(value, str) else value
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def file_name(path: Column) -> Column:

@@ -40,12 +40,22 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def whole_json(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Add ``name``: the one JSON value a text consists of, as VARIANT, else null.
+
+    The parser stops after a first value; inside brackets, text after it gives a second item or an error.
+    """
+    listed = T.computed_once(df, "_list", _get(F.try_parse_json(
+        F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"))
+    return listed.withColumn(name, F.when(F.size("_list") == 1, F.get("_list", 0))).drop("_list")
+
+
 def parsed(responses: DataFrame) -> DataFrame:
     """Add ``v``: the JSON object of the response as VARIANT, null if there is none or it is empty."""
-    v = F.try_parse_json(json_block(F.col("raw")))
-    return responses.withColumn("v", v).withColumn(
-        "v", F.when(_kind(F.col("v")).startswith("OBJECT<") & (_kind(F.col("v")) != "OBJECT<>"),
-                    F.col("v")))
+    one = whole_json(responses, "_one", json_block(F.col("raw")))
+    kind = _kind(F.col("_one"))
+    return one.withColumn("v", F.when(kind.startswith("OBJECT<") & (kind != "OBJECT<>"),
+                                      F.col("_one"))).drop("_one")
 
 
 def lenient(responses: DataFrame) -> DataFrame:
@@ -80,12 +90,12 @@ def finding_items(responses: DataFrame) -> DataFrame:
     Root array; ``findings`` array; ``findings`` as a string holding an array; one object with
     ``is_vulnerable``.
     """
-    p = responses.withColumn("_v", F.try_parse_json(F.trim("raw")))
+    p = whole_json(responses, "_v", F.trim("raw"))
     p = p.withColumn("_k", _kind(F.col("_v"))).withColumn(
         "_f", F.when(F.col("_k").startswith("OBJECT"), _get(F.col("_v"), "$.findings", "variant")))
     p = p.withColumn("_fk", _kind(F.col("_f")))
     text = F.when(F.col("_fk") == "STRING", _get(F.col("_v"), "$.findings", "string"))
-    p = p.withColumn("_s", F.when(F.trim(text).startswith("["), F.try_parse_json(text)))
+    p = whole_json(p, "_s", F.when(F.trim(text).startswith("["), text))
     as_list = F.when(F.col("_fk").startswith("ARRAY"), _get(F.col("_f"), "$", "array<variant>"))
     from_text = F.when(_kind(F.col("_s")).startswith("ARRAY"), _get(F.col("_s"), "$", "array<variant>"))
     single = F.col("_k").startswith("OBJECT") & _get(
@@ -98,7 +108,8 @@ def finding_items(responses: DataFrame) -> DataFrame:
              .when(single, "single").otherwise("empty"))
     items = (F.when(root, _get(F.col("_v"), "$", "array<variant>")).when(filled, listed)
              .when(single, F.array("_v")).otherwise(F.array().cast("array<variant>")))
-    return p.select(*responses.columns, shape.alias("shape"), items.alias("items"))
+    return T.computed_once(p.withColumn("shape", shape), "items", items).select(
+        *responses.columns, "shape", "items")
 
 
 def confirmed_findings(items: DataFrame) -> DataFrame:
@@ -196,7 +207,7 @@ LITERAL_LINE = r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*\s*=|return)\s*(?:\"[^\"]*\"|'[^']
 
 def literal_line(code: Column, line_number: Column) -> Column:
     """The reported line of the file assigns or returns a string literal."""
-    return F.coalesce(F.try_element_at(T.split_lines(code), line_number).rlike(LITERAL_LINE), F.lit(False))
+    return F.coalesce(F.get(T.split_lines(code), line_number - 1).rlike(LITERAL_LINE), F.lit(False))
 
 
 # Reasons and texts of forced verdicts, in the order they are tried.
@@ -250,7 +261,7 @@ def override(responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
               .when(reject & F.col("_line").isNull(), "missing_source_line")
               .when(reject & literal, "literal_string_source")
               .when(reject & T.contains_any("_said", R.PROXIMITY_WORDS), "proximity_argument_detected"))
-    p = p.withColumn("override_reason", reason)
+    p = T.computed_once(p, "override_reason", reason)
     forced = T.lookup(F.col("override_reason"), FORCED_TEXT, "")
     own = F.when(F.col("_why") != "", F.col("_why")).otherwise(
         F.trim(F.substring_index("raw", "{", 1)))
@@ -289,7 +300,7 @@ def repair_lines(found: DataFrame, files: DataFrame) -> DataFrame:
     else the reported line.  ``found`` has line_number and snippet."""
     snippet = F.trim(F.regexp_replace("snippet", r"^[0-9]+\s*\|\s*", ""))
     j = found.join(files.select("path", F.col("code").alias("_code")), "path").withColumn("_s", snippet)
-    reported = F.try_element_at(T.split_lines(F.col("_code")), F.col("line_number"))
+    reported = F.get(T.split_lines(F.col("_code")), F.col("line_number") - 1)
     here = F.coalesce((F.col("line_number") >= 1) & F.trim(reported).contains(F.col("_s")), F.lit(False))
     at = F.expr("locate(_s, _code)")
     line = F.size(T.split_lines(F.substring(F.col("_code"), F.lit(1), at - 1)))
@@ -333,8 +344,9 @@ def checked(responses: DataFrame) -> DataFrame:
         F.when(unsure, "Invalid confidence value (must be 0.0-1.0)")))
     complete = F.size(absent) == 0
     fixed = F.when(complete, F.when(quiet | harmless, "NONE").when(listed, "LOW").when(no_input, "HIGH"))
+    p = T.computed_once(p, "errors", F.when(complete, logic).otherwise(absent))
     return p.select(
-        "response_id", "path", *FIELDS, F.when(complete, logic).otherwise(absent).alias("errors"),
+        "response_id", "path", *FIELDS, "errors",
         F.coalesce(fixed, F.col("severity")).alias("corrected_severity"),
         F.when(complete & unsure, 0.5).otherwise(F.col("confidence")).alias("corrected_confidence"))
 
@@ -395,7 +407,7 @@ NAMED = r"(?i)(?:Rule\s*#?(\d+)[:\s]+([A-Z_]+)|violates?\s+[\"']?([^\"'\n.]+)[\"
 
 
 def _groups(text: Column, pattern: str) -> Column:
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), g).alias(f"g{g}") for g in (1, 2, 3)])
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), g) for g in (1, 2, 3)])
 
 
 def citations(notes: DataFrame) -> DataFrame:
@@ -409,7 +421,7 @@ def citations(notes: DataFrame) -> DataFrame:
     first = F.size("_a") > 0
     rows = both.select("response_id", "project", "path", first.alias("_cited"),
                        F.posexplode(F.when(first, F.col("_a")).otherwise(F.col("_b"))).alias("seq", "m"))
-    num, name, what = F.trim("m.0"), F.trim("m.1"), F.trim("m.2")
+    num, name, what = (F.trim(F.col("m")[g]) for g in ("0", "1", "2"))
     rule_id = F.when(num != "", F.concat(F.lit("#"), num)).otherwise(
         F.when(F.col("_cited"), "SYSTEM_RULES").otherwise(""))
     return rows.select("response_id", "project", "path", "seq", rule_id.alias("rule_id"),
