@@ -122,7 +122,7 @@ def trailing_usage(calls: DataFrame, seconds: int = 60) -> DataFrame:
     Every call is also copied into the next time bucket, so the window runs per (key, bucket) and a busy
     key is split over many tasks.
     """
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     width = seconds * 1_000_000
     bucket = F.floor(us / width).cast("bigint")
     copied = calls.withColumns({"_us": us, "_b": F.explode(F.array(bucket, bucket + 1))}).withColumn(
@@ -163,11 +163,9 @@ def detected_limits(probes: DataFrame, current_rpm: int, current_tpm: int) -> Da
     goes up from the current one.
     """
     def first(*words: str) -> Column:
-        hits = F.filter(F.map_entries("headers"), lambda e: T.any_of([~e["key"].ilike(f"%{w}%")
-                                                                      for w in words]) == F.lit(False))
-        numbers = T.compact(F.transform(hits, lambda e: F.try_to_number(
-            F.trim(e["value"]), F.lit("999999999999")).cast("bigint")))
-        return F.try_element_at(numbers, F.lit(1))
+        named = " AND ".join(f"contains(lower(e.key), {T.lit(w)})" for w in words)
+        return F.expr(f"get(filter(transform(filter(map_entries(headers), e -> {named}), "
+                      "e -> try_cast(trim(e.value) AS bigint)), n -> n IS NOT NULL), 0)")
     minute = first("ratelimit", "request", "limit", "minute")
     daily = first("ratelimit", "request", "limit")
     rpm = F.coalesce(F.when(minute != 0, minute), F.floor(daily / 1440).cast("bigint"))
@@ -236,7 +234,7 @@ def token_waits(calls: DataFrame, tpm: int, pause: float = 30.0) -> DataFrame:
     group is held in memory.
     """
     gap_us = int(max(60.0, pause) * 1_000_000)
-    timed = calls.withColumn("_us", F.unix_micros("ts"))
+    timed = calls.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     hour = F.floor(F.col("_us") / 3_600_000_000)
     prev = with_previous(timed, ["key"], hour, F.struct("_us", "call_id"), ["_us"])
     fresh = F.when(F.col("prev__us").isNull() | (F.col("_us") - F.col("prev__us") >= gap_us), 1).otherwise(0)
