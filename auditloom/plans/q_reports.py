@@ -79,7 +79,7 @@ def mg3(spark, sf):
 @query("mg4_file_verdicts", ctes("code_files", extra=_MERGE | {
     "t": f"""SELECT path, count(*) AS n, arg_min(rule_id || ' on line ' || CAST(line_number AS varchar), ({_RANK}, layer_order, seq)) AS top,
 string_agg(DISTINCT source_layer, ' + ' ORDER BY source_layer) AS found_in FROM kept GROUP BY path"""}) + """
-SELECT c.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS drift_score,
+SELECT c.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, CAST(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS double) AS drift_score,
 coalesce(n, 0) AS n_violations, CASE WHEN n > 0 THEN '[' || found_in || '] ' || CAST(n AS varchar) || ' violation(s) found. Most severe: '
 || top || '.' ELSE 'All layers cleared. No violations found.' END AS reasoning FROM code_files c LEFT JOIN t ON t.path = c.path""")
 def mg4(spark, sf):
@@ -134,7 +134,7 @@ def mg8(spark, sf):
 
 
 @query("mg9_void_findings", ctes("reasons") + """SELECT response_id, CASE WHEN verdict = 'ACCEPT' AND score < 0.1 THEN 0
-ELSE len(string_split(reasoning, ' ')) END AS n_violations FROM (SELECT response_id, verdict, reasoning,
+ELSE CAST(len(string_split(reasoning, ' ')) AS integer) END AS n_violations FROM (SELECT response_id, verdict, reasoning,
 CASE verdict WHEN 'ACCEPT' THEN score - 0.1 ELSE score END AS score FROM reasons)""")
 def mg9(spark, sf):
     r = bind(spark, sf, "reasons").selectExpr(
@@ -239,7 +239,7 @@ _V2 = ["case_id", "CASE WHEN lang <> 'en' THEN 'REJECT' ELSE 'ACCEPT' END AS act
 @query("ev7_compare_versions", ctes("truth", extra={
     "a": f"SELECT {', '.join(_V1)} FROM truth", "b": f"SELECT {', '.join(_V2)} FROM truth"}) + """
 SELECT a.case_id, a.action AS v1_action, b.action AS v2_action, a.action <> b.action AS action_changed,
-round(b.drift_score - a.drift_score, 6) AS score_delta, a.n_violations AS v1_violations, b.n_violations AS v2_violations,
+CAST(round(b.drift_score - a.drift_score, 6) AS double) AS score_delta, a.n_violations AS v1_violations, b.n_violations AS v2_violations,
 array_to_string(list_filter([CASE WHEN a.action = 'REJECT' AND b.action = 'ACCEPT' THEN 'Reduced false positive' END,
 CASE WHEN round(b.drift_score - a.drift_score, 6) < -0.2 THEN 'Significantly lower risk score' END,
 CASE WHEN b.exploitability = 'none' THEN 'Correctly identified no exploitability' END,

@@ -70,7 +70,7 @@ WHERE json_type(i) = 'OBJECT' AND json_type(i, '$.is_vulnerable') = 'BOOLEAN' AN
 
 
 @query("rs3_findings_shapes", ctes("reviews", extra=_ITEMS) + """
-SELECT i.response_id, i.path, i.shape, coalesce(n, 0) AS n_findings,
+SELECT i.response_id, i.path, i.shape, CAST(coalesce(n, 0) AS integer) AS n_findings,
 CASE WHEN coalesce(n, 0) > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS action
 FROM items i LEFT JOIN (SELECT response_id, count(*) AS n FROM sure GROUP BY 1) s ON s.response_id = i.response_id""")
 def rs3(spark, sf):
@@ -135,7 +135,7 @@ WHEN verdict = 'REJECT' AND (starts_with(expr, '"') OR starts_with(expr, '''') O
   OR coalesce(regexp_matches(list_extract(string_split(code, chr(10)), line), {text(P.LITERAL_LINE)}), false)) THEN 'literal_string_source'
 WHEN verdict = 'REJECT' AND {_near("lower(why || ' ' || coalesce(block, ''))")} THEN 'proximity_argument_detected' END AS override_reason FROM r""",
     "final": f"""SELECT response_id, path, CASE WHEN override_reason IS NOT NULL THEN 'ACCEPT' ELSE verdict END AS verdict,
-CASE WHEN override_reason IS NULL AND verdict = 'REJECT' THEN 1.0 ELSE 0.0 END AS score, override_reason,
+CAST(CASE WHEN override_reason IS NULL AND verdict = 'REJECT' THEN 1.0 ELSE 0.0 END AS double) AS score, override_reason,
 CASE WHEN override_reason IS NOT NULL THEN replace({case('override_reason', {k: text(v) for k, v in P.FORCED_TEXT.items()}, "''")},
 '{{}}', coalesce(CAST(line AS varchar), '')) WHEN why <> '' THEN why ELSE trim(string_split(raw, '{{')[1]) END AS reasoning FROM o""",
 }
@@ -156,8 +156,8 @@ def rs9(spark, sf):
 
 
 @query("rs11_line_validity", ctes("reviews", "doc_files", extra=_ITEMS) + """
-SELECT s.response_id, s.seq, s.line_number, len(string_split(d.code, chr(10))) - CASE WHEN d.code = '' OR d.code LIKE '%' || chr(10)
-THEN 1 ELSE 0 END AS n_lines, coalesce(s.line_number BETWEEN 1 AND len(string_split(d.code, chr(10)))
+SELECT s.response_id, s.seq, s.line_number, CAST(len(string_split(d.code, chr(10))) - CASE WHEN d.code = '' OR d.code LIKE '%' || chr(10)
+THEN 1 ELSE 0 END AS integer) AS n_lines, coalesce(s.line_number BETWEEN 1 AND len(string_split(d.code, chr(10)))
  - CASE WHEN d.code = '' OR d.code LIKE '%' || chr(10) THEN 1 ELSE 0 END, false) AS valid_line
 FROM sure s JOIN doc_files d ON d.path = s.path""")
 def rs11(spark, sf):
