@@ -206,8 +206,7 @@ class Bucket:
             return -1.0
         if now < self.paused_until:
             return self.paused_until - now
-        passed = 0.0 if self.last is None else max(0.0, now - self.last)
-        self.tokens = min(float(self.tpm), self.tokens + passed * self.tpm / 60.0)
+        self.tokens = self.available(now)
         start = now if self.last is None or not self.strict else max(now, self.last)
         if self.tokens >= wanted:
             self.tokens -= wanted
@@ -218,6 +217,11 @@ class Bucket:
         self.last = now + wait if self.strict else now
         return wait
 
+    def available(self, now: float) -> float:
+        """Tokens at a time, with what has come in since the last refill."""
+        passed = 0.0 if self.last is None else max(0.0, now - self.last)
+        return min(float(self.tpm), self.tokens + passed * self.tpm / 60.0)
+
     def settle(self, now: float, estimated: float, actual: float, status: int, pause: float = 30.0) -> None:
         """After the answer: refund an over-estimate; a 429 pauses the key."""
         if status == 429:
@@ -258,6 +262,6 @@ def token_waits(calls: DataFrame, tpm: int, pause: float = 30.0) -> DataFrame:
                 if wait >= 0.0:
                     bucket.settle(now, est, act, status, pause)
                 waits.append(wait)
-                left.append(bucket.tokens)
+                left.append(bucket.available(now))
             yield pdf[names].assign(wait_seconds=waits, tokens_left=left)
     return ordered.mapInPandas(walk, schema)

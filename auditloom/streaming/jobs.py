@@ -144,7 +144,7 @@ class BucketProcessor(StatefulProcessor):
             wait = bucket.consume(now, est)
             if wait >= 0.0:
                 bucket.settle(now, est, act, status, self.pause)
-            out.append((key[0], call_id, ts, wait, bucket.tokens))
+            out.append((key[0], call_id, ts, wait, bucket.available(now)))
         self.state.update((float(bucket.tokens), bucket.last if bucket.last is not None else -1e18,
                            float(bucket.paused_until)))
         yield pd.DataFrame(out, columns=["key", "call_id", "ts", "wait_seconds", "tokens_left"])
