@@ -59,12 +59,29 @@ def explode_lines(files: DataFrame, *keep: str, text: str = "code") -> DataFrame
         *keep, (F.col("_pos") + 1).alias("line_no"), "line")
 
 
-def hit_count_sql(text: str, lowered: str, rule: Rule) -> str:
-    """Non-overlapping matches of a rule; the regex runs only on texts that can match."""
+# Characters whose presence is tested once per text and shared by all rules that need them.
+SHARED_MARKS = {"(": "_has_paren", "=": "_has_equals", "_": "_has_underscore", "<": "_has_angle"}
+
+
+def prepared(df: DataFrame, text: str, where: str = "TRUE") -> DataFrame:
+    """Add what ``hit_count_sql`` reads besides the text: its lower-cased form and the shared marks.
+
+    Rows outside ``where`` get nulls and cost nothing.
+    """
+    marks = [f"CASE WHEN {where} THEN contains({text}, {lit(c)}) END AS {name}" for c, name in SHARED_MARKS.items()]
+    return df.selectExpr("*", f"CASE WHEN {where} THEN lower({text}) END AS _lowered", *marks)
+
+
+PREPARED = ("_lowered", *SHARED_MARKS.values())
+
+
+def hit_count_sql(text: str, rule: Rule) -> str:
+    """Non-overlapping matches of a rule in a prepared text; the regex runs only on texts that can match."""
     count = f"regexp_count({text}, {lit(rule.pattern)})"
-    tests = [f"contains({text}, {lit(w)})" for w in rule.must]
+    tests = [SHARED_MARKS[w] for w in rule.must if w in SHARED_MARKS]
     if rule.needles:
-        tests.append(contains_any_sql(lowered, rule.needles))
+        tests.append(contains_any_sql("_lowered", rule.needles))
+    tests += [f"contains({text}, {lit(w)})" for w in rule.must if w not in SHARED_MARKS]
     return f"CASE WHEN {' AND '.join(tests)} THEN {count} ELSE 0 END" if tests else count
 
 

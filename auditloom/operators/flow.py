@@ -115,13 +115,14 @@ def sources(stmts: DataFrame) -> DataFrame:
 
 def uses(stmts: DataFrame) -> DataFrame:
     """Names read by each line: path, language, line_no, line, target, calls, sink, variable."""
-    text = F.coalesce("rhs", "line")
-    templated = text.rlike(r"(?:^|[^A-Za-z0-9_])[rR]?[fF][\"']") | text.contains("${")
-    plain = F.when(templated, text).otherwise(F.regexp_replace(text, STRING, '""'))
-    names = F.array_distinct(F.regexp_extract_all(
-        F.regexp_replace(plain, rf"\.\s*{NAME}", ""), F.lit(f"({NAME})"), 1))
-    return stmts.select("path", "language", "line_no", "line", "target", "calls", "sink",
-                        F.explode(names).alias("variable"))
+    quoted = r"(?:^|[^A-Za-z0-9_])[rR]?[fF][" + QUOTES + "]"
+    plain = (f"CASE WHEN NOT (contains(_t, '\\'') OR contains(_t, '\"')) OR contains(_t, '${{') OR _t RLIKE {T.lit(quoted)} "
+             f"THEN _t ELSE regexp_replace(_t, {T.lit(STRING)}, '\"\"') END")
+    own = f"CASE WHEN contains(_p, '.') THEN regexp_replace(_p, {T.lit(chr(92) + '.' + chr(92) + 's*' + NAME)}, '') ELSE _p END"
+    return (stmts.selectExpr("path", "language", "line_no", "line", "target", "calls", "sink", "coalesce(rhs, line) AS _t")
+            .selectExpr("path", "language", "line_no", "line", "target", "calls", "sink", f"{plain} AS _p")
+            .selectExpr("path", "language", "line_no", "line", "target", "calls", "sink",
+                        f"explode(array_distinct(regexp_extract_all({own}, {T.lit('(' + NAME + ')')}, 1))) AS variable"))
 
 
 def relations(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> tuple[DataFrame, DataFrame]:

@@ -46,16 +46,16 @@ def protected(files: DataFrame, state_dir: str = R.STATE_DIR) -> DataFrame:
 def rule_hits(files: DataFrame, rules: Sequence[R.Rule], *keep: str, text: str = "code") -> DataFrame:
     """One row per (file, rule) with a match: kept columns, family, rule, hits.  No shuffle."""
     keep = keep or ("path",)
-    base = files.select(*keep, F.col(text).alias("_t"), F.lower(text).alias("_l"))
+    base = T.prepared(files.select(*keep, F.col(text).alias("_t")), "_t")
     rows = ", ".join(f"named_struct('family', {T.lit(r.family)}, 'rule', {T.lit(r.name)}, "
-                     f"'hits', bigint({T.hit_count_sql('_t', '_l', r)}))" for r in rules)
+                     f"'hits', bigint({T.hit_count_sql('_t', r)}))" for r in rules)
     return base.select(*keep, F.expr(f"explode(array({rows}))").alias("h")).where("h.hits > 0").select(
         *keep, "h.*")
 
 
-def score_sql(text: str, lowered: str, rules: Sequence[R.Rule]) -> str:
+def score_sql(text: str, rules: Sequence[R.Rule]) -> str:
     """Weighted sum of rule hits, at least 0.  Summed as a balanced tree, which stays shallow."""
-    terms = [f"{r.weight} * ({T.hit_count_sql(text, lowered, r)})" for r in rules]
+    terms = [f"{r.weight} * ({T.hit_count_sql(text, r)})" for r in rules]
     while len(terms) > 1:
         terms = ["(" + " + ".join(terms[i:i + 2]) + ")" for i in range(0, len(terms), 2)]
     return f"bigint(greatest(0, {terms[0]}))"
@@ -63,16 +63,16 @@ def score_sql(text: str, lowered: str, rules: Sequence[R.Rule]) -> str:
 
 def risk_score(files: DataFrame, profile: R.Profile, text: str = "code") -> DataFrame:
     """Add ``risk_score``: weighted sum of rule hits, at least 0."""
-    lowered = files.withColumn("_l", F.lower(text))
-    return T.computed_once(lowered, "risk_score", score_sql(text, "_l", profile.rules)).drop("_l")
+    ready = T.prepared(files, text)
+    return T.computed_once(ready, "risk_score", score_sql(text, profile.rules)).drop(*T.PREPARED)
 
 
 def word_counts(files: DataFrame, words: dict[str, str] = R.SENSITIVE_WORDS, *keep: str,
                 text: str = "code") -> DataFrame:
     """Add one ``n_<word>`` column per sensitive word."""
-    base = files.select(*(keep or ("path",)), F.col(text).alias("_t"), F.lower(text).alias("_l"))
+    base = T.prepared(files.select(*(keep or ("path",)), F.col(text).alias("_t")), "_t")
     return base.selectExpr(*(keep or ("path",)), *[
-        f"bigint({T.hit_count_sql('_t', '_l', r)}) AS n_{r.name}" for r in R.table(words, "sensitive")])
+        f"bigint({T.hit_count_sql('_t', r)}) AS n_{r.name}" for r in R.table(words, "sensitive")])
 
 
 # --- gate --------------------------------------------------------------------------------------
@@ -103,10 +103,9 @@ def gate(files: DataFrame, profile: R.Profile) -> DataFrame:
     skip = (F.when(F.length(code) < profile.min_chars, small)
             .when(ext.isin(*R.NON_CODE_EXTENSIONS), F.lit("Non-executable file type"))
             .otherwise(F.expr(hard_skip_sql("path", "code", profile.path_skips_by_name_only))))
-    staged = files.withColumn("_skip", skip)
-    staged = staged.withColumn("_l", F.when(F.col("_skip").isNull(), F.lower("code")))
+    staged = T.prepared(files.withColumn("_skip", skip), "code", "_skip IS NULL")
     staged = T.computed_once(staged, "_score", "CASE WHEN _skip IS NULL THEN "
-                             f"{score_sql('code', '_l', profile.rules)} END")
+                             f"{score_sql('code', profile.rules)} END")
     passed = F.coalesce(F.col("_score") >= profile.min_score, F.lit(False))
     return staged.select(
         *files.columns,
@@ -167,24 +166,27 @@ def screen_findings(files: DataFrame, profile: R.Profile = R.LOCAL, *keep: str)
     return line_findings(audited, R.exploit_line_rules(profile) + R.SECRET_RULES, *keep)
 
 
+def n_line_matches_sql(text: str, rules: Sequence[R.LineRule]) -> str:
+    """Number of (line, rule) matches of a text, without making rows of its lines."""
+    counts = [f"CASE WHEN {_possible_sql(text, r)} THEN size(filter(split({text}, '\\n', -1), "
+              f"x -> {T.line_matches_sql('x', r)})) ELSE 0 END" for r in rules]
+    return "bigint(" + " + ".join(counts) + ")"
+
+
 def screen_verdicts(files: DataFrame, profile: R.Profile = R.LOCAL) -> DataFrame:
-    """Per file: path, verdict, n_violations, risk_score, details."""
-    gated = gate(files, profile)
-    found = (line_findings(gated.where("should_audit"),
-                           R.exploit_line_rules(profile) + R.SECRET_RULES)
-             .groupBy("path").agg(F.count("*").alias("n")))
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    score = F.col("risk_score").cast("string")
-    return (gated.select("path", "should_audit", "reason", "risk_score").join(found, "path", "left")
-            .select("path", F.when(n > 0, "REJECT").otherwise("ACCEPT").alias("verdict"),
-                    n.alias("n_violations"), "risk_score",
-                    F.when(~F.col("should_audit"), F.concat(F.lit("Layer 1 ACCEPT: "), "reason"))
-                    .when(n > 0, F.concat(F.lit("Layer 1 REJECT: "), n.cast("string"),
-                                          F.lit(" critical violation(s) found (Risk Score: "), score,
-                                          F.lit(")")))
-                    .otherwise(F.concat(F.lit("Layer 1 ACCEPT: Risk surface detected but no critical "
-                                              "violations (Risk Score: "), score, F.lit(")")))
-                    .alias("details")))
+    """Per file: path, verdict, n_violations, risk_score, details.  One narrow pass, no shuffle."""
+    rules = R.exploit_line_rules(profile) + R.SECRET_RULES
+    counted = T.computed_once(
+        gate(files.select("path", "ext", "code"), profile), "n_violations",
+        f"CASE WHEN should_audit THEN {n_line_matches_sql('code', rules)} ELSE 0L END")
+    n, score = F.col("n_violations"), F.col("risk_score").cast("string")
+    return counted.select(
+        "path", F.when(n > 0, "REJECT").otherwise("ACCEPT").alias("verdict"), "n_violations", "risk_score",
+        F.when(~F.col("should_audit"), F.concat(F.lit("Layer 1 ACCEPT: "), "reason"))
+        .when(n > 0, F.concat(F.lit("Layer 1 REJECT: "), n.cast("string"),
+                              F.lit(" critical violation(s) found (Risk Score: "), score, F.lit(")")))
+        .otherwise(F.concat(F.lit("Layer 1 ACCEPT: Risk surface detected but no critical violations "
+                                  "(Risk Score: "), score, F.lit(")"))).alias("details"))
 
 
 # --- ranking and reports -----------------------------------------------------------------------

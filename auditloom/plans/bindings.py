@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom import rules as R
+from auditloom.functions.text import computed_once
 from auditloom.sources.tables import table
 
 
@@ -291,6 +292,13 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
 _SPREAD = {"documents": "doc_id", "pages": "page_id", "orders": "o_orderkey"}
 
 
+# Columns made by templates: computed once per row, as a stored column would be, and not copied into
+# every filter on them.
+_STORED = {"code_files": "code", "diffs": "diff", "notes": "content", "reasons": "reasoning",
+           "analyses": "analysis", "reviews": "raw", "flow_reviews": "raw", "eight_reviews": "raw",
+           "rule_reviews": "raw"}
+
+
 def bind(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A binding as a Spark DataFrame."""
     source, columns = BINDINGS[name]
@@ -302,7 +310,12 @@ def bind(spark: SparkSession, sf: str, name: str) -> DataFrame:
         df = df.join(table(spark, sf, second.split(" ")[0]), "doc_id", "left")
     if where:
         df = df.where(where)
-    return df.selectExpr(*columns)
+    stored = _STORED.get(name)
+    if stored is None:
+        return df.selectExpr(*columns)
+    made = next(c for c in columns if c.endswith(f" AS {stored}")).removesuffix(f" AS {stored}")
+    names = [stored if c.endswith(f" AS {stored}") else c for c in columns]
+    return computed_once(df, stored, made).selectExpr(*names)
 
 
 def ctes(*names: str, extra: dict[str, str] | None = None) -> str:

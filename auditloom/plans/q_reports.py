@@ -42,14 +42,13 @@ del _MERGE["m"]
 
 
 def _layers(spark, sf):
-    """Files and the findings of all layers, written once: texts are scanned a single time and the
-    merge reads a narrow table."""
+    """Files and the findings of all layers.  Texts are scanned once for the rules of every layer; the
+    findings are written, and the merge reads that narrow table."""
     files = bind(spark, sf, "code_files")
-    rows = G.union_layers(*[
-        (name, S.line_findings(files, rules).selectExpr(
-            "path", "line_number", "rule_id", "severity", "rule_name AS violation", f"{SEQ} AS seq"))
-        for name, rules in LAYERS])
-    return files.select("path"), materialise(rows, "findings")
+    found = materialise(S.line_findings(files, sum((rules for _, rules in LAYERS), ())).selectExpr(
+        "path", "line_number", "rule_id", "severity", "rule_name AS violation", f"{SEQ} AS seq"), "findings")
+    return files.select("path"), G.union_layers(*[
+        (name, found.where(F.col("violation").isin(*[r.name for r in rules]))) for name, rules in LAYERS])
 
 
 def _kept(spark, sf):
