@@ -77,8 +77,9 @@ def statements(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> DataFr
     target = f"CASE WHEN contains(line, '=') THEN nullif(regexp_extract(line, {T.lit(ASSIGN)}, 1), '') END"
     parts = lines.selectExpr("path", "language", "line_no", "line AS _raw", "trim(line) AS line",
                              f"{target} AS target", f"{calls} AS calls")
-    rhs = (f"CASE WHEN target IS NOT NULL THEN regexp_replace(regexp_extract(_raw, {T.lit(ASSIGN)}, 2), "
-           f"{T.lit('[;' + chr(92) + 's]+$')}, '') END")
+    # No part of a target holds "=", so the right side starts after the first one.
+    rhs = (f"CASE WHEN target IS NOT NULL THEN rtrim({T.lit('; ' + chr(9) + chr(13))}, "
+           "ltrim(substring(_raw, instr(_raw, '=') + 1))) END")
     return parts.selectExpr("path", "language", "line_no", "line", "target", f"{rhs} AS rhs", "calls",
                             f"{_sink_sql(sinks)} AS sink")
 
@@ -129,7 +130,7 @@ def relations(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> tuple[D
     """(sources, uses) of the files as written tables: texts are parsed once, the joins that follow read
     these narrow relations."""
     stmts = materialise(statements(files, sinks), "statements")
-    return sources(stmts), materialise(uses(stmts), "uses")
+    return materialise(sources(stmts), "sources"), materialise(uses(stmts), "uses")
 
 
 def reach(source_rows: DataFrame, use_rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

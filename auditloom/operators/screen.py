@@ -135,28 +135,31 @@ def gate_with_project_rules(gated: DataFrame, project_rules: DataFrame) -> DataF
 def line_findings(files: DataFrame, rules: Sequence[R.LineRule], *keep: str,
                   text: str = "code") -> DataFrame:
     """One finding per (line, rule): kept columns, rule_id, rule_name, line_number, matched_text,
-    severity.  Narrow: files without any possible match are dropped before lines are made.
+    severity.
+
+    Narrow.  Whole texts are tested first; lines are made only for the rules a text can match, and each
+    is tested by that one rule.
     """
     keep = keep or ("path",)
-    whole = " OR ".join(_possible_sql(text, r) for r in rules)
-    lines = T.explode_lines(files.where(whole), *keep, text=text)
-    hits = ", ".join(
-        f"CASE WHEN {T.line_matches_sql('line', r)} THEN named_struct('rule_id', {T.lit(r.rule_id)}, "
-        f"'rule_name', {T.lit(r.name)}, 'severity', {T.lit(r.severity)}) END" for r in rules)
-    return (lines.where(" OR ".join(T.line_matches_sql("line", r) for r in rules))
-            .select(*keep, F.col("line_no").alias("line_number"),
-                    F.substring(F.trim("line"), 1, 120).alias("matched_text"),
-                    F.expr(f"explode(filter(array({hits}), x -> x IS NOT NULL))").alias("h"))
-            .select(*keep, "h.rule_id", "h.rule_name", "line_number", "matched_text", "h.severity"))
+    possible = ", ".join(f"CASE WHEN {_possible_sql('_t', r)} THEN {i} END" for i, r in enumerate(rules))
+    named = ", ".join(f"named_struct('rule_id', {T.lit(r.rule_id)}, 'rule_name', {T.lit(r.name)}, "
+                      f"'severity', {T.lit(r.severity)})" for r in rules)
+    matches = " ".join(f"WHEN {i} THEN {T.line_matches_sql('line', r)}" for i, r in enumerate(rules))
+    ready = T.prepared(files.select(*keep, F.col(text).alias("_t")), "_t")
+    tried = ready.selectExpr(*keep, "_t", f"explode(filter(array({possible}), x -> x IS NOT NULL)) AS _r")
+    lines = T.explode_lines(tried, *keep, "_r", text="_t").where(f"CASE _r {matches} END")
+    return lines.selectExpr(*keep, "line_no AS line_number", "substring(trim(line), 1, 120) AS matched_text",
+                            f"get(array({named}), _r) AS _h").select(
+        *keep, "_h.rule_id", "_h.rule_name", "line_number", "matched_text", "_h.severity")
 
 
 def _possible_sql(text: str, rule: R.LineRule) -> str:
-    """Necessary condition for a line match, on the whole text: literals first, then the pattern with
+    """Necessary condition for a line match, on a prepared text: literals first, then the pattern with
     line anchors matching at every line."""
     pattern = f"(?m){rule.pattern}" if ("^" in rule.pattern or "$" in rule.pattern) else rule.pattern
-    tests = [f"contains({text}, {T.lit(w)})" for w in rule.must]
+    tests = [T.SHARED_MARKS.get(w, f"contains({text}, {T.lit(w)})") for w in rule.must]
     if rule.needles:
-        tests.append(T.contains_any_sql(f"lower({text})", rule.needles))
+        tests.append(T.contains_any_sql("_lowered", rule.needles))
     return "(" + " AND ".join([*tests, f"{text} RLIKE {T.lit(pattern)}"]) + ")"
 
 
@@ -167,7 +170,7 @@ def screen_findings(files: DataFrame, profile: R.Profile = R.LOCAL, *keep: str)
 
 
 def n_line_matches_sql(text: str, rules: Sequence[R.LineRule]) -> str:
-    """Number of (line, rule) matches of a text, without making rows of its lines."""
+    """Number of (line, rule) matches of a prepared text, without making rows of its lines."""
     counts = [f"CASE WHEN {_possible_sql(text, r)} THEN size(filter(split({text}, '\\n', -1), "
               f"x -> {T.line_matches_sql('x', r)})) ELSE 0 END" for r in rules]
     return "bigint(" + " + ".join(counts) + ")"
@@ -177,7 +180,7 @@ def screen_verdicts(files: DataFrame, profile: R.Profile = R.LOCAL) -> DataFrame
     """Per file: path, verdict, n_violations, risk_score, details.  One narrow pass, no shuffle."""
     rules = R.exploit_line_rules(profile) + R.SECRET_RULES
     counted = T.computed_once(
-        gate(files.select("path", "ext", "code"), profile), "n_violations",
+        T.prepared(gate(files.select("path", "ext", "code"), profile), "code", "should_audit"), "n_violations",
         f"CASE WHEN should_audit THEN {n_line_matches_sql('code', rules)} ELSE 0L END")
     n, score = F.col("n_violations"), F.col("risk_score").cast("string")
     return counted.select(

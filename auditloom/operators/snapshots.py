@@ -77,16 +77,19 @@ def cosmetic_form(content: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "")
 
 
-def with_history(versions: DataFrame) -> DataFrame:
-    """``versions(path, ts, content)`` plus the previous version's content."""
-    return with_previous(versions, ["path"], F.date_trunc("day", "ts"), F.col("ts"), ["content"])
+def with_history(versions: DataFrame, bucket: str = "hour") -> DataFrame:
+    """``versions(path, ts, content)`` plus the previous version's content.
+
+    ``bucket`` is the time unit a path's versions are cut into, so that one busy path is spread.
+    """
+    return with_previous(versions, ["path"], F.date_trunc(bucket, "ts"), F.col("ts"), ["content"])
 
 
-def skip_flags(versions: DataFrame) -> DataFrame:
+def skip_flags(versions: DataFrame, bucket: str = "hour") -> DataFrame:
     """Per version: ``unchanged`` and ``cosmetic`` against the previous one.  Only hashes move."""
     hashed = versions.select("path", "ts", F.md5("content").alias("hash"),
                              F.md5(cosmetic_form(F.col("content"))).alias("form"))
-    p = with_previous(hashed, ["path"], F.date_trunc("day", "ts"), F.col("ts"), ["hash", "form"])
+    p = with_previous(hashed, ["path"], F.date_trunc(bucket, "ts"), F.col("ts"), ["hash", "form"])
     same = F.coalesce(F.col("hash") == F.col("prev_hash"), F.lit(False))
     return p.select("path", "ts", same.alias("unchanged"),
                     (~same & F.coalesce(F.col("form") == F.col("prev_form"), F.lit(False))).alias("cosmetic"))
