@@ -42,7 +42,7 @@ class SinkRegistry:
 
 
 def _last_part(callee: Column) -> Column:
-    return F.element_at(F.split(callee, r"[.:]+"), -1)
+    return F.substring_index(F.substring_index(callee, ".", -1), ":", -1)
 
 
 def _names_words_of_language(words: dict[str, tuple[str, ...]]) -> Column:
@@ -58,7 +58,7 @@ def _in(words: Iterable[str]) -> str:
 
 def _sink_sql(sinks: SinkRegistry) -> str:
     """Name of the first sanitising call of a line, or null."""
-    last = "element_at(split({}, '[.:]+'), -1)".format
+    last = "substring_index(substring_index({}, '.', -1), ':', -1)".format
     named = f"get(filter(calls, c -> {last('c')} IN {_in(sinks.middleware + sinks.decorators)}), 0)"
     pattern = " OR ".join(f"line RLIKE {T.lit(p)}" for p in sinks.patterns)
     within = T.contains_any_sql("line", sinks.middleware)
