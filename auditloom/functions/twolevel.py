@@ -3,7 +3,8 @@
 A plain window over a hot key sorts all its rows in one task.  Here each key's order is cut into
 buckets (an expression that never decreases along the order: an hour, a score and hash prefix).
 Rows meet only within (key, bucket); between buckets only one summary row per bucket moves.
-Key columns must not be null.
+Key columns must not be null.  The input is read twice (summaries and rows): pass a table, or a narrow
+relation written by ``materialise``, rather than a computation over texts.
 """
 
 from __future__ import annotations

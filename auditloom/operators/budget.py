@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from auditloom.functions import text as T
+from auditloom.functions.session import materialise
 from auditloom.functions.twolevel import running_sums, with_previous
 
 # Words and punctuation marks; spelt as Unicode classes so that engines agree on accented text.
@@ -89,14 +90,17 @@ def minute_slots(requests: DataFrame, tpm: int, rpm: int) -> DataFrame:
     taken by falling score; within a score by md5 of the path, which splits evenly and gives the
     buckets of the two-level running sum.
     """
-    keyed = requests.withColumn("_h", F.md5("path"))
+    # Written once: the two-level sum reads its input twice, and tokens may be estimated from texts.
+    keyed = materialise(requests.select("project", "path", "risk_score", "tokens")
+                        .withColumn("_h", F.md5("path")), "requests")
     summed = running_sums(keyed, ["project"], [-F.col("risk_score"), F.substring("_h", 1, 3)],
                           [F.col("_h"), F.col("path")], {"cum_tokens": F.col("tokens")})
     width = tpm - file_cap(tpm)
     slotted = summed.withColumn("_token_slot", F.floor((F.col("cum_tokens") - 1) / width).cast("bigint"))
     # A token slot holds few requests (each costs tokens), so these windows stay small.
     inside = Window.partitionBy("project", "_token_slot").orderBy("cum_tokens", "_h", "path")
-    called = slotted.withColumn("_call_slot", F.floor((F.row_number().over(inside) - 1) / rpm).cast("bigint"))
+    called = materialise(slotted.withColumn(
+        "_call_slot", F.floor((F.row_number().over(inside) - 1) / rpm).cast("bigint")), "slots")
     per_slot = called.groupBy("project", "_token_slot").agg((F.max("_call_slot") + 1).alias("_n"))
     placed = running_sums(per_slot, ["project"], [F.floor(F.col("_token_slot") / 1000)],
                           [F.col("_token_slot")], {"_upto": F.col("_n")})
@@ -240,7 +244,7 @@ def token_waits(calls: DataFrame, tpm: int, pause: float = 30.0) -> DataFrame:
     gap_us = int(max(60.0, pause) * 1_000_000)
     timed = calls.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     hour = F.floor(F.col("_us") / 3_600_000_000)
-    prev = with_previous(timed, ["key"], hour, F.struct("_us", "call_id"), ["_us"])
+    prev = materialise(with_previous(timed, ["key"], hour, F.struct("_us", "call_id"), ["_us"]), "calls")
     fresh = F.when(F.col("prev__us").isNull() | (F.col("_us") - F.col("prev__us") >= gap_us), 1).otherwise(0)
     runs = running_sums(prev, ["key"], [hour], [F.col("_us"), F.col("call_id")], {"_run": fresh})
     ordered = runs.drop("prev__us").repartition("key", "_run").sortWithinPartitions(

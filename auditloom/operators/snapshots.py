@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom import rules as R
 from auditloom.functions import text as T
+from auditloom.functions.session import materialise
 from auditloom.functions.twolevel import with_previous
 
 
@@ -63,10 +64,10 @@ def changed_documents(live: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def sync(live: DataFrame, snapshot: DataFrame) -> DataFrame:
     """New snapshot: changed live documents replace their copies; the rest stays."""
-    changed = changed_documents(live, snapshot)
-    kept = snapshot.join(changed.select("project", "name"), ["project", "name"], "left_anti")
+    keys = materialise(changed_documents(live, snapshot).select("project", "name"), "changed")
+    kept = snapshot.join(keys, ["project", "name"], "left_anti")
     return kept.select("project", "name", "content").unionByName(
-        changed.select("project", "name", "content"))
+        live.join(keys, ["project", "name"], "left_semi").select("project", "name", "content"))
 
 
 # --- versions ---------------------------------------------------------------------------------------------
@@ -87,8 +88,9 @@ def with_history(versions: DataFrame, bucket: str = "hour") -> DataFrame:
 
 def skip_flags(versions: DataFrame, bucket: str = "hour") -> DataFrame:
     """Per version: ``unchanged`` and ``cosmetic`` against the previous one.  Only hashes move."""
-    hashed = versions.select("path", "ts", F.md5("content").alias("hash"),
-                             F.md5(cosmetic_form(F.col("content"))).alias("form"))
+    hashed = materialise(versions.select(
+        "path", "ts", F.md5("content").alias("hash"),
+        F.md5(cosmetic_form(F.col("content"))).alias("form")), "hashes")
     p = with_previous(hashed, ["path"], F.date_trunc(bucket, "ts"), F.col("ts"), ["hash", "form"])
     same = F.coalesce(F.col("hash") == F.col("prev_hash"), F.lit(False))
     return p.select("path", "ts", same.alias("unchanged"),

@@ -46,7 +46,8 @@ def layered_findings(files: DataFrame, answers: DataFrame | None = None,
         "lpad(CAST(line_number AS string), 8, '0') || rule_name AS seq"), "screen")
     rest = merge.next_stage(files, first)
     source_rows, use_rows = flow.relations(rest)
-    leaks = flow.unsanitised(source_rows, flow.reach(source_rows, use_rows), use_rows)
+    reached = materialise(flow.reach(source_rows, use_rows), "reached")
+    leaks = flow.unsanitised(source_rows, reached, use_rows)
     second = leaks.selectExpr(
         "path", "line_number", "rule_id", "severity", "data_flow AS violation",
         "lpad(CAST(line_number AS string), 8, '0') || variable AS seq")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom import rules as R
 from auditloom.functions import text as T
+from auditloom.functions.session import materialise
 from auditloom.operators import declared as D
 from auditloom.operators import flow, screen as S
 from auditloom.plans.bindings import STR, bind, case, ctes, text
@@ -482,7 +483,7 @@ class _Flow:
     def __init__(self, spark, sf):
         self.files = bind(spark, sf, "code_files")
         self.sources, self.uses = flow.relations(self.files)
-        self.reached = flow.reach(self.sources, self.uses)
+        self.reached = materialise(flow.reach(self.sources, self.uses), "reached")
 
     def found(self):
         return flow.unsanitised(self.sources, self.reached, self.uses)
