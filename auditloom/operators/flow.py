@@ -130,7 +130,8 @@ def relations(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> tuple[D
     """(sources, uses) of the files as written tables: texts are parsed once, the joins that follow read
     these narrow relations."""
     stmts = materialise(statements(files, sinks), "statements")
-    return materialise(sources(stmts), "sources"), materialise(uses(stmts), "uses")
+    acting = stmts.where("target IS NOT NULL OR size(calls) > 0")  # other lines take part in no relation
+    return materialise(sources(stmts), "sources"), materialise(uses(acting), "uses")
 
 
 def reach(source_rows: DataFrame, use_rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
