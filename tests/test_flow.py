@@ -90,3 +90,21 @@ def test_sink_config(spark, rows):
     stmts = flow.statements(files, registry)
     assert found(stmts, "line_no", "sink") == {(1, None), (2, "myClean"), (3, None)}
     assert config.sink_table(spark, rows("config string", ("nope",))).count() == config.default_sinks(spark).count()
+
+
+def test_whole_audit(rows):
+    from auditloom.plans import audits
+    files = rows(FILES, ("secret.py", ".py", "password = 'longenough1' # in code"),
+                 ("leak.js", ".js", "const name = req.body.name;\nconsole.log(name);"),
+                 ("asked.py", ".py", "x = 1\ny = 2"), ("clean.py", ".py", "x = 1"))
+    answers = rows("response_id bigint, path string, raw string",
+                   (1, "asked.py", '{"findings": [{"is_vulnerable": true, "severity": "high", "line_number": 2},'
+                                   ' {"is_vulnerable": true, "line_number": 9}]}'),
+                   (2, "secret.py", '{"findings": [{"is_vulnerable": true, "line_number": 1}]}'))
+    got = {r.path: (r.verdict, r.n_violations, r.reasoning.split("]")[0]) for r in audits.audit(files, answers).collect()}
+    assert got == {"secret.py": ("REJECT", 1, "[Layer 1"), "leak.js": ("REJECT", 1, "[Layer 2"),
+                   "asked.py": ("REJECT", 1, "[V1.0"), "clean.py": ("ACCEPT", 0, "All layers cleared. No violations found.")}
+    scan = audits.scan_folder(files.withColumn("code", files.code), "sys", profile=audits.R.LOCAL)
+    assert {r.path for r in scan.queue.collect()} == {"secret.py", "leak.js"}
+    assert scan.requests.count() == 2
+    assert {r.reason for r in scan.skipped.collect()} == {"File too small (< 20 chars)"}
