@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import langid, simhash
+from auditloom.llm import langid, linededup, mixing, pieces, simhash
 from auditloom.llm.chars import held_out, learned_from
 from auditloom.sources.tables import table
 
@@ -19,11 +19,65 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = pieces.vocabulary()
+    coded = table(spark, sf, "documents").select(
+        "doc_id", pieces.encode(spark, F.col("text"), vocabulary).alias("pieces"))
+    text = pieces.decode(spark, F.col("pieces"), vocabulary)
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
+                        F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = langid.identify(docs, langid.train(docs.where(learned_from())))
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op4_language": op4_language}
-ORACLE: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    plan = mixing.mix(table(spark, sf, "documents"), entropy=2.9)
+    return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "block", "slot")
+
+
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = linededup.delete_repeated(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("removed_runs").cast("long").alias("n_runs"),
+                        F.expr("aggregate(removed_runs, 0L, (n, r) -> n + r.last - r.first + 1)").alias("n_lines"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+placed AS (
+  SELECT doc_id, line, pos, n, row_number() OVER d AS k, sum(n) OVER d - n AS words
+  FROM counted WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+framed AS (
+  SELECT doc_id, pos, k, max(pos) OVER r AS last, count(*) OVER r AS size, sum(n) OVER r AS total,
+         list(line) OVER r AS content
+  FROM placed WINDOW r AS (PARTITION BY doc_id ORDER BY words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+headed AS (
+  SELECT *, first_value(doc_id) OVER c AS head, first_value(k) OVER c AS head_k
+  FROM framed WHERE total >= 50 WINDOW c AS (PARTITION BY content ORDER BY doc_id, k)),
+gone AS (
+  SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN headed h
+  ON l.doc_id = h.doc_id AND l.pos BETWEEN h.pos AND h.last
+  WHERE h.doc_id <> h.head OR h.k >= h.head_k + h.size),
+runs AS (
+  SELECT doc_id, count(*) AS n_runs, CAST(sum(n) AS bigint) AS n_lines FROM (
+    SELECT doc_id, pos - k AS run, count(*) AS n FROM (
+      SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM gone) GROUP BY ALL)
+  GROUP BY doc_id),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+  FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(r.n_runs, 0) AS n_runs, coalesce(r.n_lines, 0) AS n_lines
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN runs r ON d.doc_id = r.doc_id"""
+
+QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash, "op2_sentencepiece": op2_sentencepiece, "op4_language": op4_language,
+    "op6_mixing": op6_mixing, "op9_line_dedup": op9_line_dedup}
+ORACLE: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
