@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import langid, linededup, mixing, pieces, simhash
+from auditloom.llm import langid, linededup, mixing, pieces, simhash, topk, warc
 from auditloom.llm.chars import held_out, learned_from
 from auditloom.sources.tables import table
 
@@ -34,6 +34,25 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+TOP_K_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS double)) AS bigint)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS bigint)
+    AS score
+  FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank,
+         vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5"""
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf, "documents"), entropy=2.9)
     return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "block", "slot")
@@ -77,7 +96,27 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
        coalesce(r.n_runs, 0) AS n_runs, coalesce(r.n_lines, 0) AS n_lines
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN runs r ON d.doc_id = r.doc_id"""
 
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.archived(table(spark, sf, "pages"))
+    first = F.nullif(F.col("refers_to"), F.lit("")).cast("long")
+    return found.select(F.nullif(F.col("page"), F.lit("")).cast("long").alias("page_id"), "payload_bytes",
+                        "payload_digest", "record_type", first.alias("refers_to"), "url_key")
+
+
+WARC_SQL = r"""
+WITH paid AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS d
+  FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM paid)
+SELECT page_id, payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> f THEN f END AS refers_to,
+       array_to_string(list_reverse(string_split(regexp_extract(url, '^https?://(www\.)?([^/?#]*)', 2), '.')), ',')
+         || ')' || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS url_key
+FROM (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM firsts)"""
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash, "op2_sentencepiece": op2_sentencepiece, "op4_language": op4_language,
-    "op6_mixing": op6_mixing, "op9_line_dedup": op9_line_dedup}
-ORACLE: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
+    "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
+ORACLE: dict[str, str] = {"op5_top_k": TOP_K_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}
