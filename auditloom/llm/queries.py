@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import langid, linededup, mixing, pieces, simhash, topk, warc
+from auditloom.llm import langid, linededup, mixing, pieces, secretscan, simhash, topk, warc
 from auditloom.llm.chars import held_out, learned_from
 from auditloom.sources.tables import table
 
@@ -28,6 +28,17 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = secretscan.scan(docs, secretscan.learned(docs))
+    base = F.filter("found", lambda s: s["kind"] < 3)
+    counts = [F.expr(f"size(filter(found, s -> s.kind = {k}))").cast("long").alias(f"n_{name}")
+              for k, name in enumerate(secretscan.KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts[:3],
+                        F.sha2(secretscan.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secretscan.listed(F.col("found")).alias("spans"), counts[3])
+
+
 def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = langid.identify(docs, langid.train(docs.where(learned_from())))
@@ -117,6 +128,7 @@ SELECT page_id, payload_bytes, d AS payload_digest,
 FROM (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM firsts)"""
 
 QUERIES: dict[str, Query] = {
-    "op1_simhash": op1_simhash, "op2_sentencepiece": op2_sentencepiece, "op4_language": op4_language,
+    "op1_simhash": op1_simhash, "op2_sentencepiece": op2_sentencepiece, "op3_secrets": op3_secrets,
+    "op4_language": op4_language,
     "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {"op5_top_k": TOP_K_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}
