@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import langid, linededup, mixing, pieces, secretscan, simhash, topk, warc
+from auditloom.llm import (
+    classifier, langid, linededup, mixing, perplexity, pieces, secretscan, simhash, topk, warc)
 from auditloom.llm.chars import held_out, learned_from
 from auditloom.sources.tables import table
 
@@ -69,6 +70,20 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "block", "slot")
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = classifier.train(docs, table(spark, sf, "labels").where(learned_from()), "quality")
+    return classifier.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    found = perplexity.judged(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = linededup.delete_repeated(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.size("removed_runs").cast("long").alias("n_runs"),
@@ -130,5 +145,6 @@ FROM (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash, "op2_sentencepiece": op2_sentencepiece, "op3_secrets": op3_secrets,
     "op4_language": op4_language,
-    "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
+    "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_quality": op7_quality,
+    "op8_rules": op8_rules, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {"op5_top_k": TOP_K_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}

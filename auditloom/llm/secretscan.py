@@ -111,7 +111,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
 
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", least: int = 20,
-         threshold: float = 3.0) -> DataFrame:
+         threshold: float = 2.5) -> DataFrame:
     """(id, found) of every row of ``docs``; found is an array of (start, kind, end, base) by start, then kind.
 
     kind is a place in ``KINDS``; positions are code points, end exclusive.  Fixed patterns are matched from the
