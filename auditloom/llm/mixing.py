@@ -94,7 +94,7 @@ def budgets(weighted: DataFrame, total: float | None = None) -> DataFrame:
         "blocks", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
 
 
-def plan(counts: DataFrame, budgeted: DataFrame, seed: int = 0, rows_per_slice: int = 20_000) -> DataFrame:
+def plan(counts: DataFrame, budgeted: DataFrame, seed: int = 0, rows_per_slice: int = 1_000) -> DataFrame:
     """(id, source, tokens, block, slot): every use of every document, blocks from 0, slot orders a block.
 
     Whole blocks hold all documents of a source with tokens.  The last block takes documents in the order of
