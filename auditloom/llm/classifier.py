@@ -23,7 +23,7 @@ from auditloom.llm.langid import bounded
 
 BITS = 15
 DIM = 16
-PART = 1_000_000  # code points worked on at once
+PART = 500_000  # code points worked on at once
 SPACE = np.zeros(0x110000, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 STEP = np.uint64(0x100000001B3)

@@ -36,8 +36,8 @@ STARTS = np.array([start for start, _ in SCRIPTS], np.uint32)
 SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS], np.int16)
 
 BITS = 16  # trigram counts are kept in 2 ** BITS hashed places a language
-PART = 1_000_000  # code points worked on at once
-GROUP = 8_000_000  # code points whose words are labelled together
+PART = 500_000  # code points worked on at once
+GROUP = 4_000_000  # code points whose words are labelled together
 
 
 @dataclass

@@ -23,7 +23,7 @@ from auditloom.functions.session import materialise
 from auditloom.llm.chars import runs
 
 BEGIN = b"\xff\xff"  # no byte of UTF-8: what stands before a text
-PART = 4_000_000
+PART = 1_000_000
 STRETCH, QUANTILE = 128, 0.3
 FINE = 1000  # bins of the band histograms for each unit of log-perplexity
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -26,7 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁".encode(), b"\xf8\xf9\xfa"  # the literal mark stands as three bytes that UTF-8 lacks
 WORDS = re.compile(rb" *[^ \n]+| +|\n")
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 FALLBACK = 10.0  # a character without a piece costs this much more than the worst piece
 
 
@@ -233,7 +233,7 @@ class Texts:
 def decode_batch(texts: Texts, batch: pa.ListArray) -> Iterator[pa.Array]:
     """Texts of lists of ids, in blocks; a leading space goes.  Bytes that are no UTF-8 become U+FFFD."""
     sizes = batch.value_lengths().fill_null(0).to_numpy()
-    for a, b in runs(sizes.tolist(), BLOCK // 4):
+    for a, b in runs(sizes.tolist(), BLOCK // 2):
         part = batch.slice(a, b - a)
         ids = part.flatten().to_numpy(zero_copy_only=False)
         flat = _flat(texts.flat, texts.start[ids], texts.size[ids]).tobytes()
