@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from auditloom.functions.session import materialise
 from auditloom.llm import (
     classifier, langid, linededup, mixing, perplexity, pieces, secretscan, simhash, topk, warc)
 from auditloom.llm.chars import held_out, learned_from
@@ -22,8 +23,8 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = pieces.vocabulary()
-    coded = table(spark, sf, "documents").select(
-        "doc_id", pieces.encode(spark, F.col("text"), vocabulary).alias("pieces"))
+    coded = materialise(table(spark, sf, "documents").select(
+        "doc_id", pieces.encode(spark, F.col("text"), vocabulary).alias("pieces")), "pieces")
     text = pieces.decode(spark, F.col("pieces"), vocabulary)
     return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
                         F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))

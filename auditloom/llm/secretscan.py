@@ -75,11 +75,10 @@ def train(samples: DataFrame, random_weight: float = 500.0, ordinary_weight: flo
     ``random_weight`` to equal chances, and by ``ordinary_weight`` to how often the second character is ordinary.
     """
     n = len(ALPHABET)
-    pair = F.expr("substring(value, p, 2)")
-    at = lambda c: F.locate(c, F.lit(ALPHABET))
-    spots = F.sequence(F.lit(1), F.length("value") - 1)
-    pairs = samples.where(F.length("value") > 1).select("value", "secret", F.explode(spots).alias("p")).select(
-        "secret", pair.alias("pair")).groupBy("secret", "pair").agg(F.count("*").alias("n"))
+    chars = samples.where(F.length("value") > 1).select("secret", F.split("value", "").alias("c"))
+    pairs = chars.select("secret", F.explode(F.expr(
+        "zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> concat(a, b))")).alias("pair")).groupBy(
+        "secret", "pair").agg(F.count("*").alias("n"))
     known = pairs.select("secret", F.expr(f"locate(substring(pair, 1, 1), '{ALPHABET}')").alias("a"),
                          F.expr(f"locate(substring(pair, 2, 1), '{ALPHABET}')").alias("b"), "n").where("a > 0 AND b > 0")
     side = lambda s: F.sum(F.when(F.col("secret") == s, F.col("n")).otherwise(0))
@@ -98,9 +97,11 @@ def ratio(value: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of the pairs of a text of two or more ``ALPHABET`` characters."""
     n = len(ALPHABET)
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
-    place = lambda v, p: F.call_function("locate", F.substring(v, p, F.lit(1)), F.lit(ALPHABET))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda s, p: s + F.element_at(
-        ratios, (place(value, p) - 1) * n + place(value, p + 1)))
+    places = F.transform(F.split(value, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    # The state is (sum, place of the character before); splitting makes long runs linear.
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("before"))
+    total = F.aggregate(places, start, lambda s, b: F.struct((s["sum"] + F.when(s["before"] == 0, 0.0).otherwise(
+        F.element_at(ratios, (s["before"] - 1) * n + b))).alias("sum"), b.alias("before")), lambda s: s["sum"])
     return total / (F.length(value) - 1)
 
 
