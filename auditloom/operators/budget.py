@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from auditloom.functions import text as T
 from auditloom.functions.session import materialise
-from auditloom.functions.twolevel import running_sums, with_previous
+from auditloom.functions.twolevel import running_sums
 
 # Words and punctuation marks; spelt as Unicode classes so that engines agree on accented text.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
@@ -23,7 +18,7 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 def numbered_length(code: Column) -> Column:
     """Length of the text with ``n: `` before each line, from the line count alone."""
     n = T.line_count(code)
-    digits = sum((F.greatest(F.lit(0), n - F.lit(10 ** k - 1)) for k in range(1, 9)), n)
+    digits = sum((F.greatest(F.lit(0), n - F.lit(10 ** k - 1)) for k in range(1, 10)), n)  # a line count is an int
     newline = F.when(code.endswith("\n"), 1).otherwise(0)
     return F.length(code) - newline + n * 2 + digits
 
@@ -58,27 +53,29 @@ def estimate_corpus(files: DataFrame, overhead: int = 500) -> DataFrame:
                                           + F.col("n_files") * overhead).alias("tokens"))
 
 
-def file_cap(tpm: int) -> int:
-    """Largest request: a fifth of the minute budget, at most 100,000."""
-    return min(int(tpm * 0.2), 100_000)
+def file_cap(tpm: int, ceiling: int | None = 100_000) -> int:
+    """Largest request: a fifth of the minute budget, at most ``ceiling``."""
+    fifth = int(tpm * 0.2)
+    return fifth if ceiling is None else min(fifth, ceiling)
 
 
-def cap_split(requests: DataFrame, tpm: int) -> DataFrame:
+def cap_split(requests: DataFrame, tpm: int, ceiling: int | None = 100_000) -> DataFrame:
     """Add ``skip_reason`` for requests above the cap (null: kept)."""
-    too_big = F.col("tokens") > file_cap(tpm)
+    too_big = F.col("tokens") > file_cap(tpm, ceiling)
     return requests.withColumn("skip_reason", F.when(too_big, F.concat(
         F.lit("File too large ("), F.format_number("tokens", 0), F.lit(" tokens)"))))
 
 
 def request_table(files: DataFrame, system_text: str, tpm: int, reserve: int = 500) -> DataFrame:
-    """Input of a batch inference job: one row per file within the cap."""
+    """Input of a batch inference job: one row per file.  Files above the cap have a ``skip_reason`` and no
+    ``user`` text."""
     code = F.col("code")
     sized = cap_split(files.withColumn("tokens", estimate_numbered(code, reserve)), tpm)
     body = F.when(code.endswith("\n"), F.substring(code, F.lit(1), F.length(code) - 1)).otherwise(code)
-    return sized.where("skip_reason IS NULL").select(
-        "path", "tokens", F.lit(system_text).alias("system"),
-        F.concat(F.lit("Audit this code (each line prefixed with its line number):\n\n"),
-                 T.numbered(body, after=": ")).alias("user"))
+    return sized.select(
+        "path", "tokens", F.lit(system_text).alias("system"), F.when(F.col("skip_reason").isNull(), F.concat(
+            F.lit("Audit this code (each line prefixed with its line number):\n\n"),
+            T.numbered(body, after=": "))).alias("user"), "skip_reason")
 
 
 # --- batch plan -----------------------------------------------------------------------------------------
@@ -183,89 +180,3 @@ def thin_log(events: DataFrame, *columns: str) -> DataFrame:
     """The first event of each key and minute: ``events(key, ts, ...)``; ties by the listed columns."""
     return events.groupBy("key", F.date_trunc("minute", "ts").alias("minute")).agg(
         F.min(F.struct("ts", *columns)).alias("e")).select("key", "minute", "e.*")
-
-
-# --- token bucket -----------------------------------------------------------------------------------------
-
-@dataclass
-class Bucket:
-    """Token-bucket arithmetic of one key; times in seconds.
-
-    On a shortfall the bucket is emptied and refills from now on, so what comes in during the wait
-    counts again (the documented waits depend on it).  ``strict`` starts the refill after the wait.
-    """
-
-    tpm: float
-    tokens: float | None = None
-    last: float | None = None
-    paused_until: float = 0.0
-    strict: bool = False
-
-    def __post_init__(self) -> None:
-        if self.tokens is None:
-            self.tokens = float(self.tpm)
-
-    def consume(self, now: float, wanted: float) -> float:
-        if wanted > file_cap(int(self.tpm)):
-            return -1.0
-        if now < self.paused_until:
-            return self.paused_until - now
-        self.tokens = self.available(now)
-        start = now if self.last is None or not self.strict else max(now, self.last)
-        if self.tokens >= wanted:
-            self.tokens -= wanted
-            self.last = start
-            return 0.0
-        wait = (wanted - self.tokens) * 60.0 / self.tpm + (start - now)
-        self.tokens = 0.0
-        self.last = now + wait if self.strict else now
-        return wait
-
-    def available(self, now: float) -> float:
-        """Tokens at a time, with what has come in since the last refill."""
-        passed = 0.0 if self.last is None else max(0.0, now - self.last)
-        return min(float(self.tpm), self.tokens + passed * self.tpm / 60.0)
-
-    def settle(self, now: float, estimated: float, actual: float, status: int, pause: float = 30.0) -> None:
-        """After the answer: refund an over-estimate; a 429 pauses the key."""
-        if status == 429:
-            self.paused_until = now + pause
-        if estimated > actual:
-            self.tokens = min(float(self.tpm), self.tokens + estimated - actual)
-
-
-def token_waits(calls: DataFrame, tpm: int, pause: float = 30.0) -> DataFrame:
-    """Wait of each call under the bucket: ``calls(key, call_id, ts, est_tokens, actual_tokens, status)``.
-
-    After a gap of a minute the bucket is full and no pause is left, so a key's calls split there into
-    independent runs.  Runs are hashed over the cluster, sorted, and streamed through Arrow batches; no
-    group is held in memory.
-    """
-    gap_us = int(max(60.0, pause) * 1_000_000)
-    timed = calls.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    hour = F.floor(F.col("_us") / 3_600_000_000)
-    prev = materialise(with_previous(timed, ["key"], hour, F.struct("_us", "call_id"), ["_us"]), "calls")
-    fresh = F.when(F.col("prev__us").isNull() | (F.col("_us") - F.col("prev__us") >= gap_us), 1).otherwise(0)
-    runs = running_sums(prev, ["key"], [hour], [F.col("_us"), F.col("call_id")], {"_run": fresh})
-    ordered = runs.drop("prev__us").repartition("key", "_run").sortWithinPartitions(
-        "key", "_run", "_us", "call_id")
-    schema = StructType(ordered.drop("_run", "_us").schema.fields + [
-        StructField("wait_seconds", DoubleType()), StructField("tokens_left", DoubleType())])
-    names = [f.name for f in schema.fields][:-2]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, bucket = None, Bucket(tpm)
-        for pdf in batches:
-            waits, left = [], []
-            for key, run, us, est, act, status in zip(pdf["key"], pdf["_run"], pdf["_us"],
-                                                      pdf["est_tokens"], pdf["actual_tokens"], pdf["status"]):
-                if (key, run) != current:
-                    current, bucket = (key, run), Bucket(tpm)
-                now = us / 1e6
-                wait = bucket.consume(now, est)
-                if wait >= 0.0:
-                    bucket.settle(now, est, act, status, pause)
-                waits.append(wait)
-                left.append(bucket.available(now))
-            yield pdf[names].assign(wait_seconds=waits, tokens_left=left)
-    return ordered.mapInPandas(walk, schema)

@@ -106,9 +106,9 @@ def sources(stmts: DataFrame) -> DataFrame:
               .where(F.col("node_type").isin("EXTERNAL_INPUT", "F_STRING_TEMPLATE", "FORMAT_OPERATOR"))
               .select("path", F.col("target").alias("variable"), "line_no",
                       F.col("line").alias("expression"), "node_type"))
-    other = (assigned.where(_names_words_of_language(R.EXTERNAL_INPUT) & (F.length("target") < 40))
+    other = (assigned.where(_names_words_of_language(R.EXTERNAL_INPUT))
              .groupBy("path", F.col("target").alias("variable"))
-             .agg(F.min(F.struct("line_no", F.substring("line", 1, 120).alias("expression"))).alias("s"))
+             .agg(F.min(F.struct("line_no", F.col("line").alias("expression"))).alias("s"))
              .select("path", "variable", "s.line_no", "s.expression",
                      F.lit("EXTERNAL_INPUT").alias("node_type")))
     return python.unionByName(other)
@@ -189,10 +189,10 @@ def output_lines(use_rows: DataFrame) -> DataFrame:
 
 
 def output_edges(source_rows: DataFrame, use_rows: DataFrame) -> DataFrame:
-    """Output calls naming a source: path, variable, line_no, to (call text, 60 characters)."""
+    """Output calls naming a source: path, variable, line_no, to (the whole line)."""
     named = source_rows.select("path", "variable").distinct()
     return output_lines(use_rows).join(named, ["path", "variable"]).select(
-        "path", "variable", "line_no", F.substring("line", 1, 60).alias("to"))
+        "path", "variable", "line_no", F.col("line").alias("to"))
 
 
 def unsanitised(source_rows: DataFrame, reached: DataFrame, use_rows: DataFrame) -> DataFrame:
@@ -209,14 +209,15 @@ def unsanitised(source_rows: DataFrame, reached: DataFrame, use_rows: DataFrame)
         "path", F.lit("L2-DATA-FLOW").alias("rule_id"), F.lit("Insecure Data Flow").alias("rule_name"),
         F.col("root").alias("variable"), "line_number", F.col("o.line_no").alias("sink_line"),
         F.concat(F.lit("Source: "), "root", F.lit(" (line "), F.col("line_number").cast("string"),
-                 F.lit(") -> Sink: "), F.substring("o.line", 1, 60), F.lit(" (line "),
+                 F.lit(") -> Sink: "), F.col("o.line"), F.lit(" (line "),
                  F.col("o.line_no").cast("string"), F.lit(")")).alias("data_flow"),
         F.lit("HIGH").alias("severity"))
 
 
 def source_questions(files: DataFrame, source_rows: DataFrame, edges: DataFrame,
-                     hits: DataFrame, code_chars: int = 800) -> DataFrame:
-    """One question row per source: its own steps and sanitiser hits as text, and the code head."""
+                     hits: DataFrame, code_chars: int | None = None) -> DataFrame:
+    """One question row per source: its own steps and sanitiser hits as text, and the code (its first
+    ``code_chars`` characters, if stated)."""
     def listed(rows: DataFrame, what: Column, name: str) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct("line_no", what.alias("what"))))
         return rows.groupBy("path", "variable").agg(F.array_join(F.transform(
@@ -227,7 +228,7 @@ def source_questions(files: DataFrame, source_rows: DataFrame, edges: DataFrame,
                   "sink_status")
     return (source_rows.join(steps, ["path", "variable"], "left")
             .join(safe, ["path", "variable"], "left")
-            .join(files.select("path", F.substring("code", 1, code_chars).alias("code_head")), "path")
+            .join(files.select("path", (F.col("code") if code_chars is None else F.substring("code", 1, code_chars)).alias("code_head")), "path")
             .select("path", "variable", "line_no", "expression",
                     F.coalesce("propagation", F.lit("  No propagation detected")).alias("propagation"),
                     F.coalesce("sink_status", F.lit("  No registered sink reached")).alias("sink_status"),

@@ -68,10 +68,12 @@ def complete_tasks(pending: DataFrame, completions: DataFrame) -> tuple[DataFram
     return still, done, errors
 
 
-def baseline(notes: DataFrame, n_lines: int = 50) -> DataFrame:
-    """The first ``n_lines`` lines of a ledger: the reference text it is audited against."""
-    return notes.select("project", "name", F.array_join(
-        F.slice(T.split_lines(F.col("content")), 1, n_lines), "\n").alias("baseline"))
+def baseline(notes: DataFrame, n_lines: int | None = None) -> DataFrame:
+    """The reference text a ledger is audited against: all of it, or its first ``n_lines`` lines."""
+    text = F.col("content")
+    if n_lines is not None:
+        text = F.array_join(F.slice(T.split_lines(text), 1, n_lines), "\n")
+    return notes.select("project", "name", text.alias("baseline"))
 
 
 def verdict_history(ledger: DataFrame) -> DataFrame:

@@ -448,30 +448,31 @@ def locate_rules(cited: DataFrame, rules_docs: DataFrame) -> DataFrame:
 
 
 def locate_code(cited: DataFrame, files: DataFrame, chars: int = 30) -> DataFrame:
-    """Add ``line_number``: a leading ``n |`` of the cited text, else the first line holding its first
-    ``chars`` characters, else 0."""
+    """Add ``line_number``: a leading ``n |`` of the cited text, else the first line holding the whole cited
+    text, else that holding its first ``chars`` characters, else 0."""
     said = F.regexp_extract("violation", r"^(\d+)\s*\|\s*", 1)
-    piece = F.substring(F.regexp_replace("violation", r"^\d+\s*\|\s*", ""), 1, chars)
+    piece = F.regexp_replace("violation", r"^\d+\s*\|\s*", "")
     j = (cited.withColumns({"_said": said, "_piece": piece})
          .join(files.select("path", F.col("code").alias("_code")), "path", "left"))
-    at = F.when(F.col("_piece") != "", F.expr("locate(_piece, _code)")).otherwise(0)
+    at = F.when(F.col("_piece") != "", F.expr(
+        f"coalesce(nullif(locate(_piece, _code), 0), locate(substring(_piece, 1, {chars}), _code))")).otherwise(0)
     found = F.size(T.split_lines(F.substring(F.col("_code"), F.lit(1), at - 1)))
     return j.withColumn("line_number", F.when(F.col("_said") != "", F.col("_said").cast("int"))
                         .when(at > 0, found).otherwise(0)).drop("_said", "_piece", "_code")
 
 
-def unique_citations(cited: DataFrame, key_chars: int = 40, limit: int = 5) -> DataFrame:
-    """First citation per (rule, start of text), at most ``limit`` per response.
+def unique_citations(cited: DataFrame, limit: int = 5) -> DataFrame:
+    """First citation per (response, rule, text) with its ``rank``; ``within_limit`` marks the first ``limit``.
 
     Both steps work on the citations of one response, whose number its text bounds.
     """
     columns = [c for c in cited.columns if c != "response_id"]
-    first = (cited.groupBy("response_id", "rule_id", F.substring("violation", 1, key_chars).alias("_k"))
+    first = (cited.groupBy("response_id", "rule_id", F.col("violation").alias("_k"))
              .agg(F.min_by(F.struct(*columns), F.col("seq")).alias("r"), F.min("seq").alias("_s")))
     kept = first.groupBy("response_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.col("_s"), F.col("r")))), 1, limit).alias("l"))
+        F.array_sort(F.collect_list(F.struct(F.col("_s"), F.col("r")))).alias("l"))
     return kept.select("response_id", F.posexplode("l").alias("rank", "x")).select(
-        "response_id", (F.col("rank") + 1).alias("rank"), "x.r.*")
+        "response_id", (F.col("rank") + 1).alias("rank"), (F.col("rank") < limit).alias("within_limit"), "x.r.*")
 
 
 # --- tagged sections, commands, tags --------------------------------------------------------------------

@@ -77,11 +77,11 @@ def word_counts(files: DataFrame, words: dict[str, str] = R.SENSITIVE_WORDS, *ke
 
 # --- gate --------------------------------------------------------------------------------------
 
-def hard_skip_sql(path: str, text: str, name_only: bool = False, scan_chars: int | None = 2000) -> str:
+def hard_skip_sql(path: str, text: str, name_only: bool = False, scan_chars: int | None = None) -> str:
     """Reason of the first matching skip rule, else null.
 
-    Path rules come first, then file-name rules, then content rules over the first ``scan_chars``
-    characters (the length is part of the rule; None scans the whole text).
+    Path rules come first, then file-name rules, then content rules over the whole text, or its first
+    ``scan_chars`` characters.
     """
     name = f"lower(element_at(split({path}, '/'), -1))"
     where = name if name_only else f"lower({path})"
@@ -148,7 +148,7 @@ def line_findings(files: DataFrame, rules: Sequence[R.LineRule], *keep: str,
     ready = T.prepared(files.select(*keep, F.col(text).alias("_t")), "_t")
     tried = ready.selectExpr(*keep, "_t", f"explode(filter(array({possible}), x -> x IS NOT NULL)) AS _r")
     lines = T.explode_lines(tried, *keep, "_r", text="_t").where(f"CASE _r {matches} END")
-    return lines.selectExpr(*keep, "line_no AS line_number", "substring(trim(line), 1, 120) AS matched_text",
+    return lines.selectExpr(*keep, "line_no AS line_number", "trim(line) AS matched_text",
                             f"get(array({named}), _r) AS _h").select(
         *keep, "_h.rule_id", "_h.rule_name", "line_number", "matched_text", "_h.severity")
 

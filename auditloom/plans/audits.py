@@ -22,13 +22,15 @@ class FolderScan:
 
 
 def scan_folder(files: DataFrame, system_text: str, profile: R.Profile = R.BATCH, tpm: int = 30_000,
-                top: int = 150) -> FolderScan:
-    """Gate ``files(path, ext, code)``, rank, and build the request table of the riskiest ``top``.
+                top: int | None = None) -> FolderScan:
+    """Gate ``files(path, ext, code)``, rank, and build the request table of all that pass, or the riskiest
+    ``top``.  Files above the token cap stay in it with a ``skip_reason``.
 
-    The gate result is written without texts; the texts of the few ranked files are joined back.
+    The gate result is written without texts; the texts of the ranked files are joined back.
     """
     gated = materialise(screen.gate(files.select("path", "ext", "code"), profile).drop("code"), "gate")
-    queue = screen.top_risk(gated.where("should_audit").select("path", "ext", "risk_score"), top)
+    passed = gated.where("should_audit").select("path", "ext", "risk_score")
+    queue = passed if top is None else screen.top_risk(passed, top)
     chosen = files.select("path", "code").join(queue, "path")
     return FolderScan(queue, screen.extension_histogram(queue), screen.skip_report(gated),
                       budget.request_table(chosen, system_text, tpm))

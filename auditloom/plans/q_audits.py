@@ -6,12 +6,12 @@ from auditloom import rules as R
 from auditloom.plans import audits
 from auditloom.plans.bindings import bind, ctes, text
 from auditloom.plans.q_budget import _EST
-from auditloom.plans.q_screen import _PARTS, CHECKED, gate_sql, line_rules_sql, lines_sql
+from auditloom.plans.q_screen import _PARTS, gate_sql, line_rules_sql, lines_sql
 from auditloom.plans.registry import query
 
 _RULES = R.exploit_line_rules(R.LOCAL) + R.SECRET_RULES
 _CLEAN = _PARTS | {"cl": _PARTS["cl"].replace("FROM code_files)", "FROM code_files WHERE path NOT IN (SELECT path FROM l1))")}
-_LAYERS = {"g": gate_sql(CHECKED["local"], "code_files"), "gl": lines_sql("g", "path, should_audit"),
+_LAYERS = {"g": gate_sql(R.LOCAL, "code_files"), "gl": lines_sql("g", "path, should_audit"),
            "l1": line_rules_sql("gl", _RULES, extra_where="should_audit")} | _CLEAN | {
     "u": "SELECT path, rule_id, line_number, 'Layer 1' AS source_layer, 0 AS rank, lpad(CAST(line_number AS varchar), 8, '0') || rule_name AS seq FROM l1 "
          "UNION ALL SELECT path, rule_id, line_number, 'Layer 2', 1, lpad(CAST(line_number AS varchar), 8, '0') || variable FROM found",
@@ -24,20 +24,21 @@ SELECT c.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, CAST(
 coalesce(n, 0) AS n_violations, CASE WHEN n > 0 THEN '[' || found_in || '] ' || CAST(n AS varchar) || ' violation(s) found. Most severe: '
 || top || '.' ELSE 'All layers cleared. No violations found.' END AS reasoning FROM code_files c LEFT JOIN t ON t.path = c.path""")
 def layered(spark, sf):
-    return audits.audit(bind(spark, sf, "code_files"), profile=CHECKED["local"])
+    return audits.audit(bind(spark, sf, "code_files"), profile=R.LOCAL)
 
 
 _SYSTEM = "You are a code auditor. Answer in JSON."
 
 
 @query("audit_folder_requests", ctes("doc_files", extra={
-    "g": gate_sql(CHECKED["batch"], "doc_files"),
-    "q": "SELECT path, code FROM g WHERE should_audit ORDER BY risk_score DESC, path LIMIT 150",
+    "g": gate_sql(R.BATCH, "doc_files"),
+    "q": "SELECT path, code FROM g WHERE should_audit",
     "r": f"SELECT path, code, {_EST['by_numbered']} AS tokens FROM q"}) + f"""
-SELECT path, tokens, {text(_SYSTEM)} AS system FROM r WHERE tokens <= 6000""")
+SELECT path, tokens, {text(_SYSTEM)} AS system,
+CASE WHEN tokens > 6000 THEN 'File too large (' || format('{{:,}}', tokens) || ' tokens)' END AS skip_reason FROM r""")
 def folder(spark, sf):
-    return audits.scan_folder(bind(spark, sf, "doc_files"), _SYSTEM, CHECKED["batch"]).requests.select(
-        "path", "tokens", "system")
+    return audits.scan_folder(bind(spark, sf, "doc_files"), _SYSTEM, R.BATCH).requests.select(
+        "path", "tokens", "system", "skip_reason")
 
 
 @query("audit_guarded_documents", ctes("live", "snapshot") + """

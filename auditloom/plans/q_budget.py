@@ -14,7 +14,7 @@ from auditloom.plans import bindings as B
 from auditloom.plans.bindings import STR, bind, ctes, text
 from auditloom.plans.q_reports import _FORM, _HIST
 from auditloom.plans.q_responses import _LADDER
-from auditloom.plans.q_screen import CHECKED, gate_sql, line_rules_sql, lines_sql
+from auditloom.plans.q_screen import gate_sql, line_rules_sql, lines_sql
 from auditloom.plans.registry import query
 from auditloom.sources import logs
 from auditloom.sources.tables import table
@@ -62,7 +62,8 @@ _SYSTEM = "You are a code auditor. Answer in JSON."
     "t": f"SELECT path, code, {_EST['by_numbered']} AS tokens FROM doc_files",
     "l": f"SELECT path, unnest({_LINES}) AS line, unnest(range(1, len({_LINES}) + 1)) AS n FROM t WHERE tokens <= 6000"}) + f"""
 SELECT t.path, t.tokens, {text(_SYSTEM)} AS system, 'Audit this code (each line prefixed with its line number):' || chr(10) || chr(10)
-|| b.body AS user FROM t JOIN (SELECT path, string_agg(CAST(n AS varchar) || ': ' || line, chr(10) ORDER BY n) AS body FROM l GROUP BY path) b ON b.path = t.path""")
+|| b.body AS user, CASE WHEN t.tokens > 6000 THEN 'File too large (' || format('{{:,}}', t.tokens) || ' tokens)' END AS skip_reason
+FROM t LEFT JOIN (SELECT path, string_agg(CAST(n AS varchar) || ': ' || line, chr(10) ORDER BY n) AS body FROM l GROUP BY path) b ON b.path = t.path""")
 def bg3(spark, sf):
     return U.request_table(bind(spark, sf, "doc_files"), _SYSTEM, tpm=30_000)
 
@@ -75,12 +76,15 @@ _REQ = ["project", "path", "CAST(floor(n_chars / 1000) AS bigint) AS risk_score"
     "c": "SELECT *, CAST(sum(tokens) OVER (PARTITION BY project ORDER BY risk_score DESC, h, path ROWS UNBOUNDED PRECEDING) AS bigint) AS cum_tokens FROM r WHERE tokens <= 6000",
     "s": "SELECT *, (cum_tokens - 1) // 24000 AS ts FROM c",
     "k": "SELECT *, (row_number() OVER (PARTITION BY project, ts ORDER BY cum_tokens, h, path) - 1) // 10 AS cs FROM s"}) + """
-SELECT project, path, tokens, cum_tokens, CAST(dense_rank() OVER (PARTITION BY project ORDER BY ts, cs) - 1 AS bigint) AS minute_slot FROM k""")
+SELECT project, path, tokens, cum_tokens, CAST(dense_rank() OVER (PARTITION BY project ORDER BY ts, cs) - 1 AS bigint) AS minute_slot FROM k
+UNION ALL SELECT project, path, tokens, CAST(NULL AS bigint), CAST(NULL AS bigint) FROM r WHERE tokens > 6000""")
 def bg4(spark, sf):
     files = bind(spark, sf, "doc_files")
     requests = files.selectExpr(*_REQ, "code").withColumn("tokens", U.estimate_chars(F.col("code"))).drop("code")
-    kept = U.cap_split(requests, tpm=30_000).where("skip_reason IS NULL").drop("skip_reason")
-    return U.minute_slots(kept, tpm=30_000, rpm=10)
+    sized = U.cap_split(requests, tpm=30_000)
+    slots = U.minute_slots(sized.where("skip_reason IS NULL").drop("skip_reason"), tpm=30_000, rpm=10)
+    over = sized.where("skip_reason IS NOT NULL")  # no minute can hold them: rows without a slot
+    return slots.unionByName(over.select("project", "path", "tokens"), allowMissingColumns=True)
 
 
 # --- call logs ------------------------------------------------------------------------------------------------
@@ -147,18 +151,6 @@ def bg10(spark, sf):
     return U.thin_log(bind(spark, sf, "calls").selectExpr("model AS key", "ts", "call_id"), "call_id")
 
 
-def _bucket_calls(df):
-    # Tokens per call are raised so that the bucket of a busy key runs dry.
-    return df.selectExpr("CAST(length(model) AS bigint) AS key", "call_id", "ts", "est_tokens % 500 + 200 AS est_tokens",
-                         "actual_tokens % 300 + 100 AS actual_tokens", "status")
-
-
-@query("st3_token_waits")
-def st3_batch(spark, sf):
-    """Waits of each call, batch form (sequential state: no SQL twin; tests compare with the stream)."""
-    return U.token_waits(_bucket_calls(bind(spark, sf, "calls")), tpm=4000)
-
-
 def _stream(spark, sf, name):
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -169,19 +161,13 @@ def _bound_stream(spark, sf, name):
     return _stream(spark, sf, source).selectExpr(*columns)
 
 
-@query("st3_token_admission_stream")
-def st3(spark, sf):
-    """Waits of each call from keyed state of a stream."""
-    return jobs.run_to_table(jobs.admit(_bucket_calls(_bound_stream(spark, sf, "calls")), tpm=4000), "admit")
-
-
 # --- streams -----------------------------------------------------------------------------------------------------
 
 @query("st1_continuous_screen", ctes("doc_files", extra={
-    "g": gate_sql(CHECKED["local"], "doc_files"), "l": lines_sql("g", "path, should_audit")})
+    "g": gate_sql(R.LOCAL, "doc_files"), "l": lines_sql("g", "path, should_audit")})
     + line_rules_sql("l", R.exploit_line_rules(R.LOCAL) + R.SECRET_RULES, extra_where="should_audit"))
 def st1(spark, sf):
-    return jobs.run_to_table(jobs.continuous_screen(_bound_stream(spark, sf, "doc_files"), CHECKED["local"]), "screen")
+    return jobs.run_to_table(jobs.continuous_screen(_bound_stream(spark, sf, "doc_files"), R.LOCAL), "screen")
 
 
 @query("st2_reaudit_state", ctes(extra=_HIST) + f"""SELECT path, ts, CAST(len(string_split(content, chr(10))) AS integer) AS n_lines,

@@ -276,9 +276,10 @@ def rs18(spark, sf):
 
 @query("rs19_code_location", ctes("reasons", "code_files", extra=_CITED | {
     "m": r"""SELECT c.response_id, c.seq, c.violation, f.code, regexp_extract(violation, '^(\d+)\s*\|\s*', 1) AS said,
-left(regexp_replace(violation, '^\d+\s*\|\s*', ''), 30) AS piece FROM cited c LEFT JOIN code_files f ON f.path = c.path"""}) + """
-SELECT response_id, seq, violation, CASE WHEN said <> '' THEN CAST(said AS integer) WHEN piece <> '' AND instr(code, piece) > 0
-THEN CAST(len(string_split(left(code, instr(code, piece) - 1), chr(10))) AS integer) ELSE 0 END AS line_number FROM m""")
+regexp_replace(violation, '^\d+\s*\|\s*', '') AS piece FROM cited c LEFT JOIN code_files f ON f.path = c.path"""}) + """
+SELECT response_id, seq, violation, CASE WHEN said <> '' THEN CAST(said AS integer) WHEN piece <> '' AND spot > 0
+THEN CAST(len(string_split(left(code, spot - 1), chr(10))) AS integer) ELSE 0 END AS line_number
+FROM (SELECT *, coalesce(nullif(instr(code, piece), 0), instr(code, left(piece, 30))) AS spot FROM m)""")
 def rs19(spark, sf):
     cited = P.citations(bind(spark, sf, "reasons"))
     return P.locate_code(cited, bind(spark, sf, "code_files")).select(
@@ -286,12 +287,12 @@ def rs19(spark, sf):
 
 
 @query("rs20_unique_citations", ctes("reasons", extra=_CITED | {
-    "u": "SELECT *, row_number() OVER (PARTITION BY response_id, rule_id, left(violation, 40) ORDER BY seq) AS k FROM cited",
+    "u": "SELECT *, row_number() OVER (PARTITION BY response_id, rule_id, violation ORDER BY seq) AS k FROM cited",
     "t": "SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY seq) AS rank FROM u WHERE k = 1"}) + """
-SELECT response_id, CAST(rank AS integer) AS rank, rule_id, rule_name, violation, seq FROM t WHERE rank <= 5""")
+SELECT response_id, CAST(rank AS integer) AS rank, rank <= 5 AS within_limit, rule_id, rule_name, violation, seq FROM t""")
 def rs20(spark, sf):
     return P.unique_citations(P.citations(bind(spark, sf, "reasons"))).select(
-        "response_id", "rank", "rule_id", "rule_name", "violation", "seq")
+        "response_id", "rank", "within_limit", "rule_id", "rule_name", "violation", "seq")
 
 
 def _section(start: str, stop: str | None) -> str:

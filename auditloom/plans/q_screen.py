@@ -13,12 +13,15 @@ from auditloom.plans.bindings import STR, bind, case, ctes, text
 from auditloom.plans.registry import query
 from auditloom.sources import config
 
-# DuckDB's regex engine has no look-ahead: profiles checked against SQL leave those two rules out.
-CHECKED = {name: p.without(*R.LOOKAHEAD_RULES) for name, p in R.PROFILES.items()}
-
-
 def hits_sql(rule: R.Rule, column: str = "code") -> str:
-    return f"len(regexp_extract_all({column}, {text(rule.pattern)}))"
+    if rule.name not in R.LOOKAHEAD_RULES:
+        return f"len(regexp_extract_all({column}, {text(rule.pattern)}))"
+    # DuckDB's regex engine has no look-ahead.  A match counts if no validator stands after it in its line: of
+    # the line's matches, those before the last validator go.
+    wanted, validators = rule.pattern.removesuffix("))").split("(?!.*(")
+    return (f"CAST(list_sum(list_transform(string_split({column}, chr(10)), lambda x: "
+            f"len(regexp_extract_all(x, {text(wanted)})) - len(regexp_extract_all(regexp_extract(x, "
+            f"{text(f'^(.*)(?:{validators})')}, 1), {text(wanted)})))) AS bigint)")
 
 
 def score_sql(profile: R.Profile, column: str = "code") -> str:
@@ -150,7 +153,7 @@ def skip_sql(profile: R.Profile) -> str:
     whens = [f"WHEN regexp_matches({where}, {text(p)}) THEN {text('Hard skip: ' + n)}" for n, p in R.SKIP_PATH.items()]
     whens += [f"WHEN regexp_matches(lower({NAME_SQL}), {text(p)}) THEN {text(f'Hard skip: {n} in filename')}"
               for n, p in R.SKIP_FILENAME.items()]
-    whens += [f"WHEN regexp_matches(left(code, 2000), {text(p)}) THEN {text(f'Hard skip: {n} in content')}"
+    whens += [f"WHEN regexp_matches(code, {text(p)}) THEN {text(f'Hard skip: {n} in content')}"
               for n, p in R.SKIP_CONTENT.items()]
     return f"CASE {' '.join(whens)} END"
 
@@ -182,33 +185,32 @@ def hits_rows_sql(source: str, rules, keep: str = "path") -> str:
             f"(SELECT {keep}, unnest([{rows}]) AS h FROM {source}) WHERE h.hits > 0")
 
 
-@query("sc5_rule_hits_pages", ctes("page_files") + hits_rows_sql("page_files", CHECKED["local"].rules))
+@query("sc5_rule_hits_pages", ctes("page_files") + hits_rows_sql("page_files", R.LOCAL.rules))
 def sc5_pages(spark, sf):
-    return S.rule_hits(bind(spark, sf, "page_files"), CHECKED["local"].rules)
+    return S.rule_hits(bind(spark, sf, "page_files"), R.LOCAL.rules)
 
 
-@query("sc5_rule_hits_documents", ctes("doc_files") + hits_rows_sql("doc_files", CHECKED["local"].rules))
+@query("sc5_rule_hits_documents", ctes("doc_files") + hits_rows_sql("doc_files", R.LOCAL.rules))
 def sc5_docs(spark, sf):
-    return S.rule_hits(bind(spark, sf, "doc_files"), CHECKED["local"].rules)
+    return S.rule_hits(bind(spark, sf, "doc_files"), R.LOCAL.rules)
 
 
-@query("sc5_rule_hits_code_all_rules")
+@query("sc5_rule_hits_code_all_rules", ctes("code_files") + hits_rows_sql("code_files", R.LOCAL.rules))
 def sc5_code(spark, sf):
-    """All rules, look-ahead included (no SQL twin: DuckDB's regex has no look-ahead)."""
     return S.rule_hits(bind(spark, sf, "code_files"), R.LOCAL.rules)
 
 
 @query("sc6_risk_score_pages", ctes("page_files")
-       + f"SELECT page_id, path, {score_sql(CHECKED['local'])} AS risk_score FROM page_files")
+       + f"SELECT page_id, path, {score_sql(R.LOCAL)} AS risk_score FROM page_files")
 def sc6(spark, sf):
-    return S.risk_score(bind(spark, sf, "page_files"), CHECKED["local"]).select("page_id", "path", "risk_score")
+    return S.risk_score(bind(spark, sf, "page_files"), R.LOCAL).select("page_id", "path", "risk_score")
 
 
 def _gate_query(number: str, profile: str, source: str) -> None:
-    @query(f"{number}_gate_{profile}_{source}", ctes(source, extra={"g": gate_sql(CHECKED[profile], source)})
+    @query(f"{number}_gate_{profile}_{source}", ctes(source, extra={"g": gate_sql(R.PROFILES[profile], source)})
            + "SELECT path, should_audit, reason, risk_score FROM g")
     def run(spark, sf):
-        return S.gate(bind(spark, sf, source), CHECKED[profile]).select(
+        return S.gate(bind(spark, sf, source), R.PROFILES[profile]).select(
             "path", "should_audit", "reason", "risk_score")
 
 
@@ -219,13 +221,13 @@ _gate_query("sc10", "local", "code_files")
 _gate_query("sc10", "cloud", "code_files")
 
 
-@query("sc11_gate_bypass", ctes("code_files", "rule_docs", extra={"g": gate_sql(CHECKED["cloud"], "code_files")}) + """
+@query("sc11_gate_bypass", ctes("code_files", "rule_docs", extra={"g": gate_sql(R.CLOUD, "code_files")}) + """
 SELECT g.project, g.path, coalesce(r.rules, '') <> '' OR g.should_audit AS should_audit,
 CASE WHEN coalesce(r.rules, '') <> '' THEN 'Context-Aware Override' ELSE g.reason END AS reason,
 CASE WHEN coalesce(r.rules, '') <> '' THEN 1 ELSE g.risk_score END AS risk_score
 FROM g LEFT JOIN rule_docs r ON g.project = r.project""")
 def sc11(spark, sf):
-    gated = S.gate(bind(spark, sf, "code_files"), CHECKED["cloud"]).select(
+    gated = S.gate(bind(spark, sf, "code_files"), R.CLOUD).select(
         "project", "path", "should_audit", "reason", "risk_score")
     return S.gate_with_project_rules(gated, bind(spark, sf, "rule_docs"))
 
@@ -235,7 +237,7 @@ def line_rules_sql(source: str, rules, keep: str = "path", extra_where: str = "T
         hit = f"regexp_matches(line, {text(r.pattern)})"
         return hit if r.allow is None else f"({hit} AND NOT regexp_matches(line, {text(r.allow)}))"
     parts = [f"SELECT {keep}, {text(r.rule_id)} AS rule_id, {text(r.name)} AS rule_name, line_no AS line_number, "
-             f"left(trim(line), 120) AS matched_text, {text(r.severity)} AS severity FROM {source} "
+             f"trim(line) AS matched_text, {text(r.severity)} AS severity FROM {source} "
              f"WHERE {extra_where} AND {cond(r)}" for r in rules]
     return "\nUNION ALL ".join(parts)
 
@@ -244,10 +246,10 @@ _SCREEN_RULES = R.exploit_line_rules(R.LOCAL) + R.SECRET_RULES
 
 
 @query("sc12_line_findings", ctes("code_files", extra={
-    "g": gate_sql(CHECKED["local"], "code_files"), "l": lines_sql("g", "path, should_audit")})
+    "g": gate_sql(R.LOCAL, "code_files"), "l": lines_sql("g", "path, should_audit")})
     + line_rules_sql("l", _SCREEN_RULES, extra_where="should_audit"))
 def sc12(spark, sf):
-    return S.screen_findings(bind(spark, sf, "code_files"), CHECKED["local"])
+    return S.screen_findings(bind(spark, sf, "code_files"), R.LOCAL)
 
 
 @query("sc13_hardcoded_secrets", ctes("doc_files", extra={"l": lines_sql("doc_files")})
@@ -257,7 +259,7 @@ def sc13(spark, sf):
 
 
 @query("sc14_screen_verdict", ctes("code_files", extra={
-    "g": gate_sql(CHECKED["local"], "code_files"), "l": lines_sql("g", "path, should_audit"),
+    "g": gate_sql(R.LOCAL, "code_files"), "l": lines_sql("g", "path, should_audit"),
     "f": line_rules_sql("l", _SCREEN_RULES, extra_where="should_audit"),
     "n": "SELECT path, count(*) AS n FROM f GROUP BY path"}) + """
 SELECT g.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, coalesce(n, 0) AS n_violations, risk_score,
@@ -266,13 +268,13 @@ WHEN n > 0 THEN 'Layer 1 REJECT: ' || CAST(n AS varchar) || ' critical violation
 ELSE 'Layer 1 ACCEPT: Risk surface detected but no critical violations (Risk Score: ' || CAST(risk_score AS varchar) || ')'
 END AS details FROM g LEFT JOIN n ON g.path = n.path""")
 def sc14(spark, sf):
-    return S.screen_verdicts(bind(spark, sf, "code_files"), CHECKED["local"])
+    return S.screen_verdicts(bind(spark, sf, "code_files"), R.LOCAL)
 
 
-@query("sc15_top_150", ctes("page_files") + f"""SELECT page_id, path, {score_sql(CHECKED['local'])} AS risk_score
+@query("sc15_top_150", ctes("page_files") + f"""SELECT page_id, path, {score_sql(R.LOCAL)} AS risk_score
 FROM page_files ORDER BY risk_score DESC, path LIMIT 150""")
 def sc15(spark, sf):
-    scored = S.risk_score(bind(spark, sf, "page_files"), CHECKED["local"])
+    scored = S.risk_score(bind(spark, sf, "page_files"), R.LOCAL)
     return S.top_risk(scored.select("page_id", "path", "risk_score"))
 
 
@@ -285,10 +287,10 @@ def sc16(spark, sf):
     return S.extension_histogram(files)
 
 
-@query("sc17_skip_report", ctes("doc_files", extra={"g": gate_sql(CHECKED["batch"], "doc_files")}) + """
+@query("sc17_skip_report", ctes("doc_files", extra={"g": gate_sql(R.BATCH, "doc_files")}) + """
 SELECT reason, count(*) AS n_files FROM g WHERE NOT should_audit GROUP BY reason""")
 def sc17(spark, sf):
-    return S.skip_report(S.gate(bind(spark, sf, "doc_files"), CHECKED["batch"]))
+    return S.skip_report(S.gate(bind(spark, sf, "doc_files"), R.BATCH))
 
 
 EXPLOITABILITY_SQL = f"""CASE
@@ -438,8 +440,8 @@ WHEN callee <> '' AND sink IS NOT NULL THEN 'OTHER' WHEN callee <> '' THEN 'EXTE
 FROM src0""",
     "sources": f"""SELECT path, target AS variable, line_no, line AS expression, node_type FROM src1
 WHERE language = 'python' AND node_type IN ('EXTERNAL_INPUT', 'F_STRING_TEMPLATE', 'FORMAT_OPERATOR')
-UNION ALL SELECT path, target, min(line_no), left(arg_min(line, line_no), 120), 'EXTERNAL_INPUT' FROM src1
-WHERE length(target) < 40 AND {_by_language(R.EXTERNAL_INPUT)} GROUP BY path, target""",
+UNION ALL SELECT path, target, min(line_no), arg_min(line, line_no), 'EXTERNAL_INPUT' FROM src1
+WHERE {_by_language(R.EXTERNAL_INPUT)} GROUP BY path, target""",
     "us0": f"""SELECT path, language, line_no, line, target, calls, sink, coalesce(rhs, line) AS t FROM st""",
     "uses": f"""SELECT path, language, line_no, line, target, calls, sink, unnest(list_distinct(regexp_extract_all(
 regexp_replace(CASE WHEN regexp_matches(t, '(?:^|[^A-Za-z0-9_])[rR]?[fF]["'']') OR contains(t, '${{') THEN t
@@ -467,7 +469,7 @@ FROM reached r JOIN outs o ON o.path = r.path AND o.variable = r.variable
 WHERE NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.path = r.path AND c.root = r.root) GROUP BY 1, 2""",
     "found": """SELECT l.path, 'L2-DATA-FLOW' AS rule_id, 'Insecure Data Flow' AS rule_name, l.root AS variable,
 s.line_number, l.sink_line, 'Source: ' || l.root || ' (line ' || CAST(s.line_number AS varchar) || ') -> Sink: '
-|| left(l.sink_text, 60) || ' (line ' || CAST(l.sink_line AS varchar) || ')' AS data_flow, 'HIGH' AS severity
+|| l.sink_text || ' (line ' || CAST(l.sink_line AS varchar) || ')' AS data_flow, 'HIGH' AS severity
 FROM leaked l JOIN (SELECT path, variable, min(line_no) AS line_number FROM sources GROUP BY 1, 2) s
 ON s.path = l.path AND s.variable = l.root""",
 }
@@ -516,7 +518,7 @@ def fl5_boundary(spark, sf):
     return flow.boundary_hits(_Flow(spark, sf).reached)
 
 
-@query("fl6_output_edges", flow_sql("""SELECT o.path, o.variable, o.line_no, left(o.line, 60) AS "to" FROM outs o
+@query("fl6_output_edges", flow_sql("""SELECT o.path, o.variable, o.line_no, o.line AS "to" FROM outs o
 WHERE EXISTS (SELECT 1 FROM sources s WHERE s.path = o.path AND s.variable = o.variable)"""))
 def fl6(spark, sf):
     f = _Flow(spark, sf)
@@ -535,7 +537,7 @@ coalesce((SELECT string_agg('  Line ' || CAST(e.line_no AS varchar) || ': passes
   '  No propagation detected') AS propagation,
 coalesce((SELECT string_agg('  Line ' || CAST(h.line_no AS varchar) || ': hits registered sink ' || h.sink_name
   || ' - SAFE', chr(10) ORDER BY h.line_no) FROM hits h WHERE h.path = s.path AND h.variable = s.variable),
-  '  No registered sink reached') AS sink_status, left(c.code, 800) AS code_head
+  '  No registered sink reached') AS sink_status, c.code AS code_head
 FROM sources s JOIN code_files c ON c.path = s.path"""))
 def fl8(spark, sf):
     f = _Flow(spark, sf)

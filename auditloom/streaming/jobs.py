@@ -1,4 +1,4 @@
-"""Streaming forms of the audit: screen, re-audit state, token bucket, rates, alerts.
+"""Streaming forms of the audit: screen, re-audit state, rates, alerts.
 
 Functions take a streaming DataFrame and return one; starting the query is left to the caller (or to
 ``run_to_table``).  Each also accepts a batch DataFrame where Spark allows it.
@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from auditloom import rules as R
 from auditloom.functions import text as T
 from auditloom.functions.session import scratch_path
-from auditloom.operators.budget import Bucket
 from auditloom.operators.screen import screen_findings
 from auditloom.operators.snapshots import cosmetic_form
 
@@ -118,45 +117,3 @@ def reaudit(saves: DataFrame, first_limit: int = 200, full_limit: int = 150) ->
         ReauditProcessor(first_limit, full_limit),
         outputStructType="path string, ts timestamp, n_lines int, mode string",
         outputMode="append", timeMode="none")
-
-
-# --- token bucket -------------------------------------------------------------------------------------------
-
-class BucketProcessor(StatefulProcessor):
-    """Per key: tokens, last refill and pause; emits the wait of each call."""
-
-    def __init__(self, tpm: int, strict: bool = False, pause: float = 30.0):
-        self.tpm, self.strict, self.pause = tpm, strict, pause
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double, paused double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bucket = Bucket(self.tpm, strict=self.strict)
-        if self.state.exists():
-            tokens, last, paused = self.state.get()
-            bucket = Bucket(self.tpm, tokens, last, paused, self.strict)
-        batch = pd.concat(list(rows)).sort_values(["ts", "call_id"], kind="stable")
-        out = []
-        for call_id, ts, est, act, status in zip(batch["call_id"], batch["ts"], batch["est_tokens"],
-                                                 batch["actual_tokens"], batch["status"]):
-            now = ts.value / 1e9
-            wait = bucket.consume(now, est)
-            if wait >= 0.0:
-                bucket.settle(now, est, act, status, self.pause)
-            out.append((key[0], call_id, ts, wait, bucket.available(now)))
-        self.state.update((float(bucket.tokens), bucket.last if bucket.last is not None else -1e18,
-                           float(bucket.paused_until)))
-        yield pd.DataFrame(out, columns=["key", "call_id", "ts", "wait_seconds", "tokens_left"])
-
-    def close(self) -> None:
-        pass
-
-
-def admit(calls: DataFrame, tpm: int, strict: bool = False, pause: float = 30.0) -> DataFrame:
-    """Wait of each call of a stream under a token bucket per key (bigint keys)."""
-    use_rocksdb(calls.sparkSession)
-    return calls.groupBy("key").transformWithStateInPandas(
-        BucketProcessor(tpm, strict, pause),
-        outputStructType="key bigint, call_id bigint, ts timestamp, wait_seconds double, tokens_left double",
-        outputMode="append", timeMode="none")

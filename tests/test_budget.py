@@ -7,10 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditloom.operators import budget as U
-from auditloom.operators.budget import Bucket
 
 START = dt.datetime(2024, 1, 1)
-CALLS = "key bigint, call_id bigint, ts timestamp, est_tokens bigint, actual_tokens bigint, status int"
 
 
 def at(seconds):
@@ -44,62 +42,6 @@ def test_cap(tpm, cap):
     assert U.file_cap(tpm) == cap
 
 
-def test_documented_waits():
-    bucket, now, waits = Bucket(30_000), 0.0, []
-    # A request above a fifth of the budget is refused; below it the documented five calls are scaled down.
-    assert bucket.consume(0.0, 8_000) == -1.0
-    bucket = Bucket(40_000)
-    bucket.tokens = 30_000.0 * 40 / 40
-    for _ in range(5):
-        wait = bucket.consume(now, 8_000)
-        waits.append(round(wait, 6))
-        now += wait
-    # 30,000 tokens at 40,000 a minute: three calls pass, then deficits of 2,000 and 8,000 - 2,000.
-    assert waits == [0, 0, 0, 3.0, 9.0]
-    strict, now, waits = Bucket(40_000, tokens=30_000.0, strict=True), 0.0, []
-    for _ in range(5):
-        wait = strict.consume(now, 8_000)
-        waits.append(round(wait, 6))
-        now += wait
-    assert waits == [0, 0, 0, 3.0, 12.0]
-
-
-def test_pause_and_refund():
-    b = Bucket(6_000)
-    assert b.consume(0, 1_000) == 0
-    b.settle(0, 1_000, 400, 200)
-    assert b.tokens == 5_600
-    b.settle(0, 100, 100, 429)
-    assert b.consume(10, 1_000) == 20 and b.tokens == 5_600
-    assert b.consume(30, 1_000) == 0 and b.tokens == 5_000
-
-
-def log(spark, n, keys, step):
-    return [(k, i, at(int(i * step)), 200 + (i * 37) % 900, 100 + (i * 53) % 900, 429 if i % 17 == 0 else 200)
-            for i in range(n) for k in keys[: 1 + i % len(keys)]]
-
-
-def replay(data, tpm):
-    out, buckets = {}, {}
-    for k, i, ts, est, act, status in sorted(data, key=lambda r: (r[2], r[1])):
-        b = buckets.setdefault(k, Bucket(tpm))
-        now = (ts - dt.datetime(1970, 1, 1)).total_seconds()
-        wait = b.consume(now, est)
-        if wait >= 0:
-            b.settle(now, est, act, status)
-        out[(k, i)] = (round(wait, 6), round(b.available(now), 6))
-    return out
-
-
-@pytest.mark.parametrize("step", [3, 20, 90])
-def test_waits_equal_sequential_replay(spark, step):
-    """Splitting at gaps gives the waits of one pass per key; key 1 holds most of the calls."""
-    data = log(spark, 300, [1, 2, 3], step)
-    got = U.token_waits(spark.createDataFrame(data, CALLS), 5_000).collect()
-    assert {(r.key, r.call_id): (round(r.wait_seconds, 6), round(r.tokens_left, 6)) for r in got} == replay(data, 5_000)
-    assert all(0 <= r.tokens_left <= 5_000 for r in got)
-
-
 def test_minute_slots(spark):
     data = [("hot" if i % 3 else f"p{i % 7}", f"f{i}", i % 5, 500 + (i * 7919) % 1500) for i in range(600)]
     df = spark.createDataFrame(data, "project string, path string, risk_score bigint, tokens bigint")

@@ -2,16 +2,12 @@ import datetime as dt
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from auditloom.functions.session import materialise, small_rows, spread
-from auditloom.operators import budget as U
 from auditloom.operators import snapshots as N
 from auditloom.sources import corpus, logs
 from auditloom.streaming import jobs
 
-from test_budget import CALLS, log, replay
-
 
 @pytest.fixture
 def folder(tmp_path):
@@ -36,16 +32,6 @@ def parts(spark, folder, schema, *batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "b*.parquet").parquet(folder)
 
 
-def test_bucket_stream_equals_batch(spark, folder):
-    data = sorted(log(spark, 120, [1, 2], 5), key=lambda r: r[2])
-    stream = parts(spark, folder, CALLS, data[:70], data[70:140], data[140:])
-    got = {(r.key, r.call_id): (round(r.wait_seconds, 6), round(r.tokens_left, 6))
-           for r in drain(jobs.admit(stream, 5_000), "admitted").collect()}
-    assert got == replay(data, 5_000)
-    batch = U.token_waits(spark.createDataFrame(data, CALLS), 5_000).collect()
-    assert got == {(r.key, r.call_id): (round(r.wait_seconds, 6), round(r.tokens_left, 6)) for r in batch}
-
-
 def test_reaudit_stream_equals_batch(spark, folder):
     day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * i)
     big = "\n".join(f"l{i}" for i in range(30))
