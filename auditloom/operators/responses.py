@@ -40,6 +40,15 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _holds(v: Column) -> Column:
+    """Whether a JSON value counts as true: not null, false, zero or empty; null for an absent one."""
+    kind = _kind(v)
+    return (F.when(kind == "BOOLEAN", _get(v, "$", "boolean")).when(kind == "STRING", _get(v, "$", "string") != "")
+            .when(kind.startswith("OBJECT"), kind != "OBJECT<>")
+            .when(kind.startswith("ARRAY"), F.size(_get(v, "$", "array<variant>")) > 0)
+            .when(kind == "VOID", F.lit(False)).otherwise(_get(v, "$", "double") != 0))
+
+
 def whole_json(df: DataFrame, name: str, text: Column) -> DataFrame:
     """Add ``name``: the one JSON value a text consists of, as VARIANT, else null.
 
@@ -141,10 +150,14 @@ def actions(items: DataFrame) -> DataFrame:
 # --- findings schema -------------------------------------------------------------------------------
 
 def with_findings(responses: DataFrame) -> DataFrame:
-    """Responses whose object has a ``findings`` array: ``findings array<variant>``."""
-    p = parsed(responses)
-    return p.withColumn("findings", _get(F.col("v"), "$.findings", "array<variant>")).where(
-        F.col("findings").isNotNull())
+    """Responses whose object has ``findings``: ``findings array<variant>`` and ``claimed``, true if it is filled.
+
+    A text or object in its place has no items, but claims findings if it is not empty.
+    """
+    given = _get(F.col("v"), "$.findings", "variant")
+    return parsed(responses).where(given.isNotNull()).withColumns({
+        "findings": F.coalesce(_get(F.col("v"), "$.findings", "array<variant>"), F.array().cast("array<variant>")),
+        "claimed": F.coalesce(_holds(given), F.lit(False))})
 
 
 def violations(responses: DataFrame) -> DataFrame:
@@ -171,7 +184,7 @@ def finding_score(findings: Column) -> Column:
     return F.when(F.size(findings) > 0, F.least(total / F.size(findings), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def finding_reasoning(findings: Column) -> Column:
+def finding_reasoning(findings: Column, claimed: Column) -> Column:
     """``[rule] Line n: description`` parts joined by ``; ``."""
     objects = F.filter(findings, lambda i: _kind(i).startswith("OBJECT"))
 
@@ -183,15 +196,16 @@ def finding_reasoning(findings: Column) -> Column:
                         F.lit("] "), where,
                         F.coalesce(_get(i, "$.description", "string"), F.lit(DEFAULT_DESCRIPTION)))
     text = F.array_join(F.transform(objects, part), "; ")
-    return (F.when(F.size(findings) == 0, "No security violations detected.")
+    return (F.when(~claimed, "No security violations detected.")
             .when(text != "", text).otherwise("Security violations detected."))
 
 
 def finding_verdicts(responses: DataFrame) -> DataFrame:
-    f = F.col("findings")
+    """One verdict for every response in findings schema; ``override`` gives one for every other."""
+    f, claimed = F.col("findings"), F.col("claimed")
     return with_findings(responses).select(
-        "response_id", "path", F.when(F.size(f) > 0, "REJECT").otherwise("ACCEPT").alias("verdict"),
-        finding_score(f).alias("score"), finding_reasoning(f).alias("reasoning"))
+        "response_id", "path", F.when(claimed, "REJECT").otherwise("ACCEPT").alias("verdict"),
+        finding_score(f).alias("score"), finding_reasoning(f, claimed).alias("reasoning"))
 
 
 # --- override ladder (flow schema) --------------------------------------------------------------------
@@ -210,7 +224,8 @@ def literal_line(code: Column, line_number: Column) -> Column:
     return F.coalesce(F.get(T.split_lines(code), line_number - 1).rlike(LITERAL_LINE), F.lit(False))
 
 
-# Reasons and texts of forced verdicts, in the order they are tried.
+# Texts of forced verdicts by what was found, in the order they are tried.  The reason is the same
+# word, but a missing source line counts as an incomplete chain.
 FORCED_TEXT = {
     "malformed_json_schema": "Audit Truncated - Malformed JSON schema.",
     "malformed_cot_schema": "Audit Truncated - Missing mandatory CoT fields.",
@@ -241,9 +256,10 @@ def override(responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
         "response_id", "path", "raw", "v", "_code",
         F.upper(F.coalesce(_get(v, "$.verdict", "string"), F.lit("ACCEPT"))).alias("_verdict"),
         F.coalesce(_get(v, "$.rejection_reason", "string"), F.lit("")).alias("_why"),
-        F.coalesce(_get(v, "$.chain_complete", "boolean"), F.lit(False)).alias("_chain"),
+        F.coalesce(_holds(_get(v, "$.chain_complete", "variant")), F.lit(False)).alias("_chain"),
         _get(v, "$.sinks_scanned", "array<variant>").alias("_sinks"),
-        _get(step, "$.line", "int").alias("_line"),
+        _get(step, "$.line", "int").alias("_line"), _get(step, "$.line", "string").alias("_told"),
+        F.coalesce(_kind(_get(step, "$.line", "variant")) == "VOID", F.lit(True)).alias("_lineless"),
         F.coalesce(_get(step, "$.expression", "string"), F.lit("")).alias("_expr"))
     v = F.col("v")
     missing = T.any_of([_get(v, f"$.{k}", "variant").isNull()
@@ -254,23 +270,25 @@ def override(responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
         _get(s, "$.verdict", "string") == "VIOLATION", F.lit(False))), F.lit(False))
     cites_line = F.lower("_why").contains("line") | F.col("_why").contains("L")
     literal = literal_expression(F.col("_expr")) | literal_line(F.col("_code"), F.col("_line"))
-    p = p.withColumn("_said", F.lower(F.concat(F.col("_why"), F.lit(" "),
+    own = F.when(F.col("_why") != "", F.col("_why")).otherwise(
+        F.trim(F.substring_index("raw", "{", 1)))
+    p = p.withColumn("_said", F.lower(F.concat(own, F.lit(" "),
                                                F.coalesce(json_block(F.col("raw")), F.lit("")))))
     reason = (F.when(v.isNull(), "malformed_json_schema").when(missing, "malformed_cot_schema")
               .when(reject & ~F.col("_chain") & ~confirmed & ~cites_line, "incomplete_chain")
-              .when(reject & F.col("_line").isNull(), "missing_source_line")
+              .when(reject & F.col("_lineless"), "missing_source_line")
               .when(reject & literal, "literal_string_source")
               .when(reject & T.contains_any("_said", R.PROXIMITY_WORDS), "proximity_argument_detected"))
-    p = T.computed_once(p, "override_reason", reason)
-    forced = T.lookup(F.col("override_reason"), FORCED_TEXT, "")
-    own = F.when(F.col("_why") != "", F.col("_why")).otherwise(
-        F.trim(F.substring_index("raw", "{", 1)))
+    p = T.computed_once(p, "_found", reason)
+    forced = T.lookup(F.col("_found"), FORCED_TEXT, "")
+    p = p.withColumn("override_reason", F.when(F.col("_found") == "missing_source_line", "incomplete_chain")
+                     .otherwise(F.col("_found")))
     verdict = F.when(F.col("override_reason").isNotNull(), "ACCEPT").otherwise(F.col("_verdict"))
     return p.select(
         "response_id", "path", verdict.alias("verdict"),
         F.when(verdict == "REJECT", 1.0).otherwise(0.0).alias("score"), "override_reason",
         F.when(F.col("override_reason").isNotNull(),
-               F.replace(forced, F.lit("{}"), F.coalesce(F.col("_line").cast("string"), F.lit(""))))
+               F.replace(forced, F.lit("{}"), F.coalesce("_told", F.lit(""))))
         .otherwise(own).alias("reasoning"))
 
 
@@ -292,14 +310,14 @@ def check_lines(found: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``valid_line``: the reported line exists in the file (rows are kept, to count misses)."""
     sizes = files.select("path", T.line_count(F.col("code")).alias("n_lines"))
     ok = F.col("line_number").between(1, F.col("n_lines"))
-    return found.join(sizes, "path").withColumn("valid_line", F.coalesce(ok, F.lit(False)))
+    return found.join(sizes, "path", "left").withColumn("valid_line", F.coalesce(ok, F.lit(False)))
 
 
 def repair_lines(found: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``fixed_line``: the reported line if it holds the snippet, else the snippet's first line,
     else the reported line.  ``found`` has line_number and snippet."""
     snippet = F.trim(F.regexp_replace("snippet", r"^[0-9]+\s*\|\s*", ""))
-    j = found.join(files.select("path", F.col("code").alias("_code")), "path").withColumn("_s", snippet)
+    j = found.join(files.select("path", F.col("code").alias("_code")), "path", "left").withColumn("_s", snippet)
     reported = F.get(T.split_lines(F.col("_code")), F.col("line_number") - 1)
     here = F.coalesce((F.col("line_number") >= 1) & F.trim(reported).contains(F.col("_s")), F.lit(False))
     at = F.expr("locate(_s, _code)")
@@ -316,13 +334,22 @@ FIELDS = ("pattern_detected", "user_controlled_input", "uses_shell", "argument_t
 SAFE_PATTERN_WORDS = ("none", "no pattern", "no risk", "safe", "no issues")
 
 
+def _field(v: Column, name: str, kind: str) -> Column:
+    """A field of an answer.  Flags are read by what counts as true, numbers only from JSON numbers."""
+    raw = _get(v, f"$.{name}", "variant")
+    if kind == "boolean":
+        return _holds(raw)
+    value = _get(v, f"$.{name}", kind)
+    return F.when(~_kind(raw).isin("STRING", "BOOLEAN"), value) if kind == "double" else value
+
+
 def checked(responses: DataFrame) -> DataFrame:
     """Consistency of eight-field answers: fields, ``errors array<string>``, corrected severity and
     confidence.  Rules are tested on the answer as given; a later rule's severity wins."""
     v = F.col("v")
     p = parsed(responses).where("v IS NOT NULL").select(
         "response_id", "path", "v", *[
-            _get(v, f"$.{k}", t).alias(k) for k, t in zip(FIELDS, (
+            _field(v, k, t).alias(k) for k, t in zip(FIELDS, (
                 "string", "boolean", "boolean", "string", "string", "string", "double", "string"))])
     absent = T.compact(F.array(*[
         F.when(_get(v, f"$.{k}", "variant").isNull(), F.lit(f"Missing required field: {k}"))
@@ -359,7 +386,8 @@ def to_verdict(rows: DataFrame) -> DataFrame:
         "response_id", "path", F.when(reject, "REJECT").otherwise("ACCEPT").alias("action"),
         T.lookup(sev, R.SEVERITY_SCORE, 0.0).alias("drift_score"),
         F.when(reject, 1).otherwise(0).alias("n_violations"),
-        F.when(reject, F.lit("V2_ANALYSIS")).alias("rule_id"),
+        F.when(reject, F.lit("V2_ANALYSIS")).alias("rule_id"), F.when(reject, 1).alias("line_number"),
+        F.when(reject, F.coalesce("pattern_detected", F.lit("Security violation detected"))).alias("violation"),
         F.when(reject, F.when(F.coalesce("confidence", F.lit(0.0)) > 0.7, "HIGH").otherwise("LOW"))
         .alias("confidence"),
         F.coalesce("reasoning", F.lit("V2 analysis completed")).alias("reasoning"))

@@ -82,8 +82,16 @@ def rs4(spark, sf):
     return P.confirmed_findings(P.finding_items(bind(spark, sf, "reviews")))
 
 
+def holds_sql(value: str) -> str:
+    """Whether a JSON value counts as true."""
+    return (f"CASE json_type({value}) WHEN 'BOOLEAN' THEN ({value}->>'$') = 'true' WHEN 'VARCHAR' THEN ({value}->>'$') <> '' "
+            f"WHEN 'OBJECT' THEN len(json_keys({value})) > 0 WHEN 'ARRAY' THEN json_array_length({value}) > 0 "
+            f"WHEN 'NULL' THEN false ELSE TRY_CAST({value}->>'$' AS double) <> 0 END")
+
+
 _WITH = {"p": parsed_sql("reviews"),
-         "w": "SELECT response_id, path, json_extract(v, '$.findings[*]') AS fs FROM p WHERE json_type(v, '$.findings') = 'ARRAY'",
+         "w": f"""SELECT response_id, path, CASE WHEN json_type(v, '$.findings') = 'ARRAY' THEN json_extract(v, '$.findings[*]') ELSE [] END AS fs,
+coalesce({holds_sql("json_extract(v, '$.findings')")}, false) AS claimed FROM p WHERE json_exists(v, '$.findings')""",
          "e": "SELECT response_id, path, len(fs) AS n, unnest(fs) AS i, unnest(range(0, len(fs))) AS seq FROM w"}
 
 
@@ -102,9 +110,9 @@ _WEIGHT = case("coalesce(i->>'severity', 'MEDIUM')", {k: str(v) for k, v in R.SE
 
 
 @query("rs6_rs7_score_and_reasoning", ctes("reviews", extra=_WITH) + f"""
-SELECT w.response_id, w.path, CASE WHEN len(fs) > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict,
+SELECT w.response_id, w.path, CASE WHEN claimed THEN 'REJECT' ELSE 'ACCEPT' END AS verdict,
 CASE WHEN len(fs) > 0 THEN least(coalesce(g.total, 0) / len(fs), 1) ELSE 0 END AS score,
-CASE WHEN len(fs) = 0 THEN 'No security violations detected.' ELSE coalesce(g.said, 'Security violations detected.') END AS reasoning
+CASE WHEN NOT claimed THEN 'No security violations detected.' ELSE coalesce(g.said, 'Security violations detected.') END AS reasoning
 FROM w LEFT JOIN (SELECT response_id, CAST(sum({_WEIGHT}) AS double) AS total,
 string_agg('[' || coalesce(i->>'rule_id', {text(P.DEFAULT_RULE_ID)}) || '] ' || CASE WHEN coalesce(TRY_CAST(i->>'line_number' AS integer), 0) <> 0
 THEN 'Line ' || (i->>'line_number') || ': ' ELSE '' END || coalesce(i->>'description', {text(P.DEFAULT_DESCRIPTION)}), '; ' ORDER BY seq) AS said
@@ -120,24 +128,26 @@ def _near(column: str) -> str:
 _LADDER = {
     "p": parsed_sql("flow_reviews"),
     "q": f"""SELECT p.response_id, p.path, p.raw, p.v, d.code, upper(coalesce(v->>'verdict', 'ACCEPT')) AS verdict,
-coalesce(v->>'rejection_reason', '') AS why, coalesce(TRY_CAST(v->>'chain_complete' AS boolean), false) AS chain,
+coalesce(v->>'rejection_reason', '') AS why, coalesce({holds_sql("json_extract(v, '$.chain_complete')")}, false) AS chain,
 len(list_filter(coalesce(json_extract(v, '$.sinks_scanned[*]'), []), lambda s: (s->>'verdict') = 'VIOLATION')) > 0 AS confirmed,
 CASE json_type(v, '$.data_flow_logic.step_1_source') WHEN 'ARRAY' THEN json_extract(v, '$.data_flow_logic.step_1_source[0]')
 WHEN 'OBJECT' THEN json_extract(v, '$.data_flow_logic.step_1_source') END AS step, {block_sql('p.raw')} AS block
 FROM p LEFT JOIN doc_files d ON d.path = p.path WHERE NOT coalesce(json_exists(v, '$.findings'), false)""",
-    "r": """SELECT *, TRY_CAST(step->>'line' AS integer) AS line, trim(coalesce(step->>'expression', '')) AS expr FROM q""",
-    "o": f"""SELECT *, CASE WHEN v IS NULL THEN 'malformed_json_schema'
+    "r": """SELECT *, TRY_CAST(step->>'line' AS integer) AS line, step->>'line' AS told, coalesce(json_type(step, '$.line'), 'NULL') = 'NULL' AS lineless,
+CASE WHEN why <> '' THEN why ELSE trim(string_split(raw, '{')[1]) END AS own, trim(coalesce(step->>'expression', '')) AS expr FROM q""",
+    "o0": f"""SELECT *, CASE WHEN v IS NULL THEN 'malformed_json_schema'
 WHEN coalesce(json_type(v, '$.data_flow_logic'), 'NULL') = 'NULL' OR NOT json_exists(v, '$.chain_complete')
   OR NOT json_exists(v, '$.verdict') OR NOT json_exists(v, '$.confidence') THEN 'malformed_cot_schema'
 WHEN verdict = 'REJECT' AND NOT chain AND NOT confirmed AND NOT (contains(lower(why), 'line') OR contains(why, 'L')) THEN 'incomplete_chain'
-WHEN verdict = 'REJECT' AND line IS NULL THEN 'missing_source_line'
+WHEN verdict = 'REJECT' AND lineless THEN 'missing_source_line'
 WHEN verdict = 'REJECT' AND (starts_with(expr, '"') OR starts_with(expr, '''') OR contains(expr, '= "') OR contains(expr, '= ''')
   OR coalesce(regexp_matches(list_extract(string_split(code, chr(10)), line), {text(P.LITERAL_LINE)}), false)) THEN 'literal_string_source'
-WHEN verdict = 'REJECT' AND {_near("lower(why || ' ' || coalesce(block, ''))")} THEN 'proximity_argument_detected' END AS override_reason FROM r""",
+WHEN verdict = 'REJECT' AND {_near("lower(own || ' ' || coalesce(block, ''))")} THEN 'proximity_argument_detected' END AS what FROM r""",
+    "o": "SELECT *, CASE WHEN what = 'missing_source_line' THEN 'incomplete_chain' ELSE what END AS override_reason FROM o0",
     "final": f"""SELECT response_id, path, CASE WHEN override_reason IS NOT NULL THEN 'ACCEPT' ELSE verdict END AS verdict,
 CAST(CASE WHEN override_reason IS NULL AND verdict = 'REJECT' THEN 1.0 ELSE 0.0 END AS double) AS score, override_reason,
-CASE WHEN override_reason IS NOT NULL THEN replace({case('override_reason', {k: text(v) for k, v in P.FORCED_TEXT.items()}, "''")},
-'{{}}', coalesce(CAST(line AS varchar), '')) WHEN why <> '' THEN why ELSE trim(string_split(raw, '{{')[1]) END AS reasoning FROM o""",
+CASE WHEN override_reason IS NOT NULL THEN replace({case('what', {k: text(v) for k, v in P.FORCED_TEXT.items()}, "''")},
+'{{}}', coalesce(told, '')) ELSE own END AS reasoning FROM o""",
 }
 
 
@@ -159,7 +169,7 @@ def rs9(spark, sf):
 SELECT s.response_id, s.seq, s.line_number, CAST(len(string_split(d.code, chr(10))) - CASE WHEN d.code = '' OR d.code LIKE '%' || chr(10)
 THEN 1 ELSE 0 END AS integer) AS n_lines, coalesce(s.line_number BETWEEN 1 AND len(string_split(d.code, chr(10)))
  - CASE WHEN d.code = '' OR d.code LIKE '%' || chr(10) THEN 1 ELSE 0 END, false) AS valid_line
-FROM sure s JOIN doc_files d ON d.path = s.path""")
+FROM sure s LEFT JOIN doc_files d ON d.path = s.path""")
 def rs11(spark, sf):
     found = P.confirmed_findings(P.finding_items(bind(spark, sf, "reviews")))
     return P.check_lines(found, bind(spark, sf, "doc_files")).select(
@@ -183,7 +193,10 @@ def rs12(spark, sf):
 _TYPES = dict(zip(P.FIELDS, ("varchar", "boolean", "boolean", "varchar", "varchar", "varchar", "double", "varchar")))
 _CHECK = {
     "p": parsed_sql("eight_reviews"),
-    "f": "SELECT response_id, path, v, " + ", ".join(f"TRY_CAST(v->>'{k}' AS {t}) AS {k}" for k, t in _TYPES.items())
+    "f": "SELECT response_id, path, v, " + ", ".join(
+        f"{holds_sql(f'json_extract(v, {text(chr(36) + chr(46) + k)})')} AS {k}" if t == "boolean" else
+        f"CASE WHEN json_type(v, '$.{k}') NOT IN ('VARCHAR', 'BOOLEAN') THEN TRY_CAST(v->>'{k}' AS double) END AS {k}"
+        if t == "double" else f"TRY_CAST(v->>'{k}' AS {t}) AS {k}" for k, t in _TYPES.items())
          + " FROM p WHERE v IS NOT NULL",
     "g": f"""SELECT *, list_filter([{', '.join(f"CASE WHEN NOT json_exists(v, '$.{k}') THEN 'Missing required field: {k}' END" for k in P.FIELDS)}],
 lambda x: x IS NOT NULL) AS absent, NOT coalesce(user_controlled_input, false) AND severity = 'CRITICAL' AS e1,
@@ -215,6 +228,8 @@ SELECT response_id, path, CASE WHEN coalesce(severity, 'NONE') IN ('CRITICAL', '
 CAST({case("coalesce(severity, 'NONE')", {k: str(v) for k, v in R.SEVERITY_SCORE.items()}, '0.0')} AS double) AS drift_score,
 CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN 1 ELSE 0 END AS n_violations,
 CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN 'V2_ANALYSIS' END AS rule_id,
+CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN 1 END AS line_number,
+CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN coalesce(pattern_detected, 'Security violation detected') END AS violation,
 CASE WHEN severity IN ('CRITICAL', 'HIGH', 'MEDIUM') THEN CASE WHEN coalesce(confidence, 0) > 0.7 THEN 'HIGH' ELSE 'LOW' END END AS confidence,
 coalesce(reasoning, 'V2 analysis completed') AS reasoning FROM k""")
 def rs14(spark, sf):

@@ -30,8 +30,11 @@ def flow_raw(**change):
     (flow_raw(chain_complete=False, rejection_reason="bad"), "incomplete_chain", "ACCEPT"),
     (flow_raw(chain_complete=False), None, "REJECT"),
     (flow_raw(chain_complete=False, rejection_reason="bad", sinks_scanned=[{"verdict": "VIOLATION"}]), None, "REJECT"),
-    (flow_raw(data_flow_logic={"step_1_source": {"expression": "x"}}), "missing_source_line", "ACCEPT"),
-    (flow_raw(data_flow_logic={"step_1_source": []}), "missing_source_line", "ACCEPT"),
+    (flow_raw(data_flow_logic={"step_1_source": {"expression": "x"}}), "incomplete_chain", "ACCEPT"),
+    (flow_raw(data_flow_logic={"step_1_source": []}), "incomplete_chain", "ACCEPT"),
+    (flow_raw(data_flow_logic={"step_1_source": {"line": "three"}}), None, "REJECT"),
+    (flow_raw(rejection_reason="").replace("Thought.", "They are nearby."), "proximity_argument_detected", "ACCEPT"),
+    (flow_raw(chain_complete="false", rejection_reason="bad"), None, "REJECT"),
     (flow_raw(data_flow_logic={"step_1_source": [{"line": 1, "expression": "n = 'x'"}]}), "literal_string_source", "ACCEPT"),
     (flow_raw(rejection_reason="line 1 is nearby"), "proximity_argument_detected", "ACCEPT"),
     (flow_raw(verdict="accept", rejection_reason="nearby"), None, "ACCEPT")])
@@ -49,6 +52,23 @@ def test_literal_line(rows):
     assert one_row(0).override_reason is None
 
 
+@pytest.mark.parametrize("findings,verdict,score", [
+    (None, "ACCEPT", 0.0), ("", "ACCEPT", 0.0), ([], "ACCEPT", 0.0), ({}, "ACCEPT", 0.0), ("eval in line 3", "REJECT", 0.0),
+    ({"severity": "HIGH"}, "REJECT", 0.0), (["x"], "REJECT", 0.0), ([{"severity": "HIGH"}], "REJECT", 0.75)])
+def test_every_response_has_one_verdict(rows, findings, verdict, score):
+    given = one(rows, json.dumps({"findings": findings}))
+    got = P.finding_verdicts(given).collect()
+    assert [(r.verdict, r.score) for r in got] == [(verdict, score)]
+    assert P.override(given).count() == 0
+
+
+def test_types_of_eight_fields(rows):
+    base = {"pattern_detected": "x", "user_controlled_input": "false", "uses_shell": True, "argument_type": "list",
+            "exploitability": "real", "severity": "CRITICAL", "confidence": "0.9", "reasoning": "r"}
+    row = P.checked(one(rows, json.dumps(base))).first()
+    assert row.errors == ["Invalid confidence value (must be 0.0-1.0)"] and row.corrected_confidence == 0.5
+
+
 SHAPES = [
     ('{"findings": [{"is_vulnerable": true}, {"is_vulnerable": "true"}, "x", {"is_vulnerable": false}]}', "findings", 1),
     ('{"findings": []}', "empty", 0), ('[{"is_vulnerable": true, "severity": "low"}, {"is_vulnerable": true}]', "root_array", 2),
