@@ -84,6 +84,17 @@ def statements(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> DataFr
                             f"{_sink_sql(sinks)} AS sink")
 
 
+# Right sides that are one call or one subscript: a name and what is attached to it, with the last bracket closing
+# the first one it opened.  Brackets are balanced to three levels.
+_ROUND = r"\([^()]*\)"
+for _ in range(2):
+    _ROUND = rf"\([^()]*(?:{_ROUND}[^()]*)*\)"
+_SQUARE = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"
+_ATTACHED = rf"(?:\s*{_ROUND}|\s*{_SQUARE}|\s*\.\s*[A-Za-z_][A-Za-z0-9_]*)*"
+CALL = rf"^([A-Za-z_][A-Za-z0-9_.]*){_ATTACHED}\s*{_ROUND}$"
+SUBSCRIPT = rf"^[A-Za-z_][A-Za-z0-9_.]*{_ATTACHED}\s*{_SQUARE}$"
+
+
 def sources(stmts: DataFrame) -> DataFrame:
     """Variables assigned from external input: path, variable, line_no, expression, node_type.
 
@@ -96,11 +107,11 @@ def sources(stmts: DataFrame) -> DataFrame:
     form = (f"CASE WHEN {is_('^[rR]?[fF][' + QUOTES + ']')} THEN 'F_STRING_TEMPLATE' "
             f"WHEN {is_('^[' + QUOTES + '].*[' + QUOTES + r']\s*%\s')} THEN 'FORMAT_OPERATOR' "
             f"WHEN {is_('^[' + QUOTES + ']')} THEN 'LITERAL_STRING' "
-            f"WHEN {is_(r'^[A-Za-z_][A-Za-z0-9_.]*\[.*\]$')} THEN 'EXTERNAL_INPUT' "
+            f"WHEN {is_(SUBSCRIPT)} THEN 'EXTERNAL_INPUT' "
             f"WHEN _callee = '' THEN 'OTHER' WHEN {safe} THEN 'SAFE_TRANSFORMATION' "
             f"WHEN sink IS NOT NULL THEN 'OTHER' ELSE 'EXTERNAL_INPUT' END")
     assigned = stmts.where("target IS NOT NULL")
-    callee = F.regexp_extract("rhs", r"^([A-Za-z_][A-Za-z0-9_.]*)\s*\(.*\)$", 1)
+    callee = F.regexp_extract("rhs", CALL, 1)
     python = (assigned.where("language = 'python'").withColumn("_callee", callee)
               .withColumn("node_type", F.expr(form))
               .where(F.col("node_type").isin("EXTERNAL_INPUT", "F_STRING_TEMPLATE", "FORMAT_OPERATOR"))

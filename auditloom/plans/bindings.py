@@ -196,6 +196,12 @@ FLOW_OPEN = ('{"data_flow_logic": {"step_1_source": {"line": 1}}, "chain_complet
              '"confidence": "LOW", "rejection_reason": "seems bad", "sinks_scanned": []}')
 FLOW_NOLINE = ('{"data_flow_logic": {"step_1_source": null}, "chain_complete": true, "verdict": "REJECT", '
                '"confidence": "LOW", "rejection_reason": "no source"}')
+FLOW_WORDS = ('{"data_flow_logic": {"step_1_source": {"line": "three", "expression": "\'{l}\'"}}, "chain_complete": true, '
+              '"verdict": "REJECT", "confidence": "LOW", "rejection_reason": "line {n}"}')
+FLOW_BEFORE = ('The sink is nearby. {"data_flow_logic": {"step_1_source": {"line": {n}, "expression": "req.body"}}, '
+               '"chain_complete": 1, "verdict": "REJECT", "confidence": "LOW", "rejection_reason": ""}')
+FLOW_TEXT_FLAG = ('{"data_flow_logic": {"step_1_source": {"line": 2, "expression": "req.body"}}, "chain_complete": "false", '
+                  '"verdict": "REJECT", "confidence": "LOW", "rejection_reason": "seems bad"}')
 FLOW_FIELDS = '{"verdict": "REJECT", "confidence": "HIGH", "rejection_reason": "{d}"}'
 FLOW_ACCEPT = ('Fine here {"data_flow_logic": {"step_1_source": {"line": 1}}, "chain_complete": true, '
                '"verdict": "ACCEPT", "confidence": "HIGH"}')
@@ -220,18 +226,22 @@ REVIEW_RAW = case(_LABEL, {
     "01": case("lang", {"fr": f"replace({_review(F_TEXT)}, '~', chr(92))", "de": _review(F_FENCED),
                         "es": _review(F_BROKEN)}, text(F_EMPTY))},
     case("lang", {"fr": _review(F_ARRAY), "de": "'no verdict: ' || text"}, _review(F_ROOT)))
+REVIEW_RAW = case("source", {
+    "src17": text('{"findings": null}'), "src18": _review('{"findings": "in line {n}: {d}"}'),
+    "src19": _review('{"findings": {"severity": "HIGH", "line_number": {n}}}')}, REVIEW_RAW)
 FLOW_RAW = case("source", {
+    "src8": _review(FLOW_WORDS), "src9": _review(FLOW_BEFORE), "src10": text(FLOW_TEXT_FLAG),
     "src0": _review(FLOW_LITERAL), "src1": _review(FLOW_NEAR), "src2": text(FLOW_OPEN), "src3": text(FLOW_NOLINE),
     "src4": _review(FLOW_FIELDS), "src5": "text", "src6": text(FLOW_ACCEPT), "src7": _review(F_BROKEN)},
     _review(FLOW_OK))
 _EIGHT = filled(EIGHT, p=case("lang", {"de": "'No risk found'"}, "'shell call'"),
-                u=case("lang", {"fr": "'true'"}, "'false'"),
+                u=case("lang", {"fr": "'true'", "es": text('"false"')}, "'false'"),
                 h=case("source", {"src1": "'true'"}, "'false'"),
                 a=case("source", {"src2": "'list'", "src3": "'list'"}, "'string'"),
                 e=case("source", {"src4": "'none'", "src5": "'none'"}, "'real'"),
                 s=case("source", {"src2": "'MEDIUM'", "src6": "'LOW'", "src7": "'NONE'", "src8": "'HIGH'"},
                        "'CRITICAL'"),
-                f=case("source", {"src9": "'1.5'", "src8": "'0.6'"}, "'0.9'"), d=DESC)
+                f=case("source", {"src9": "'1.5'", "src8": "'0.6'", "src11": text('"0.9"'), "src12": "'true'"}, "'0.9'"), d=DESC)
 EIGHT_RAW = case("source", {"src10": _review(EIGHT_SHORT)}, _EIGHT)
 
 _CALLS = ["user_id AS key", "event_id AS call_id", "ts", "CAST(floor(value * 100) AS bigint) AS est_tokens",
