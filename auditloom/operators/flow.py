@@ -91,7 +91,7 @@ for _ in range(2):
     _ROUND = rf"\([^()]*(?:{_ROUND}[^()]*)*\)"
 _SQUARE = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"
 _ATTACHED = rf"(?:\s*{_ROUND}|\s*{_SQUARE}|\s*\.\s*[A-Za-z_][A-Za-z0-9_]*)*"
-CALL = rf"^([A-Za-z_][A-Za-z0-9_.]*){_ATTACHED}\s*{_ROUND}$"
+ONE_CALL = rf"^([A-Za-z_][A-Za-z0-9_.]*){_ATTACHED}\s*{_ROUND}$"
 SUBSCRIPT = rf"^[A-Za-z_][A-Za-z0-9_.]*{_ATTACHED}\s*{_SQUARE}$"
 
 
@@ -111,7 +111,7 @@ def sources(stmts: DataFrame) -> DataFrame:
             f"WHEN _callee = '' THEN 'OTHER' WHEN {safe} THEN 'SAFE_TRANSFORMATION' "
             f"WHEN sink IS NOT NULL THEN 'OTHER' ELSE 'EXTERNAL_INPUT' END")
     assigned = stmts.where("target IS NOT NULL")
-    callee = F.regexp_extract("rhs", CALL, 1)
+    callee = F.regexp_extract("rhs", ONE_CALL, 1)
     python = (assigned.where("language = 'python'").withColumn("_callee", callee)
               .withColumn("node_type", F.expr(form))
               .where(F.col("node_type").isin("EXTERNAL_INPUT", "F_STRING_TEMPLATE", "FORMAT_OPERATOR"))

@@ -429,7 +429,7 @@ coalesce({_last(f"list_extract(list_filter(calls, lambda c: {_last('c')} IN ({_M
 CASE WHEN {' OR '.join(f"regexp_matches(line, {text(p)})" for p in R.SINK_PATTERNS)} THEN {_last('calls[1]')} END,
 CASE WHEN language <> 'python' AND {_contains('line', R.SINK_MIDDLEWARE)} THEN {_last('calls[1]')} END) AS sink
 FROM st0""",
-    "src0": f"""SELECT *, regexp_extract(rhs, {text(flow.CALL)}, 1) AS callee FROM st
+    "src0": f"""SELECT *, regexp_extract(rhs, {text(flow.ONE_CALL)}, 1) AS callee FROM st
 WHERE target IS NOT NULL""",
     "src1": f"""SELECT *, CASE WHEN regexp_matches(rhs, '^[rR]?[fF]["'']') THEN 'F_STRING_TEMPLATE'
 WHEN regexp_matches(rhs, '^["''].*["'']\\s*%\\s') THEN 'FORMAT_OPERATOR'

@@ -83,4 +83,5 @@ def test_outcomes_and_limits(rows):
 def test_request_table(rows):
     files = rows("path string, code string", ("a", "x\ny\n"), ("big", "z" * 40_000))
     got = U.request_table(files, "sys", tpm=30_000).collect()
-    assert [(r.path, r.user.split("\n\n", 1)[1]) for r in got] == [("a", "1: x\n2: y")]
+    assert [(r.path, r.user and r.user.split("\n\n", 1)[1], r.skip_reason) for r in got] == [
+        ("a", "1: x\n2: y", None), ("big", None, "File too large (10,500 tokens)")]

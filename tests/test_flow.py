@@ -108,3 +108,10 @@ def test_whole_audit(rows):
     assert {r.path for r in scan.queue.collect()} == {"secret.py", "leak.js"}
     assert scan.requests.count() == 2
     assert {r.reason for r in scan.skipped.collect()} == {"File too small (< 20 chars)"}
+
+
+def test_calls_and_subscripts(rows):
+    files = rows(FILES, ("r.py", ".py", "a = request.get_json()['b']\nc = foo(a) + bar(b)\nd = foo(bar(1), (2, 3))\n"
+                         + "x" * 50 + " = read(a)"))
+    got = found(flow.sources(flow.statements(files)), "variable", "node_type")
+    assert got == {("a", "EXTERNAL_INPUT"), ("d", "EXTERNAL_INPUT"), ("x" * 50, "EXTERNAL_INPUT")}
