@@ -223,14 +223,26 @@ def measured(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
-def _median(rows: DataFrame, value) -> DataFrame:
-    """(lang, median) of a measure to one bin, over all rows."""
-    bins = rows.select("lang", F.round(value * FINE).cast("long").alias("bin")).groupBy("lang", "bin").agg(
-        F.count("*").alias("n"))
+def _median(bins: DataFrame) -> DataFrame:
+    """(lang, median): the middle bin of histograms (lang, bin, n)."""
     of_lang = Window.partitionBy("lang")
     upto = F.sum("n").over(of_lang.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     return bins.withColumns({"upto": upto, "all": F.sum("n").over(of_lang)}).where(
-        F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg((F.min("bin") / FINE).alias("median"))
+        F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min("bin").alias("median"))
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """(lang, median, spread) of ``log_ppl``: median and median absolute deviation, both to one bin.
+
+    Only histograms, whose bins the range of log-perplexity bounds, meet by language.
+    """
+    n = F.sum("n").alias("n")
+    bins = materialise(rows.select("lang", F.round(F.col("log_ppl") * FINE).cast("long").alias("bin"), F.lit(1).alias("n"))
+                       .groupBy("lang", "bin").agg(n), "perplexity-bins")
+    middle = materialise(_median(bins), "perplexity-medians")
+    apart = bins.join(middle, "lang").groupBy("lang", F.abs(F.col("bin") - F.col("median")).alias("bin")).agg(n)
+    return middle.join(_median(apart).withColumnRenamed("median", "spread"), "lang").select(
+        "lang", (F.col("median") / FINE).alias("median"), (F.col("spread") / FINE).alias("spread"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -246,12 +258,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = materialise(measured(docs, grams, id_col, text_col, lang_col).withColumn("base_failed", failed),
                        "perplexity-measures")
-    sound = rows.where(~F.col("base_failed"))
-    middle = materialise(_median(sound, F.col("log_ppl")), "perplexity-medians")
-    apart = _median(sound.join(middle, "lang"), F.abs(F.col("log_ppl") - F.col("median")))
-    bands = middle.join(apart.withColumnRenamed("median", "spread"), "lang")
+    known = materialise(bands(rows.where(~F.col("base_failed"))), "perplexity-bands")
     wide = F.greatest("spread", F.lit(least)) * (1 + short / F.greatest("n_bytes", F.lit(1)))
-    return rows.join(bands, "lang", "left").withColumns({
+    return rows.join(known, "lang", "left").withColumns({
         "low": F.col("median") - below * wide, "high": F.col("median") + above * wide}).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")),
                                                    F.lit(False))).drop("median", "spread")
