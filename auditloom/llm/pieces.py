@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession, functions as F
 
 from auditloom.llm.chars import runs
@@ -26,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁".encode(), b"\xf8\xf9\xfa"  # the literal mark stands as three bytes that UTF-8 lacks
 WORDS = re.compile(rb" *[^ \n]+| +|\n")
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6  # kinds of pieces in a model file
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 FALLBACK = 10.0  # a character without a piece costs this much more than the worst piece
 
 
@@ -70,7 +71,7 @@ class Automaton:
                 node = at
             piece[node] = i
         n = len(children)
-        self.goto = np.zeros((n, 256), np.int32)
+        self.goto = np.zeros((n, 256), np.uint16 if n <= 1 << 16 else np.int32)
         fail, order = np.zeros(n, np.int32), [0]
         for node in order:  # grows while it is walked: breadth first
             row, back = self.goto[node], fail[node]
@@ -116,7 +117,8 @@ class Automaton:
         state, lead = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
         for t, k in enumerate(going):
             byte = flat[begin[:k] + t]
-            state[:k] = now = self.goto[state[:k], byte]
+            state[:k] = self.goto[state[:k], byte]
+            now = state[:k]
             to = base[:k] + t + 1
             ids[to] = self.byte_id[byte]
             lead[:k] = np.where(self.goes_on[byte], lead[:k], t)
@@ -162,11 +164,12 @@ def _flat(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return values[np.repeat(shift, sizes) + np.arange(sizes.sum())]
 
 
-def encode_batch(automaton: Automaton, texts: list[bytes | None]) -> Iterator[pa.ListArray]:
-    """Piece ids of texts, in blocks; null for null."""
-    for a, b in runs([len(t or b"") for t in texts], BLOCK):
+def encode_batch(automaton: Automaton, batch: pa.Array) -> Iterator[pa.ListArray]:
+    """Piece ids of texts (binary), in blocks; null for null."""
+    for a, b in runs(pc.binary_length(batch).fill_null(0).to_pylist(), BLOCK):
+        texts = batch.slice(a, b - a).to_pylist()
         words, number = [], np.zeros(b - a, np.int64)
-        for i, t in enumerate(texts[a:b]):
+        for i, t in enumerate(texts):
             if t:
                 own = WORDS.findall(b" " + t.replace(MARK, LITERAL))
                 number[i] = len(own)
@@ -179,7 +182,7 @@ def encode_batch(automaton: Automaton, texts: list[bytes | None]) -> Iterator[pa
         flat = _flat(ids, (np.cumsum(counts) - counts)[index], each)
         ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(number)]
         offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32),
-                           mask=np.array([t is None for t in texts[a:b]] + [False]))
+                           mask=np.array([t is None for t in texts] + [False]))
         yield pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
 
 
@@ -195,10 +198,6 @@ def _own(shared, make):
     return _SHARED[key]
 
 
-def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
-
-
 def encode(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
     """Piece ids of a text column as array<int>, with a space mark before the first word as the model asks.
 
@@ -210,7 +209,7 @@ def encode(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _own(shared, Automaton)
         for batch in batches:
-            yield _joined(list(encode_batch(automaton, batch.to_pylist())), pa.list_(pa.int32()))
+            yield from encode_batch(automaton, batch)  # in parts: nothing of a batch's size is held
 
     return encoded(text.cast("binary"))
 
@@ -254,7 +253,7 @@ def decode(spark: SparkSession, pieces: Column, vocabulary: Vocabulary) -> Colum
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         texts = _own(shared, Texts)
         for batch in batches:
-            yield _joined(list(decode_batch(texts, batch)), pa.string())
+            yield from decode_batch(texts, batch)
 
     return decoded(pieces)
 

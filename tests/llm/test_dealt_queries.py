@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from check_oracle import compare, connect
@@ -146,9 +147,10 @@ def test_pieces_of_odd_texts():
     v = pieces.vocabulary()
     automaton, texts = pieces.Automaton(v), pieces.Texts(v)
     given = ["", " ", "  a  b ", "a\n\nb\n", "日本語 テスト", "▁x▁ ▁", "\t\x00\U0001F600", "é" * 9, "zz" * 700]
-    coded = [x.to_pylist() for x in pieces.encode_batch(automaton, [t.encode() for t in given])][0]
+    batch = pa.array([t.encode() for t in given], pa.binary())
+    coded = [x.to_pylist() for x in pieces.encode_batch(automaton, batch)][0]
     assert coded == [plain_segmentation(v, t) if t else [] for t in given]
-    back = list(pieces.decode_batch(texts, next(pieces.encode_batch(automaton, [t.encode() for t in given]))))
+    back = list(pieces.decode_batch(texts, next(pieces.encode_batch(automaton, batch))))
     assert back[0].to_pylist() == given
 
 
