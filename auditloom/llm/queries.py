@@ -86,7 +86,8 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = linededup.delete_repeated(table(spark, sf, "documents").select("doc_id", "text"))
+    # LINE_DEDUP_SQL is the rule of this query: windows alone, no lines that follow them.
+    found = linededup.delete_repeated(table(spark, sf, "documents").select("doc_id", "text"), extend=False)
     return found.select("doc_id", "text", F.size("removed_runs").cast("long").alias("n_runs"),
                         F.expr("aggregate(removed_runs, 0L, (n, r) -> n + r.last - r.first + 1)").alias("n_lines"))
 
