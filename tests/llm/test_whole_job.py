@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditloom.llm import linededup
+from auditloom.llm import linededup, neardup
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -40,3 +40,41 @@ def test_line_dedup_stage_leaves_no_stub_of_an_exact_copy(spark):
     after = {r.doc_id: r.text for r in corpus_pipeline.new_lines(spark, docs, MIDDLE).collect()}
     long = {i for i, t in copies.items() if len(re.findall(r"[^\x20\x09-\x0D]+", t)) >= 50}
     assert len(long) > 50 and not long & set(after)
+
+
+def plain_set(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))) if found else frozenset()
+
+
+def test_near_dedup_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    sets = {r.doc_id: plain_set(r.text) for r in docs.collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids, near = sorted(sets), 0
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) * 5 >= 4 * max(len(x), len(y)):
+                both = len(x & y)
+                if 5 * both >= 4 * (len(x) + len(y) - both):
+                    near += x != y
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    assert near >= 10
+    got = {r.id: r.component for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in sets}
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, MIDDLE, similarity=0.8).collect()}
+    assert kept == {i for i in sets if find(i) == i}
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    base = words(7, 100).split()
+    texts = [" ".join(base[:i] + ["changed"] + base[i + 1:]) for i in range(40)] + [words(8, 100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component for r in neardup.near_duplicates(rows).orderBy("id").collect()] == [0] * 40 + [40]
