@@ -3,7 +3,8 @@
 A word is a run of letters.  Its score under a language adds the log-probabilities of the letter trigrams
 around each of its letters, from hashed counts.  Only languages that use the word's script compete for it.
 Viterbi runs over the words of a text with one penalty for every switch of language; runs of equal labels are
-the spans, and the language with most letters is that of the text.
+the spans, and the language with most letters is that of the text.  Words in a script that no learned language
+uses belong to none: they are spans of ``und``, and their letters count for no language.
 """
 
 from __future__ import annotations
@@ -112,11 +113,12 @@ def train(docs: DataFrame, max_docs: int = 20_000, smoothing: float = 0.05, shar
 
 
 def _words(texts: list[str], model: Model):
-    """Word scores (word, language), first and last position (in its text), text number, letters."""
+    """Word scores (word, language), first and last position (in its text), text number, letters, and whether any
+    language is written in the word's script."""
     place, at, script, begins, offsets = _trigrams(texts)
     start = np.flatnonzero(begins)
     if not len(start):
-        return np.zeros((0, len(model.languages)), np.float32), *(np.zeros(0, np.int64) for _ in range(4))
+        return np.zeros((0, len(model.languages)), np.float32), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool)
     score = np.empty((len(start), len(model.languages)), np.float32)
     for k, log_p in enumerate(model.log_p):
         score[:, k] = np.add.reduceat(log_p[place], start)
@@ -126,7 +128,7 @@ def _words(texts: list[str], model: Model):
     score[~some] = 0
     last = np.append(start[1:], len(at)) - 1
     text = np.searchsorted(offsets, at[start], "right") - 1
-    return score, at[start] - offsets[text], at[last] + 1 - offsets[text], text, last - start + 1
+    return score, at[start] - offsets[text], at[last] + 1 - offsets[text], text, last - start + 1, some
 
 
 def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -164,15 +166,16 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
 def _labelled(texts: list[str], model: Model, penalty: float) -> list[pa.Array]:
     parts = []
     for a, b in runs([len(t) for t in texts], PART):
-        score, start, end, text, letters = _words(texts[a:b], model)
-        parts.append((score, start, end, text + a, letters))
-    score, start, end, text, letters = (np.concatenate(x) for x in zip(*parts))
+        score, start, end, text, letters, some = _words(texts[a:b], model)
+        parts.append((score, start, end, text + a, letters, some))
+    score, start, end, text, letters, some = (np.concatenate(x) for x in zip(*parts))
     n = len(texts)
     label = viterbi(score, np.bincount(text, minlength=n), penalty)
-    votes = np.bincount(text * len(model.languages) + label, letters, n * len(model.languages)).reshape(n, -1)
-    total, top = votes.sum(1), votes.argmax(1)
-    names = np.array(model.languages, object)
-    predicted = np.where(total > 0, names[top], "und")
+    votes = np.bincount(text * len(model.languages) + label, letters * some, n * len(model.languages)).reshape(n, -1)
+    total, top = np.bincount(text, letters, n), votes.argmax(1)
+    names = np.array([*model.languages, "und"], object)
+    label = np.where(some, label, len(model.languages))
+    predicted = np.where(votes.max(1) > 0, names[top], "und")
     share = np.where(total > 0, votes.max(1) / np.maximum(total, 1), 0.0)
     opens = np.ones(len(text), bool)
     opens[1:] = (text[1:] != text[:-1]) | (label[1:] != label[:-1])
@@ -189,8 +192,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
              penalty: float = 8.0) -> DataFrame:
     """(id, lang_pred, score, spans) of every row of ``docs``; one pass, no shuffle.
 
-    lang_pred is a learned language, or ``und`` with score 0 for null texts and texts without letters (or if
-    nothing was learned).  score is the share of letters labelled lang_pred.  spans holds lang and code-point
+    lang_pred is a learned language, or ``und`` with score 0 for null texts and texts without letters or with none
+    in a learned language's script (or if nothing was learned).  score is the share of all letters that is labelled
+    lang_pred; it does not tell how well a language fits.  spans holds lang and code-point
     positions (end exclusive) of each stretch.  Ties go to the language first in order.  Repeated rows are
     labelled alike; other columns are not read.
     """

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditloom.llm import linededup, neardup
+from auditloom.llm import langid, linededup, neardup
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -78,3 +78,20 @@ def test_near_duplicates_of_a_large_group(spark):
     texts = [" ".join(base[:i] + ["changed"] + base[i + 1:]) for i in range(40)] + [words(8, 100)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.component for r in neardup.near_duplicates(rows).orderBy("id").collect()] == [0] * 40 + [40]
+
+
+def test_language_of_scripts_nobody_learned(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = langid.train(docs)
+    latin = docs.where("doc_id = 0 OR lang = 'en'").first().text[:60]
+    texts = ["αβγ δεζ ηθι κλμ", "日本語 の 文章", f"{latin} αβγ", "the that " + "αβγδε " * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = langid.identify(rows, model).orderBy("id").collect()
+    assert [(r.lang_pred, r.score) for r in got[:2]] == [("und", 0.0)] * 2
+    assert [s.lang for r in got[:2] for s in r.spans] == ["und"] * 2
+    assert got[2].lang_pred != "und" and got[2].score > 0.5 and got[2].spans[-1].lang == "und"
+    assert got[3].lang_pred == "en" and abs(got[3].score - 7 / 107) < 1e-9
+    given = docs.where("doc_id < 200").unionByName(docs.limit(1).select(
+        F.lit(-1).cast("long").alias("doc_id"), F.lit("αβγ δεζ ηθι").alias("text"), F.lit(None).cast("string").alias("lang"),
+        "source", "n_chars"))
+    assert -1 not in {r.doc_id for r in corpus_pipeline.known_language(spark, given, MIDDLE).collect()}
