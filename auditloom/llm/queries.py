@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditloom.functions.session import materialise
 from auditloom.llm import (
-    classifier, langid, linededup, mixing, perplexity, pieces, secretscan, simhash, topk, warc)
+    classifier, langid, linededup, mixing, perplexity, pieces, queries_text, secretscan, simhash, topk, warc)
 from auditloom.llm.chars import held_out, learned_from
 from auditloom.sources.tables import table
 
@@ -148,5 +148,6 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash, "op2_sentencepiece": op2_sentencepiece, "op3_secrets": op3_secrets,
     "op4_language": op4_language,
     "op5_top_k": op5_top_k, "op6_mixing": op6_mixing, "op7_quality": op7_quality,
-    "op8_rules": op8_rules, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
-ORACLE: dict[str, str] = {"op5_top_k": TOP_K_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}
+    "op8_rules": op8_rules, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc} | queries_text.QUERIES
+ORACLE: dict[str, str] = {
+    "op5_top_k": TOP_K_SQL, "op9_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL} | queries_text.ORACLE
