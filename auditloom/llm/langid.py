@@ -4,7 +4,8 @@ A word is a run of letters.  Its score under a language adds the log-probabiliti
 around each of its letters, from hashed counts.  Only languages that use the word's script compete for it.
 Viterbi runs over the words of a text with one penalty for every switch of language; runs of equal labels are
 the spans, and the language with most letters is that of the text.  Words in a script that no learned language
-uses belong to none: they are spans of ``und``, and their letters count for no language.
+uses belong to none: they are spans of ``und``, and their letters count for no language.  A text of such words only
+gets the language whose trigrams fit its letters best, with score 0.
 """
 
 from __future__ import annotations
@@ -79,29 +80,35 @@ def _counted(batches):
                                               "place": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
 
-def bounded(docs: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """The ``most`` rows with the least hashes of their ids (more only on equal ids), all if there are fewer."""
-    mark = F.xxhash64(F.lit(7), F.col(id_col))
-    last = docs.select(mark.alias("h")).orderBy("h").limit(most).agg(F.max("h"), F.count("*")).first()
-    return docs if last[1] < most else docs.where(mark <= last[0])
+def bounded(docs: DataFrame, most: int, max_languages: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``most`` rows of each ``lang`` by the hash of the id, all rows of a language that has no more."""
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(
+        max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    large = {lang: most / n for lang, n in sizes.items() if n > most}
+    if not large:
+        return docs
+    share = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+    mark = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    return docs.where(mark < F.coalesce(share[F.col("lang")], F.lit(1.0)))
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, smoothing: float = 0.05, share: float = 0.01,
+def train(docs: DataFrame, max_docs: int = 5_000, smoothing: float = 0.05, share: float = 0.01,
           max_languages: int = 1_000) -> Model:
     """Counts of a bounded sample of labelled documents (doc_id, text, lang; nulls are left out).
 
-    ``max_docs`` bounds the sample, chosen by a hash of doc_id.  The model is bounded by ``max_languages`` times
+    ``max_docs`` bounds the sample of each language, chosen by a hash of doc_id, so a rare language is learned beside
+    frequent ones at every size; the count is met on average (repeated ids fall together).  The model is bounded by ``max_languages`` times
     2 ** BITS places; more languages are an error.  A language uses a script if ``share`` of its letters are in it.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    rows = bounded(known, max_docs).select("text", "lang").mapInArrow(
+    rows = bounded(known, max_docs, max_languages).select("text", "lang").mapInArrow(
         _counted, "lang string, kind int, place int, n long").groupBy("lang", "kind", "place").agg(
         F.sum("n").alias("n"))
     table = rows.toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
     names = sorted(set(langs))
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     code = np.searchsorted(names, langs) if names else np.zeros(0, int)
     kind, place, n = (table.column(c).to_numpy() for c in ("kind", "place", "n"))
     grams, letters = np.zeros((len(names), 1 << BITS)), np.zeros((len(NAMES), len(names)))
@@ -114,7 +121,7 @@ def train(docs: DataFrame, max_docs: int = 20_000, smoothing: float = 0.05, shar
 
 def _words(texts: list[str], model: Model):
     """Word scores (word, language), first and last position (in its text), text number, letters, and whether any
-    language is written in the word's script."""
+    language is written in the word's script; scores of other words keep no language out."""
     place, at, script, begins, offsets = _trigrams(texts)
     start = np.flatnonzero(begins)
     if not len(start):
@@ -125,7 +132,6 @@ def _words(texts: list[str], model: Model):
     able = model.uses[script[start]]
     some = able.any(1)
     score[some[:, None] & ~able] = -1e6
-    score[~some] = 0
     last = np.append(start[1:], len(at)) - 1
     text = np.searchsorted(offsets, at[start], "right") - 1
     return score, at[start] - offsets[text], at[last] + 1 - offsets[text], text, last - start + 1, some
@@ -170,12 +176,17 @@ def _labelled(texts: list[str], model: Model, penalty: float) -> list[pa.Array]:
         parts.append((score, start, end, text + a, letters, some))
     score, start, end, text, letters, some = (np.concatenate(x) for x in zip(*parts))
     n = len(texts)
-    label = viterbi(score, np.bincount(text, minlength=n), penalty)
+    label = viterbi(np.where(some[:, None], score, 0), np.bincount(text, minlength=n), penalty)
     votes = np.bincount(text * len(model.languages) + label, letters * some, n * len(model.languages)).reshape(n, -1)
     total, top = np.bincount(text, letters, n), votes.argmax(1)
     names = np.array([*model.languages, "und"], object)
     label = np.where(some, label, len(model.languages))
-    predicted = np.where(votes.max(1) > 0, names[top], "und")
+    strange = np.flatnonzero((votes.max(1) == 0) & (total > 0))
+    if len(strange):
+        fit = np.zeros((n, len(model.languages)))
+        np.add.at(fit, text, score)
+        top[strange] = fit[strange].argmax(1)
+    predicted = np.where(total > 0, names[top], "und")
     share = np.where(total > 0, votes.max(1) / np.maximum(total, 1), 0.0)
     opens = np.ones(len(text), bool)
     opens[1:] = (text[1:] != text[:-1]) | (label[1:] != label[:-1])
@@ -192,9 +203,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
              penalty: float = 8.0) -> DataFrame:
     """(id, lang_pred, score, spans) of every row of ``docs``; one pass, no shuffle.
 
-    lang_pred is a learned language, or ``und`` with score 0 for null texts and texts without letters or with none
-    in a learned language's script (or if nothing was learned).  score is the share of all letters that is labelled
-    lang_pred; it does not tell how well a language fits.  spans holds lang and code-point
+    lang_pred is a learned language, or ``und`` with score 0 for null texts and texts without letters (or if nothing
+    was learned).  score is the share of all letters that is labelled lang_pred, 0 if no letter is in a learned
+    language's script; it does not tell how well a language fits.  spans holds lang and code-point
     positions (end exclusive) of each stretch.  Ties go to the language first in order.  Repeated rows are
     labelled alike; other columns are not read.
     """

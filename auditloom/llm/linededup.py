@@ -52,15 +52,13 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                          F.filter("next", lambda x: x["pos"] > F.col("last")).alias("after"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  min_words: int = 50, extend: bool = True) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """Runs to delete: (id, th, first, last) with line numbers from 0, both inclusive; runs of a text are apart.
 
-    A window, or with ``extend`` a window and lines that follow it, is repeated if the first equal stretch is in
-    another text or ends before it begins, so of a text that repeats itself line by line the first window stays.
+    A window, or a window and lines that follow it, is repeated if the first equal stretch is in another text or
+    ends before it begins, so of a text that repeats itself line by line the first window stays.
     """
-    found = windows(docs, id_col, text_col, min_words)
-    found = materialise(found if extend else found.drop("after"), "line-windows")
+    found = materialise(windows(docs, id_col, text_col, min_words), "line-windows")
     at = F.struct("id", "th", "place")
     marks = materialise(found.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b"))
                         .where("a <> b").select("mark"), "line-marks")
@@ -71,13 +69,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other = ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th")))
     apart = other | (F.col("line") >= F.col("head.line") + F.col("size"))
     again = near.join(firsts, "content").where(apart).select("id", "th", "first", "last")
-    if extend:
-        stretches = materialise(near.join(firsts.select("content"), "content", "left_semi").select(
-            "id", "th", "line", "first", "size", "content", "after", F.posexplode("after").alias("k", "end")).select(
-            "id", "th", "line", "first", (F.col("size") + F.col("k") + 1).alias("size"), F.col("end.pos").alias("last"),
-            F.xxhash64("content", F.slice("after.h", F.lit(1), F.col("k") + 1)).alias("stretch")), "line-stretches")
-        heads = stretches.groupBy("stretch").agg(head.alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = again.unionByName(stretches.join(heads, "stretch").where(apart).select("id", "th", "first", "last"))
+    stretches = materialise(near.join(firsts.select("content"), "content", "left_semi").select(
+        "id", "th", "line", "first", "size", "content", "after", F.posexplode("after").alias("k", "end")).select(
+        "id", "th", "line", "first", (F.col("size") + F.col("k") + 1).alias("size"), F.col("end.pos").alias("last"),
+        F.xxhash64("content", F.slice("after.h", F.lit(1), F.col("k") + 1)).alias("stretch")), "line-stretches")
+    heads = stretches.groupBy("stretch").agg(head.alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = again.unionByName(stretches.join(heads, "stretch").where(apart).select("id", "th", "first", "last"))
     of_text = Window.partitionBy("id", "th").orderBy("first", "last")
     reached = F.max("last").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("first") > F.coalesce(F.col("reached"), F.lit(-2)) + 1, 1).otherwise(0)
@@ -86,7 +83,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def delete_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_words: int = 50, extend: bool = True) -> DataFrame:
+                    min_words: int = 50) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from the text column, and ``removed_runs``, an array of
     (first, last) line numbers of the text before (empty if nothing went).
 
@@ -94,7 +91,7 @@ def delete_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are settled by id, then by a hash of the text; null ids come first.  Rows with equal id and text are one text
     and change alike.  Other columns are kept as they are, whatever their names, unless one is ``removed_runs``.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words, extend).groupBy("id", "th").agg(
+    runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("removed_runs"))
     rows = docs.drop("removed_runs").select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("th"))
     met = rows.join(runs, F.col(f"row.{id_col}").eqNullSafe(runs["id"]) & (rows["th"] == runs["th"]), "left")

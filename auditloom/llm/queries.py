@@ -86,8 +86,7 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    # LINE_DEDUP_SQL is the rule of this query: windows alone, no lines that follow them.
-    found = linededup.delete_repeated(table(spark, sf, "documents").select("doc_id", "text"), extend=False)
+    found = linededup.delete_repeated(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.size("removed_runs").cast("long").alias("n_runs"),
                         F.expr("aggregate(removed_runs, 0L, (n, r) -> n + r.last - r.first + 1)").alias("n_lines"))
 
@@ -103,11 +102,18 @@ placed AS (
   FROM counted WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 framed AS (
   SELECT doc_id, pos, k, max(pos) OVER r AS last, count(*) OVER r AS size, sum(n) OVER r AS total,
-         list(line) OVER r AS content
+         list(line) OVER r AS content, list(pos) OVER r AS places
   FROM placed WINDOW r AS (PARTITION BY doc_id ORDER BY words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+following AS (
+  SELECT *, coalesce(lead(content) OVER d, [])[size:] AS after, coalesce(lead(places) OVER d, [])[size:] AS ends
+  FROM framed WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+stretched AS (
+  SELECT doc_id, pos, k, last, size, content FROM following WHERE total >= 50 UNION ALL
+  SELECT doc_id, pos, k, ends[e], size + e, list_concat(content, after[1:e])
+  FROM (SELECT *, unnest(range(1, len(after) + 1)) AS e FROM following WHERE total >= 50)),
 headed AS (
   SELECT *, first_value(doc_id) OVER c AS head, first_value(k) OVER c AS head_k
-  FROM framed WHERE total >= 50 WINDOW c AS (PARTITION BY content ORDER BY doc_id, k)),
+  FROM stretched WINDOW c AS (PARTITION BY content ORDER BY doc_id, k)),
 gone AS (
   SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN headed h
   ON l.doc_id = h.doc_id AND l.pos BETWEEN h.pos AND h.last
