@@ -1,7 +1,13 @@
-"""Source -> propagation -> sink relations from line patterns, and reachability by joins.
+"""Source -> propagation -> sink relations of logical statements, and reachability by joins.
 
-A syntax tree per file is replaced by three line-level relations, all keyed by (path, name):
-sources, uses and calls.  Statements over several lines are not followed.
+A syntax tree per file is replaced by relations of statements, all keyed by (path, line_no): ``statements`` holds each
+statement's text once, ``sources`` and ``uses`` hold names and line numbers.  Texts are fetched at the end, for
+the few statements that are reported.
+
+Two questions are asked.  ``reach`` follows variables by name, in any order of statements, as propagation reports do.
+``unsanitised`` follows definitions: a use reads the last assignment of its variable above it, so a value printed
+before it is sanitised leaks, and one that is assigned anew does not.  Programs are taken as straight lines; branches
+and loops are read once, from top to bottom.
 """
 
 from __future__ import annotations
@@ -9,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditloom import rules as R
 from auditloom.functions import text as T
-from auditloom.functions.session import materialise
+from auditloom.functions.logical import logical_lines
+from auditloom.functions.session import materialise, scratch_path
 
 NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 ASSIGN = rf"^\s*(?:[A-Za-z_][A-Za-z0-9_<>,\[\]]*\s+)*({NAME})\s*:?=\s*([^=\s].*)$"
@@ -21,7 +28,7 @@ CALL = r"([A-Za-z_][A-Za-z0-9_.:]*)!?\s*\("
 NOT_CALLS = ("if", "for", "while", "switch", "return", "catch", "elif", "with")
 QUOTES = "\"'"
 STRING = r"\"[^\"]*\"|'[^']*'"
-MAX_DEPTH = 3
+BOUNDARY = 3  # depth from which a trace is marked
 
 
 @dataclass(frozen=True)
@@ -45,11 +52,11 @@ def _last_part(callee: Column) -> Column:
     return F.substring_index(F.substring_index(callee, ".", -1), ":", -1)
 
 
-def _names_words_of_language(words: dict[str, tuple[str, ...]]) -> Column:
-    """The line holds one of its language's words, in any case."""
-    return F.expr(" OR ".join(
+def _names_words_of_language(words: dict[str, tuple[str, ...]]) -> str:
+    """SQL: the line holds one of its language's words, in any case."""
+    return "(" + " OR ".join(
         f"(language = {T.lit(lang)} AND {T.contains_any_sql('lower(line)', [w.lower() for w in ws])})"
-        for lang, ws in words.items()))
+        for lang, ws in words.items()) + ")"
 
 
 def _in(words: Iterable[str]) -> str:
@@ -67,21 +74,20 @@ def _sink_sql(sinks: SinkRegistry) -> str:
 
 
 def statements(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> DataFrame:
-    """One row per code line with its parts: path, language, line_no, line, target, rhs, calls, sink."""
-    language = T.lookup_sql("lower(ext)", R.LANGUAGE_OF)
-    lines = T.explode_lines(files.withColumn("language", language).where("language IS NOT NULL"),
-                            "path", "language").where("trim(line) <> ''")
+    """One row per logical statement with its parts: path, language, line_no (its first line), line (its text), target,
+    rhs, calls, sink, output (an output call of the language without a sanitiser)."""
     defined = r"^\s*(?:async\s+)?(?:def|function|func|class)\s"
     calls = (f"CASE WHEN NOT contains(line, '(') OR line RLIKE {T.lit(defined)} THEN array() "
              f"ELSE filter(regexp_extract_all(line, {T.lit(CALL)}, 1), c -> c NOT IN {_in(NOT_CALLS)}) END")
     target = f"CASE WHEN contains(line, '=') THEN nullif(regexp_extract(line, {T.lit(ASSIGN)}, 1), '') END"
-    parts = lines.selectExpr("path", "language", "line_no", "line AS _raw", "trim(line) AS line",
-                             f"{target} AS target", f"{calls} AS calls")
+    parts = logical_lines(files).selectExpr("*", f"{target} AS target", f"{calls} AS calls")
     # No part of a target holds "=", so the right side starts after the first one.
     rhs = (f"CASE WHEN target IS NOT NULL THEN rtrim({T.lit('; ' + chr(9) + chr(13))}, "
-           "ltrim(substring(_raw, instr(_raw, '=') + 1))) END")
-    return parts.selectExpr("path", "language", "line_no", "line", "target", f"{rhs} AS rhs", "calls",
-                            f"{_sink_sql(sinks)} AS sink")
+           "ltrim(substring(line, instr(line, '=') + 1))) END")
+    sunk = parts.selectExpr("*", f"{rhs} AS rhs", f"{_sink_sql(sinks)} AS sink")
+    output = f"sink IS NULL AND size(calls) > 0 AND {_names_words_of_language(R.UNSAFE_OUTPUT)}"
+    return sunk.selectExpr("path", "language", "line_no", "line", "target", "rhs", "calls", "sink",
+                           f"coalesce({output}, false) AS output")
 
 
 # Right sides that are one call or one subscript: a name and what is attached to it, with the last bracket closing
@@ -95,133 +101,201 @@ ONE_CALL = rf"^([A-Za-z_][A-Za-z0-9_.]*){_ATTACHED}\s*{_ROUND}$"
 SUBSCRIPT = rf"^[A-Za-z_][A-Za-z0-9_.]*{_ATTACHED}\s*{_SQUARE}$"
 
 
-def sources(stmts: DataFrame) -> DataFrame:
-    """Variables assigned from external input: path, variable, line_no, expression, node_type.
+def source_statements(stmts: DataFrame) -> DataFrame:
+    """Statements that assign external input: path, language, variable, line_no, expression, node_type, clean (the
+    value passes a sanitiser at once).
 
-    Python right sides are classed by form; other languages by their external-input names, one row
-    per variable and file (its first line).
+    Python right sides are classed by form; other languages by their external-input names.
     """
-    def is_(pattern: str) -> str:
-        return f"rhs RLIKE {T.lit(pattern)}"
+    def is_(pattern: str, what: str = "rhs") -> str:
+        return f"{what} RLIKE {T.lit(pattern)}"
     safe = " OR ".join(f"startswith(_callee, {T.lit(w)})" for w in R.SAFE_CALL_PREFIXES)
-    form = (f"CASE WHEN {is_('^[rR]?[fF][' + QUOTES + ']')} THEN 'F_STRING_TEMPLATE' "
+    form = (f"CASE WHEN language <> 'python' THEN CASE WHEN {_names_words_of_language(R.EXTERNAL_INPUT)} "
+            f"THEN 'EXTERNAL_INPUT' END "
+            f"WHEN {is_('^[rR]?[fF][' + QUOTES + ']')} THEN 'F_STRING_TEMPLATE' "
             f"WHEN {is_('^[' + QUOTES + '].*[' + QUOTES + r']\s*%\s')} THEN 'FORMAT_OPERATOR' "
             f"WHEN {is_('^[' + QUOTES + ']')} THEN 'LITERAL_STRING' "
-            f"WHEN {is_(SUBSCRIPT)} THEN 'EXTERNAL_INPUT' "
+            f"WHEN {is_(SUBSCRIPT, '_bare')} THEN 'EXTERNAL_INPUT' "
             f"WHEN _callee = '' THEN 'OTHER' WHEN {safe} THEN 'SAFE_TRANSFORMATION' "
             f"WHEN sink IS NOT NULL THEN 'OTHER' ELSE 'EXTERNAL_INPUT' END")
-    assigned = stmts.where("target IS NOT NULL")
-    callee = F.regexp_extract("rhs", ONE_CALL, 1)
-    python = (assigned.where("language = 'python'").withColumn("_callee", callee)
-              .withColumn("node_type", F.expr(form))
-              .where(F.col("node_type").isin("EXTERNAL_INPUT", "F_STRING_TEMPLATE", "FORMAT_OPERATOR"))
-              .select("path", F.col("target").alias("variable"), "line_no",
-                      F.col("line").alias("expression"), "node_type"))
-    other = (assigned.where(_names_words_of_language(R.EXTERNAL_INPUT))
-             .groupBy("path", F.col("target").alias("variable"))
-             .agg(F.min(F.struct("line_no", F.col("line").alias("expression"))).alias("s"))
-             .select("path", "variable", "s.line_no", "s.expression",
-                     F.lit("EXTERNAL_INPUT").alias("node_type")))
-    return python.unionByName(other)
+    # Brackets inside of strings are not brackets.
+    bare = f"CASE WHEN contains(rhs, '\\'') OR contains(rhs, '\"') THEN regexp_replace(rhs, {T.lit(STRING)}, '\"\"') ELSE rhs END"
+    classed = (stmts.where("target IS NOT NULL").withColumn("_bare", F.expr(bare))
+               .withColumn("_callee", F.regexp_extract("_bare", ONE_CALL, 1)).withColumn("node_type", F.expr(form)))
+    return classed.where(F.col("node_type").isin("EXTERNAL_INPUT", "F_STRING_TEMPLATE", "FORMAT_OPERATOR")).selectExpr(
+        "path", "language", "target AS variable", "line_no", "line AS expression", "node_type", "sink IS NOT NULL AS clean")
+
+
+def sources(stmts: DataFrame) -> DataFrame:
+    """``listed_sources`` of statements."""
+    return listed_sources(source_statements(stmts))
+
+
+def listed_sources(found: DataFrame) -> DataFrame:
+    """Variables assigned from external input, of ``source_statements``: path, variable, line_no, expression,
+    node_type; in languages other than Python one row per variable and file (its first line)."""
+    columns = ("line_no", "expression", "node_type")
+    other = (found.where("language <> 'python'").groupBy("path", "variable").agg(F.min(F.struct(*columns)).alias("s"))
+             .select("path", "variable", "s.*"))
+    return found.where("language = 'python'").select("path", "variable", *columns).unionByName(other)
 
 
 def uses(stmts: DataFrame) -> DataFrame:
-    """Names read by each line: path, language, line_no, line, target, calls, sink, variable."""
+    """Names read by each statement: path, line_no, variable, target, sink, output."""
     quoted = r"(?:^|[^A-Za-z0-9_])[rR]?[fF][" + QUOTES + "]"
     plain = (f"CASE WHEN NOT (contains(_t, '\\'') OR contains(_t, '\"')) OR contains(_t, '${{') OR _t RLIKE {T.lit(quoted)} "
              f"THEN _t ELSE regexp_replace(_t, {T.lit(STRING)}, '\"\"') END")
     own = f"CASE WHEN contains(_p, '.') THEN regexp_replace(_p, {T.lit(chr(92) + '.' + chr(92) + 's*' + NAME)}, '') ELSE _p END"
-    return (stmts.selectExpr("path", "language", "line_no", "line", "target", "calls", "sink", "coalesce(rhs, line) AS _t")
-            .selectExpr("path", "language", "line_no", "line", "target", "calls", "sink", f"{plain} AS _p")
-            .selectExpr("path", "language", "line_no", "line", "target", "calls", "sink",
-                        f"explode(array_distinct(regexp_extract_all({own}, {T.lit('(' + NAME + ')')}, 1))) AS variable"))
+    keys = ("path", "line_no", "target", "sink", "output")
+    return (stmts.where("target IS NOT NULL OR size(calls) > 0")  # other statements take part in no relation
+            .selectExpr(*keys, "coalesce(rhs, line) AS _t").selectExpr(*keys, f"{plain} AS _p")
+            .selectExpr(*keys, f"explode(array_distinct(regexp_extract_all({own}, {T.lit('(' + NAME + ')')}, 1))) AS variable"))
+
+
+@dataclass(frozen=True)
+class Relations:
+    """Written tables of a set of files: ``statements``, ``source_statements`` as ``marked``, ``sources``, ``uses``."""
+
+    statements: DataFrame
+    marked: DataFrame
+    sources: DataFrame
+    uses: DataFrame
 
 
-def relations(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> tuple[DataFrame, DataFrame]:
-    """(sources, uses) of the files as written tables: texts are parsed once, the joins that follow read
-    these narrow relations."""
+def relations(files: DataFrame, sinks: SinkRegistry = SinkRegistry()) -> Relations:
+    """The relations of the files as written tables: texts are parsed once, joins read narrow rows."""
     stmts = materialise(statements(files, sinks), "statements")
-    acting = stmts.where("target IS NOT NULL OR size(calls) > 0")  # other lines take part in no relation
-    return materialise(sources(stmts), "sources"), materialise(uses(acting), "uses")
+    marked = materialise(source_statements(stmts), "sources")
+    return Relations(stmts, marked, listed_sources(marked), materialise(uses(stmts), "uses"))
 
 
-def reach(source_rows: DataFrame, use_rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Variables reached from each source by assignments: path, root, variable, depth (least).
+def closure(seeds: DataFrame, steps: DataFrame, root: list[str], node: list[str],
+            max_depth: int | None = None) -> DataFrame:
+    """All that ``seeds`` (path, root..., node...) reach by ``steps`` (path, node..., next_node...), with the least
+    number of steps as ``depth``; seeds are at 0.
 
-    Lines on which the variable meets a sanitiser are not followed.  ``depth = max_depth`` rows mark
-    where the bound was hit; they are not followed further.
+    Semi-naive: only what the last round has found new is joined with the steps, until there is nothing new (or
+    ``max_depth`` is reached).  Rounds are written side by side into one folder, so lineage stays short and all of them
+    are one scan; their number is the longest chain.
+    """
+    names = ["path", *root, *node]
+    spark, folder = seeds.sparkSession, scratch_path(seeds.sparkSession, "reach")
+    new, depth = seeds.select(*names).distinct(), 0
+    schema = new.withColumn("depth", F.lit(0)).schema
+
+    def written(rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{folder}/depth={depth}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/depth={depth}")
+
+    new = written(new)
+    while depth != max_depth and not new.isEmpty():
+        seen = spark.read.schema(schema).parquet(folder)
+        depth += 1
+        found = new.join(steps, ["path", *node]).select(
+            "path", *root, *[F.col(f"next_{c}").alias(c) for c in node]).distinct()
+        new = written(found.join(seen, names, "left_anti"))
+    return spark.read.schema(schema).parquet(folder)
+
+
+def reach(found: Relations, max_depth: int | None = None) -> DataFrame:
+    """Variables reached from each source by assignments, whatever their order: path, root, variable, depth (least).
+
+    Statements in which the variable meets a sanitiser are not followed.  With ``max_depth`` rows of that depth
+    are not followed further.
     """
-    step = use_rows.where("target IS NOT NULL AND sink IS NULL").select(
-        "path", "variable", F.col("target").alias("next"))
-    level = source_rows.select("path", F.col("variable").alias("root"), "variable",
-                               F.lit(0).alias("depth")).distinct()
-    levels = level
-    for depth in range(1, max_depth + 1):
-        level = (level.join(step, ["path", "variable"])
-                 .select("path", "root", F.col("next").alias("variable"), F.lit(depth).alias("depth"))
-                 .distinct())
-        levels = levels.unionByName(level)
-    return levels.groupBy("path", "root", "variable").agg(F.min("depth").alias("depth"))
+    steps = found.uses.where("target IS NOT NULL AND sink IS NULL").select(
+        "path", "variable", F.col("target").alias("next_variable")).distinct()
+    return closure(found.sources.select("path", F.col("variable").alias("root"), "variable"), steps, ["root"],
+                   ["variable"], max_depth)
 
 
-def boundary_hits(reached: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Files whose trace reached the depth bound."""
-    return reached.groupBy("path").agg((F.max("depth") >= max_depth).alias("trace_boundary_reached"))
+def boundary_hits(reached: DataFrame, boundary: int = BOUNDARY) -> DataFrame:
+    """Files whose trace reached ``boundary`` steps; a mark, the trace goes on."""
+    return reached.groupBy("path").agg((F.max("depth") >= boundary).alias("trace_boundary_reached"))
 
 
-def _tracked(reached: DataFrame, max_depth: int) -> DataFrame:
-    return reached.where(F.col("depth") < max_depth).groupBy("path", "variable").agg(
-        F.min("depth").alias("depth"))
+def _tracked(reached: DataFrame, max_depth: int | None) -> DataFrame:
+    rows = reached if max_depth is None else reached.where(F.col("depth") < max_depth)
+    return rows.groupBy("path", "variable").agg(F.min("depth").alias("depth"))
 
 
-def propagation(reached: DataFrame, use_rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def propagation(found: Relations, reached: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges variable -> target or callee: path, variable, line_no, to, type.  One per (line, to)."""
-    live = use_rows.where("sink IS NULL").join(_tracked(reached, max_depth), ["path", "variable"])
+    live = found.uses.where("sink IS NULL").join(_tracked(reached, max_depth), ["path", "variable"])
     assign = live.where("target IS NOT NULL").select(
         "path", "variable", "depth", "line_no", F.col("target").alias("to"),
         F.lit("ASSIGNMENT").alias("type"))
-    call = live.select("path", "variable", "depth", "line_no", F.explode("calls").alias("to"),
-                       F.lit("CALL").alias("type")).withColumn("to", _last_part(F.col("to")))
+    called = found.statements.where("size(calls) > 0 AND sink IS NULL").select("path", "line_no", "calls")
+    call = live.select("path", "variable", "depth", "line_no").join(called, ["path", "line_no"]).select(
+        "path", "variable", "depth", "line_no", F.explode("calls").alias("to"), F.lit("CALL").alias("type")).withColumn(
+        "to", _last_part(F.col("to")))
     return (assign.unionByName(call).groupBy("path", "line_no", "to")
             .agg(F.min(F.struct("depth", "variable", "type")).alias("e"))
             .select("path", "e.variable", "line_no", "to", "e.type"))
 
 
-def sink_hits(reached: DataFrame, use_rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Lines where a tracked variable meets a sanitiser: path, variable, line_no, sink_name."""
-    return (use_rows.where("sink IS NOT NULL").join(_tracked(reached, max_depth), ["path", "variable"])
+def sink_hits(found: Relations, reached: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Statements in which a tracked variable meets a sanitiser: path, variable, line_no, sink_name."""
+    return (found.uses.where("sink IS NOT NULL").join(_tracked(reached, max_depth), ["path", "variable"])
             .groupBy("path", "variable", "line_no").agg(F.min("sink").alias("sink_name")))
 
 
-def output_lines(use_rows: DataFrame) -> DataFrame:
-    """Uses on lines with an output call of the language and no sanitiser."""
-    return use_rows.where("sink IS NULL AND size(calls) > 0").where(
-        _names_words_of_language(R.UNSAFE_OUTPUT))
+def _output_texts(found: Relations) -> DataFrame:
+    """Texts of output statements: path, line_no, line."""
+    return found.statements.where("output").select("path", "line_no", "line")
 
 
-def output_edges(source_rows: DataFrame, use_rows: DataFrame) -> DataFrame:
-    """Output calls naming a source: path, variable, line_no, to (the whole line)."""
-    named = source_rows.select("path", "variable").distinct()
-    return output_lines(use_rows).join(named, ["path", "variable"]).select(
-        "path", "variable", "line_no", F.col("line").alias("to"))
+def output_edges(found: Relations) -> DataFrame:
+    """Output calls naming a source: path, variable, line_no, to (the whole statement)."""
+    named = found.sources.select("path", "variable").distinct()
+    return found.uses.where("output").join(named, ["path", "variable"]).join(
+        _output_texts(found), ["path", "line_no"]).select("path", "variable", "line_no", F.col("line").alias("to"))
 
 
-def unsanitised(source_rows: DataFrame, reached: DataFrame, use_rows: DataFrame) -> DataFrame:
-    """Sources that reach an output while nothing on their chain meets a sanitiser."""
-    chain = reached.select("path", "root", "variable")
-    cleaned = (use_rows.where("sink IS NOT NULL").join(chain, ["path", "variable"])
-               .select("path", "root").distinct())
-    leaked = (output_lines(use_rows).join(chain, ["path", "variable"]).groupBy("path", "root")
-              .agg(F.min(F.struct("line_no", "line")).alias("o"))
-              .join(cleaned, ["path", "root"], "left_anti"))
-    first = source_rows.groupBy("path", F.col("variable").alias("root")).agg(
-        F.min("line_no").alias("line_number"))
-    return first.join(leaked, ["path", "root"]).select(
+def reaching(found: Relations) -> DataFrame:
+    """``uses`` with ``def_line``: the line of the last assignment of the variable above the statement; uses that no
+    assignment reaches are left out.
+
+    An as-of join as one window over names and line numbers of a file: the statement's own assignment comes after
+    its uses and takes the place of earlier ones.
+    """
+    made = found.statements.where("target IS NOT NULL").select(
+        "path", F.col("target").alias("variable"), "line_no", F.col("line_no").alias("made"))
+    both = found.uses.unionByName(made, allowMissingColumns=True)
+    # A use and an assignment on one line: nulls first, so the use.
+    above = Window.partitionBy("path", "variable").orderBy("line_no", F.asc_nulls_first("made")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("def_line", F.last("made", ignorenulls=True).over(above)).where(
+        "made IS NULL AND def_line IS NOT NULL").drop("made")
+
+
+def tainted(found: Relations, read: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Definitions that hold the value of a source: path, root, root_line, variable, line_no, depth.
+
+    A source's own definition is one unless it is sanitised at once; an assignment without a sanitiser passes on
+    what the definitions that reach it hold.  ``read`` is ``reaching`` as a table.
+    """
+    seeds = found.marked.where("NOT clean").select(
+        "path", F.col("variable").alias("root"), F.col("line_no").alias("root_line"), "variable", "line_no")
+    steps = read.where("target IS NOT NULL AND sink IS NULL").select(
+        "path", "variable", F.col("def_line").alias("line_no"), F.col("target").alias("next_variable"),
+        F.col("line_no").alias("next_line_no")).distinct()
+    return closure(seeds, steps, ["root", "root_line"], ["variable", "line_no"], max_depth)
+
+
+def unsanitised(found: Relations, max_depth: int | None = None) -> DataFrame:
+    """Sources whose value reaches an output through definitions that no sanitiser has cleaned: one finding per
+    source and its first such output."""
+    read = materialise(reaching(found), "reaching")
+    held = tainted(found, read, max_depth).select("path", "root", "root_line", "variable", F.col("line_no").alias("def_line"))
+    leaked = (read.where("output").join(held, ["path", "variable", "def_line"]).groupBy("path", "root", "root_line")
+              .agg(F.min("line_no").alias("line_no")).join(_output_texts(found), ["path", "line_no"]))
+    return leaked.select(
         "path", F.lit("L2-DATA-FLOW").alias("rule_id"), F.lit("Insecure Data Flow").alias("rule_name"),
-        F.col("root").alias("variable"), "line_number", F.col("o.line_no").alias("sink_line"),
-        F.concat(F.lit("Source: "), "root", F.lit(" (line "), F.col("line_number").cast("string"),
-                 F.lit(") -> Sink: "), F.col("o.line"), F.lit(" (line "),
-                 F.col("o.line_no").cast("string"), F.lit(")")).alias("data_flow"),
+        F.col("root").alias("variable"), F.col("root_line").alias("line_number"), F.col("line_no").alias("sink_line"),
+        F.concat(F.lit("Source: "), "root", F.lit(" (line "), F.col("root_line").cast("string"),
+                 F.lit(") -> Sink: "), F.col("line"), F.lit(" (line "),
+                 F.col("line_no").cast("string"), F.lit(")")).alias("data_flow"),
         F.lit("HIGH").alias("severity"))
 
 
@@ -237,13 +311,15 @@ def source_questions(files: DataFrame, source_rows: DataFrame, edges: DataFrame,
     steps = listed(edges, F.concat(F.lit(": passes to "), "to"), "propagation")
     safe = listed(hits, F.concat(F.lit(": hits registered sink "), "sink_name", F.lit(" - SAFE")),
                   "sink_status")
-    return (source_rows.join(steps, ["path", "variable"], "left")
-            .join(safe, ["path", "variable"], "left")
-            .join(files.select("path", (F.col("code") if code_chars is None else F.substring("code", 1, code_chars)).alias("code_head")), "path")
-            .select("path", "variable", "line_no", "expression",
-                    F.coalesce("propagation", F.lit("  No propagation detected")).alias("propagation"),
-                    F.coalesce("sink_status", F.lit("  No registered sink reached")).alias("sink_status"),
-                    "code_head"))
+    asked = (source_rows.join(steps, ["path", "variable"], "left").join(safe, ["path", "variable"], "left")
+             .select("path", "variable", "line_no", "expression",
+                     F.coalesce("propagation", F.lit("  No propagation detected")).alias("propagation"),
+                     F.coalesce("sink_status", F.lit("  No registered sink reached")).alias("sink_status")))
+    # The questions of a file meet its code once; rows are made after the join.
+    of_file = asked.groupBy("path").agg(F.collect_list(F.struct(*asked.columns[1:])).alias("asked"))
+    head = F.col("code") if code_chars is None else F.substring("code", 1, code_chars)
+    return files.select("path", head.alias("code_head")).join(of_file, "path").select(
+        "path", "code_head", F.inline("asked")).select(*asked.columns, "code_head")
 
 
 def file_verdicts(source_rows: DataFrame, findings: DataFrame) -> DataFrame:

@@ -45,23 +45,34 @@ def by_severity(findings: DataFrame) -> DataFrame:
         "path", "severity_rank", "layer_order", "seq")
 
 
-def file_verdicts(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per file: verdict, drift score, count, reasoning.  Partial aggregation by path, one join."""
+def file_verdicts(files: DataFrame, findings: DataFrame, ran: DataFrame | None = None) -> DataFrame:
+    """Per file: verdict, drift score, count, reasoning.  Partial aggregation by path, one join.
+
+    The reasoning names the layers that ran: ``ran`` has (path, layer) rows, named and ordered as they shall read; a
+    file without any reads ``unknown``.  Without ``ran`` only the layers that found something are known.
+    """
     rank = F.struct(severity_rank(F.col("severity")).alias("rank"), "layer_order", "seq")
     top = findings.groupBy("path").agg(
         F.count("*").alias("n"),
         F.min_by(F.struct("rule_id", "line_number"), rank).alias("top"),
         F.array_join(F.array_sort(F.collect_set("source_layer")), " + ").alias("found_in"))
     n = F.coalesce("n", F.lit(0).cast("bigint"))
-    return files.select("path").join(top, "path", "left").select(
+    if ran is None:
+        rows = files.select("path").withColumn("ran_", F.lit(None).cast("string"))
+    else:
+        used = ran.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("layer")), " + ").alias("ran_"))
+        rows = files.select("path").join(used, "path", "left").fillna({"ran_": "unknown"})
+    layers = F.coalesce("ran_", "found_in")
+    return rows.join(top, "path", "left").select(
         "path", F.when(n > 0, "REJECT").otherwise("ACCEPT").alias("verdict"),
         F.when(n > 0, 1.0).otherwise(0.0).alias("drift_score"), n.alias("n_violations"),
-        F.when(n > 0, F.concat(F.lit("["), "found_in", F.lit("] "), n.cast("string"),
+        F.when(n > 0, F.concat(F.lit("["), layers, F.lit("] "), n.cast("string"),
                                F.lit(" violation(s) found. Most severe: "), "top.rule_id",
                                F.lit(" on line "),
                                F.coalesce(F.col("top.line_number").cast("string"), F.lit("None")),
                                F.lit(".")))
-        .otherwise("All layers cleared. No violations found.").alias("reasoning"))
+        .otherwise(F.concat(F.coalesce(F.concat(F.lit("["), "ran_", F.lit("] ")), F.lit("")),
+                            F.lit("All layers cleared. No violations found."))).alias("reasoning"))
 
 
 def next_stage(files: DataFrame, findings: DataFrame) -> DataFrame:

@@ -176,12 +176,22 @@ def n_line_matches_sql(text: str, rules: Sequence[R.LineRule]) -> str:
     return "bigint(" + " + ".join(counts) + ")"
 
 
-def screen_verdicts(files: DataFrame, profile: R.Profile = R.LOCAL) -> DataFrame:
-    """Per file: path, verdict, n_violations, risk_score, details.  One narrow pass, no shuffle."""
+def _counted(files: DataFrame, profile: R.Profile) -> DataFrame:
+    """Gated files with the number of their exploit and secret findings, told on the row."""
     rules = R.exploit_line_rules(profile) + R.SECRET_RULES
-    counted = T.computed_once(
+    return T.computed_once(
         T.prepared(gate(files.select("path", "ext", "code"), profile), "code", "should_audit"), "n_violations",
         f"CASE WHEN should_audit THEN {n_line_matches_sql('code', rules)} ELSE 0L END")
+
+
+def cleared(files: DataFrame, profile: R.Profile = R.LOCAL) -> DataFrame:
+    """path, ext, code of the files that have no screen finding.  One narrow pass: texts stay where they are."""
+    return _counted(files, profile).where("n_violations = 0").select("path", "ext", "code")
+
+
+def screen_verdicts(files: DataFrame, profile: R.Profile = R.LOCAL) -> DataFrame:
+    """Per file: path, verdict, n_violations, risk_score, details.  One narrow pass, no shuffle."""
+    counted = _counted(files, profile)
     n, score = F.col("n_violations"), F.col("risk_score").cast("string")
     return counted.select(
         "path", F.when(n > 0, "REJECT").otherwise("ACCEPT").alias("verdict"), "n_violations", "risk_score",

@@ -36,36 +36,52 @@ def scan_folder(files: DataFrame, system_text: str, profile: R.Profile = R.BATCH
                       budget.request_table(chosen, system_text, tpm))
 
 
-def layered_findings(files: DataFrame, answers: DataFrame | None = None,
-                     profile: R.Profile = R.LOCAL) -> DataFrame:
-    """Findings of all layers of ``files(path, ext, code)``.
+@dataclass
+class Layers:
+    """Findings of all layers, and which layers ran on which file (path, layer)."""
+
+    findings: DataFrame
+    ran: DataFrame
+
 
-    Files with a screen finding go no further.  The others get the flow relations and, where ``answers``
-    (response_id, path, raw) has one, the confirmed findings of the model on existing lines.
+def layered(files: DataFrame, answers: DataFrame | None = None, profile: R.Profile = R.LOCAL) -> Layers:
+    """All layers of ``files(path, ext, code)``.
+
+    Files with a screen finding go no further, which is told on their row.  The others get the flow relations and,
+    where ``answers`` (response_id, path, raw) has one, the confirmed findings of the model on existing lines.
+    Layer 2 runs on files with a source, the model's layer on files with an answer.
     """
     first = materialise(screen.screen_findings(files, profile).selectExpr(
         "path", "line_number", "rule_id", "severity", "rule_name AS violation",
         "lpad(CAST(line_number AS string), 8, '0') || rule_name AS seq"), "screen")
-    rest = merge.next_stage(files, first)
-    source_rows, use_rows = flow.relations(rest)
-    reached = materialise(flow.reach(source_rows, use_rows), "reached")
-    leaks = flow.unsanitised(source_rows, reached, use_rows)
-    second = leaks.selectExpr(
+    found = flow.relations(screen.cleared(files, profile))
+    second = materialise(flow.unsanitised(found).selectExpr(
         "path", "line_number", "rule_id", "severity", "data_flow AS violation",
-        "lpad(CAST(line_number AS string), 8, '0') || variable AS seq")
+        "lpad(CAST(line_number AS string), 8, '0') || variable AS seq"), "flow")
     layers = [("Layer 1", first), ("Layer 2", second)]
+    ran = files.selectExpr("path", "'Layer1' AS layer").unionByName(
+        found.sources.selectExpr("path", "'Layer2' AS layer").distinct())
     if answers is not None:
-        asked = answers.join(merge.next_stage(rest.select("path"), second), "path", "left_semi")
-        found = responses.check_lines(responses.confirmed_findings(responses.finding_items(asked)), files)
-        layers.append(("V1.0", found.where("valid_line").selectExpr(
+        seen = first.select("path").unionByName(second.select("path")).distinct()
+        asked = answers.join(seen, "path", "left_anti").join(files.select("path").distinct(), "path", "left_semi")
+        model = responses.check_lines(responses.confirmed_findings(responses.finding_items(asked)), files)
+        layers.append(("V1.0", model.where("valid_line").selectExpr(
             "path", "line_number", "vulnerability_type AS rule_id", "severity", "description AS violation",
             "lpad(CAST(response_id AS string), 20, '0') || lpad(CAST(seq AS string), 8, '0') AS seq")))
-    return merge.drop_repeated_model(merge.union_layers(*layers))
+        ran = ran.unionByName(asked.selectExpr("path", "'V1.0' AS layer"))
+    return Layers(merge.drop_repeated_model(merge.union_layers(*layers)), ran)
+
+
+def layered_findings(files: DataFrame, answers: DataFrame | None = None,
+                     profile: R.Profile = R.LOCAL) -> DataFrame:
+    """Findings of all layers of ``files(path, ext, code)``, see ``layered``."""
+    return layered(files, answers, profile).findings
 
 
 def audit(files: DataFrame, answers: DataFrame | None = None, profile: R.Profile = R.LOCAL) -> DataFrame:
-    """Per-file verdicts of ``layered_findings``."""
-    return merge.file_verdicts(files, materialise(layered_findings(files, answers, profile), "findings"))
+    """Per-file verdicts over all layers, naming the layers that ran."""
+    found = layered(files, answers, profile)
+    return merge.file_verdicts(files, materialise(found.findings, "findings"), found.ran)
 
 
 def guard_documents(live: DataFrame, snapshot: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -37,13 +37,24 @@ NL = "chr(10)"
 
 # --- code ---------------------------------------------------------------------------------------------
 PY_RUN = """import subprocess
-# runs the report job
+# runs the report job (and waits
 def run_{k}(request):
     name_{c} = request.args['user']
     tag_{c} = name_{c}
     full_{c} = tag_{c}
     last_{c} = full_{c}
+    end_{c} = last_{c}
+    far_{c} = end_{c}
     print(name_{c})
+    body_{c} = request.get(
+        'body (raw',
+        default=far_{c})
+    text_{c} = far_{c} + {b}
+        body_{c}
+    print('text',
+          text_{c})
+    text_{c} = redact(text_{c})
+    print(text_{c})
     subprocess.run(name_{c}, shell=True)
 """
 PY_SAFE = """import hashlib
@@ -53,6 +64,12 @@ def store_{k}(request):
     safe_{c} = redact(mail_{c})
     note_{c} = f"order {mail_{c}} done"
     print(safe_{c})
+    copy_{c} = mail_{c}
+    mail_{c} = redact(
+        mail_{c}
+    )
+    print(mail_{c})
+    logger.info(copy_{c})
     digest = hashlib.sha256(mail_{c})
     return 1
 """
@@ -82,6 +99,13 @@ JS_SAFE = """import express from 'express';
 const name{c} = req.body.name;
 const safe{c} = sanitize(name{c});
 res.send(safe{c});
+let all{c} = [
+  safe{c}, // kept (first
+  req.query.id
+];
+res.json(all{c});
+all{c} = safe{c};
+res.json(all{c});
 spawn('ls', ['-l']);
 """
 JS_XSS = """const box{c} = document.cookie;
@@ -115,7 +139,7 @@ def _by_status(f: str, o: str, p: str) -> str:
 
 
 def _code(t: str) -> str:
-    return filled(t, k=_K, c=_C)
+    return filled(t, k=_K, c=_C, b="chr(92)")
 
 
 _EXT = case("o_orderpriority", {"1-URGENT": "'.py'", "2-HIGH": "'.js'", "3-MEDIUM": "'.java'",
@@ -171,6 +195,9 @@ CONTENT:
 - {c}
 """
 
+ANSWER = ('{"findings": [{"is_vulnerable": true, "severity": "HIGH", "line_number": {n}, "vulnerability_type": "XSS", '
+          '"description": "order {k}"}, {"is_vulnerable": true, "severity": "LOW", "line_number": 2}]}')
+
 # --- reviews (documents, labels) -----------------------------------------------------------------------------
 # Quotes, backslash, newline, braces and tilde are blanked so that texts can sit inside JSON templates.
 DESC = "translate(text, chr(34) || chr(92) || chr(10) || '{}~', '      ')"
@@ -280,6 +307,11 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
                             "2-HIGH": _code(REASON_CITED), "3-MEDIUM": _code(REASON_NAMED)}, _code(REASON_NONE))
         + " AS reasoning", _by_status(text("REJECT"), text("ACCEPT"), text("ACCEPT")) + " AS verdict",
         "CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'O' THEN 0.1 ELSE 0.2 END AS score"]),
+    # Answers of a model on code files; two of three orders have one.
+    "answers": ("orders WHERE o_orderkey % 3 < 2", [
+        "o_orderkey AS response_id", f"{CODE_PATH} AS path", case("o_orderpriority", {
+            "1-URGENT": text('{"findings": []}'), "5-LOW": text('{"findings": [{"is_vulnerable": true}]}')},
+            filled(ANSWER, k=_K, n=STR("o_orderkey % 9"))) + " AS raw"]),
     "analyses": ("orders", ["o_orderkey AS response_id", case("o_orderpriority", {
         "5-LOW": _code(ACTIONS)}, filled(ANALYSIS, k=_K, r=_by_status(
             text("NONE"), text("- Rule 1: NEVER do it"), text("- Rule 1: NEVER\n- Rule 2: NEVER"))))
@@ -306,7 +338,7 @@ _SPREAD = {"documents": "doc_id", "pages": "page_id", "orders": "o_orderkey"}
 # every filter on them.
 _STORED = {"code_files": "code", "diffs": "diff", "notes": "content", "reasons": "reasoning",
            "analyses": "analysis", "reviews": "raw", "flow_reviews": "raw", "eight_reviews": "raw",
-           "rule_reviews": "raw"}
+           "rule_reviews": "raw", "answers": "raw"}
 
 
 def bind(spark: SparkSession, sf: str, name: str) -> DataFrame:

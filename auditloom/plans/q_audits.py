@@ -16,13 +16,15 @@ _LAYERS = {"g": gate_sql(R.LOCAL, "code_files"), "gl": lines_sql("g", "path, sho
     "u": "SELECT path, rule_id, line_number, 'Layer 1' AS source_layer, 0 AS rank, lpad(CAST(line_number AS varchar), 8, '0') || rule_name AS seq FROM l1 "
          "UNION ALL SELECT path, rule_id, line_number, 'Layer 2', 1, lpad(CAST(line_number AS varchar), 8, '0') || variable FROM found",
     "t": "SELECT path, count(*) AS n, arg_min(rule_id || ' on line ' || CAST(line_number AS varchar), (rank, seq)) AS top, "
-         "string_agg(DISTINCT source_layer, ' + ' ORDER BY source_layer) AS found_in FROM u GROUP BY path"}
+         "string_agg(DISTINCT source_layer, ' + ' ORDER BY source_layer) AS found_in FROM u GROUP BY path",
+    "ran": "SELECT path, 'Layer1' AS layer FROM code_files UNION SELECT path, 'Layer2' FROM sources"}
 
 
 @query("audit_layered_verdicts", ctes("code_files", extra=_LAYERS).replace("WITH ", "WITH RECURSIVE ", 1) + """
 SELECT c.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, CAST(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS double) AS drift_score,
-coalesce(n, 0) AS n_violations, CASE WHEN n > 0 THEN '[' || found_in || '] ' || CAST(n AS varchar) || ' violation(s) found. Most severe: '
-|| top || '.' ELSE 'All layers cleared. No violations found.' END AS reasoning FROM code_files c LEFT JOIN t ON t.path = c.path""")
+coalesce(n, 0) AS n_violations, '[' || r.layers || '] ' || CASE WHEN n > 0 THEN CAST(n AS varchar) || ' violation(s) found. Most severe: '
+|| top || '.' ELSE 'All layers cleared. No violations found.' END AS reasoning FROM code_files c LEFT JOIN t ON t.path = c.path
+JOIN (SELECT path, string_agg(DISTINCT layer, ' + ' ORDER BY layer) AS layers FROM ran GROUP BY path) r ON r.path = c.path""")
 def layered(spark, sf):
     return audits.audit(bind(spark, sf, "code_files"), profile=R.LOCAL)
 

@@ -79,10 +79,15 @@ def mg3(spark, sf):
     "t": f"""SELECT path, count(*) AS n, arg_min(rule_id || ' on line ' || CAST(line_number AS varchar), ({_RANK}, layer_order, seq)) AS top,
 string_agg(DISTINCT source_layer, ' + ' ORDER BY source_layer) AS found_in FROM kept GROUP BY path"""}) + """
 SELECT c.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, CAST(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS double) AS drift_score,
-coalesce(n, 0) AS n_violations, CASE WHEN n > 0 THEN '[' || found_in || '] ' || CAST(n AS varchar) || ' violation(s) found. Most severe: '
+coalesce(n, 0) AS n_violations, '[' || CASE WHEN ends_with(c.path, '.json') THEN 'unknown' WHEN ends_with(c.path, '.go')
+THEN 'Layer1' ELSE 'Layer1 + Layer2 + V1.0' END || '] ' || CASE WHEN n > 0 THEN CAST(n AS varchar) || ' violation(s) found. Most severe: '
 || top || '.' ELSE 'All layers cleared. No violations found.' END AS reasoning FROM code_files c LEFT JOIN t ON t.path = c.path""")
 def mg4(spark, sf):
-    return G.file_verdicts(*_kept(spark, sf))
+    """No layer runs on settings, the first one alone on Go files."""
+    files, kept = _kept(spark, sf)
+    ran = files.selectExpr("path", "explode(CASE WHEN endswith(path, '.json') THEN array() WHEN endswith(path, '.go') "
+                           "THEN array('Layer1') ELSE array('Layer1', 'Layer2', 'V1.0') END) AS layer")
+    return G.file_verdicts(files, kept, ran)
 
 
 @query("mg5_short_circuit", ctes("code_files", extra=_MERGE) + """

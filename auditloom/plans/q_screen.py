@@ -397,9 +397,9 @@ def dr11(spark, sf):
 
 # --- flow -------------------------------------------------------------------------------------------------
 
+# The twin reads code by patterns of its own and finds statements by running sums over lines.
 _LANG = case("lower(ext)", {k: text(v) for k, v in R.LANGUAGE_OF.items()}, "NULL")
 _MIDDLE = ", ".join(text(m) for m in R.SINK_MIDDLEWARE + R.SINK_DECORATORS)
-_NOT_CALLS = ", ".join(text(c) for c in flow.NOT_CALLS)
 
 
 def _contains(column: str, words) -> str:
@@ -418,40 +418,55 @@ def _by_language(words: dict) -> str:
 _PARTS = {
     "cl": lines_sql("(SELECT *, " + _LANG + " AS language FROM code_files) WHERE language IS NOT NULL",
                     "path, language"),
-    "st0": f"""SELECT path, language, line_no, trim(line) AS line,
-nullif(regexp_extract(line, {text(flow.ASSIGN)}, 1), '') AS target,
-regexp_replace(regexp_extract(line, {text(flow.ASSIGN)}, 2), '[;\\s]+$', '') AS rhs0,
-CASE WHEN regexp_matches(line, '^\\s*(?:async\\s+)?(?:def|function|func|class)\\s') THEN []
-ELSE list_filter(regexp_extract_all(line, {text(flow.CALL)}, 1), lambda c: c NOT IN ({_NOT_CALLS})) END AS calls
-FROM cl WHERE trim(line) <> ''""",
+    "bare": r"""SELECT *, regexp_replace(regexp_replace(line, '"[^"]*"|\x27[^\x27]*\x27', 'S', 'g'),
+CASE WHEN language = 'python' THEN '#.*' ELSE '//.*' END, '') AS b FROM cl""",
+    "depth": r"""SELECT *, sum(len(regexp_extract_all(b, CASE WHEN language = 'python' THEN '[(\[{]' ELSE '[(\[]' END))
+- len(regexp_extract_all(b, CASE WHEN language = 'python' THEN '[)\]}]' ELSE '[)\]]' END)))
+OVER (PARTITION BY path ORDER BY line_no) AS open, ends_with(b, chr(92)) AS goes_on FROM bare""",
+    "opens": """SELECT *, CASE WHEN coalesce(lag(open) OVER (PARTITION BY path ORDER BY line_no), 0) = 0
+AND NOT coalesce(lag(goes_on) OVER (PARTITION BY path ORDER BY line_no), false) THEN line_no END AS first FROM depth""",
+    "whole": """SELECT *, max(first) OVER (PARTITION BY path ORDER BY line_no) AS head FROM opens""",
+    "st0": r"""SELECT path, language, line_no, line,
+nullif(regexp_extract(line, '^(?:[A-Za-z_][\w<>,\[\]]* +)*([A-Za-z_]\w*) *:?= *[^= ].*$', 1), '') AS target,
+regexp_replace(trim(regexp_extract(line, '^[^=]*=(.*)$', 1)), '[;\s]+$', '') AS rhs0,
+CASE WHEN regexp_matches(line, '^(async )?(def|function|func|class) ') THEN []
+ELSE list_filter(regexp_extract_all(line, '([A-Za-z_][\w.:]*)!? *\(', 1),
+  lambda c: c NOT IN ('if', 'for', 'while', 'switch', 'return', 'catch', 'elif', 'with')) END AS calls
+FROM (SELECT path, language, head AS line_no, string_agg(trim(CASE WHEN goes_on THEN left(trim(line), -1) ELSE line END), ' '
+      ORDER BY line_no) AS line FROM whole GROUP BY ALL) WHERE line <> ''""",
     "st": f"""SELECT *, CASE WHEN target IS NOT NULL THEN rhs0 END AS rhs,
 coalesce({_last(f"list_extract(list_filter(calls, lambda c: {_last('c')} IN ({_MIDDLE})), 1)")},
 CASE WHEN {' OR '.join(f"regexp_matches(line, {text(p)})" for p in R.SINK_PATTERNS)} THEN {_last('calls[1]')} END,
 CASE WHEN language <> 'python' AND {_contains('line', R.SINK_MIDDLEWARE)} THEN {_last('calls[1]')} END) AS sink
 FROM st0""",
-    "src0": f"""SELECT *, regexp_extract(rhs, {text(flow.ONE_CALL)}, 1) AS callee FROM st
+    "src0": r"""SELECT *, regexp_extract(rhs, '^([A-Za-z_][\w.]*)\(.*\)$', 1) AS callee FROM st
 WHERE target IS NOT NULL""",
-    "src1": f"""SELECT *, CASE WHEN regexp_matches(rhs, '^[rR]?[fF]["'']') THEN 'F_STRING_TEMPLATE'
-WHEN regexp_matches(rhs, '^["''].*["'']\\s*%\\s') THEN 'FORMAT_OPERATOR'
+    "src1": rf"""SELECT *, CASE WHEN regexp_matches(rhs, '^[fF]["'']') THEN 'F_STRING_TEMPLATE'
+WHEN regexp_matches(rhs, '^["''].*["''] *% ') THEN 'FORMAT_OPERATOR'
 WHEN regexp_matches(rhs, '^["'']') THEN 'LITERAL_STRING'
-WHEN regexp_matches(rhs, {text(flow.SUBSCRIPT)}) THEN 'EXTERNAL_INPUT'
+WHEN regexp_matches(rhs, '^[A-Za-z_][\w.]*\[.*\]$') THEN 'EXTERNAL_INPUT'
 WHEN callee <> '' AND ({' OR '.join(f"starts_with(callee, {text(p)})" for p in R.SAFE_CALL_PREFIXES)}) THEN 'SAFE'
 WHEN callee <> '' AND sink IS NOT NULL THEN 'OTHER' WHEN callee <> '' THEN 'EXTERNAL_INPUT' ELSE 'OTHER' END AS node_type
 FROM src0""",
-    "sources": f"""SELECT path, target AS variable, line_no, line AS expression, node_type FROM src1
+    "marked": f"""SELECT path, language, target AS variable, line_no, line AS expression, node_type, sink FROM src1
 WHERE language = 'python' AND node_type IN ('EXTERNAL_INPUT', 'F_STRING_TEMPLATE', 'FORMAT_OPERATOR')
-UNION ALL SELECT path, target, min(line_no), arg_min(line, line_no), 'EXTERNAL_INPUT' FROM src1
-WHERE {_by_language(R.EXTERNAL_INPUT)} GROUP BY path, target""",
-    "us0": f"""SELECT path, language, line_no, line, target, calls, sink, coalesce(rhs, line) AS t FROM st""",
-    "uses": f"""SELECT path, language, line_no, line, target, calls, sink, unnest(list_distinct(regexp_extract_all(
-regexp_replace(CASE WHEN regexp_matches(t, '(?:^|[^A-Za-z0-9_])[rR]?[fF]["'']') OR contains(t, '${{') THEN t
-ELSE regexp_replace(t, {text(flow.STRING)}, '""', 'g') END, '\\.\\s*{flow.NAME}', '', 'g'), '({flow.NAME})', 1)))
+UNION ALL SELECT path, language, target, line_no, line, 'EXTERNAL_INPUT', sink FROM src1
+WHERE {_by_language(R.EXTERNAL_INPUT)}""",
+    "sources": """SELECT path, variable, line_no, expression, node_type FROM marked WHERE language = 'python'
+UNION ALL SELECT path, variable, min(line_no), arg_min(expression, line_no), 'EXTERNAL_INPUT' FROM marked
+WHERE language <> 'python' GROUP BY path, variable""",
+    "us0": """SELECT path, language, line_no, line, target, calls, sink, coalesce(rhs, line) AS t FROM st
+WHERE target IS NOT NULL OR len(calls) > 0""",
+    "uses": r"""SELECT path, language, line_no, line, target, calls, sink, unnest(list_distinct(regexp_extract_all(
+regexp_replace(CASE WHEN regexp_matches(t, '(^|\W)[fF]["'']') THEN t
+ELSE regexp_replace(t, '"[^"]*"|\x27[^\x27]*\x27', '""', 'g') END, '\. *[A-Za-z_]\w*', '', 'g'), '[A-Za-z_]\w*')))
 AS variable FROM us0""",
+    "longest": "SELECT path, count(DISTINCT target) AS n FROM st GROUP BY path",  # no shortest path is longer
     "walk": """SELECT path, variable AS root, variable, 0 AS depth FROM sources
 UNION SELECT w.path, w.root, u.target, w.depth + 1 FROM walk w JOIN uses u ON u.path = w.path
-AND u.variable = w.variable WHERE u.target IS NOT NULL AND u.sink IS NULL AND w.depth < 3""",
+AND u.variable = w.variable JOIN longest l ON l.path = w.path AND w.depth < l.n WHERE u.target IS NOT NULL AND u.sink IS NULL""",
     "reached": "SELECT path, root, variable, min(depth) AS depth FROM walk GROUP BY 1, 2, 3",
-    "tracked": "SELECT path, variable, min(depth) AS depth FROM reached WHERE depth < 3 GROUP BY 1, 2",
+    "tracked": "SELECT path, variable, min(depth) AS depth FROM reached GROUP BY 1, 2",
     "edges0": f"""SELECT u.path, u.variable, t.depth, u.line_no, u.target AS "to", 'ASSIGNMENT' AS type FROM uses u
 JOIN tracked t ON u.path = t.path AND u.variable = t.variable WHERE u.sink IS NULL AND u.target IS NOT NULL
 UNION ALL SELECT path, variable, depth, line_no, {_last('c')}, 'CALL' FROM (
@@ -462,16 +477,20 @@ JOIN tracked t ON u.path = t.path AND u.variable = t.variable WHERE u.sink IS NU
     "hits": """SELECT u.path, u.variable, u.line_no, min(u.sink) AS sink_name FROM uses u
 JOIN tracked t ON u.path = t.path AND u.variable = t.variable WHERE u.sink IS NOT NULL GROUP BY 1, 2, 3""",
     "outs": f"SELECT * FROM uses WHERE sink IS NULL AND len(calls) > 0 AND {_by_language(R.UNSAFE_OUTPUT)}",
-    "cleaned": """SELECT DISTINCT r.path, r.root FROM reached r JOIN uses u ON u.path = r.path
-AND u.variable = r.variable WHERE u.sink IS NOT NULL""",
-    "leaked": """SELECT r.path, r.root, min(o.line_no) AS sink_line, arg_min(o.line, (o.line_no, o.line)) AS sink_text
-FROM reached r JOIN outs o ON o.path = r.path AND o.variable = r.variable
-WHERE NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.path = r.path AND c.root = r.root) GROUP BY 1, 2""",
+    # A use reads the last assignment above it.
+    "made": "SELECT path, target AS variable, line_no FROM st WHERE target IS NOT NULL",
+    "read": """SELECT u.*, m.line_no AS def_line FROM uses u ASOF JOIN made m
+ON u.path = m.path AND u.variable = m.variable AND u.line_no > m.line_no""",
+    "held": """SELECT path, variable AS root, line_no AS root_line, variable, line_no FROM marked WHERE sink IS NULL
+UNION SELECT h.path, h.root, h.root_line, r.target, r.line_no FROM held h JOIN read r ON r.path = h.path
+AND r.variable = h.variable AND r.def_line = h.line_no WHERE r.target IS NOT NULL AND r.sink IS NULL""",
+    "leaked": """SELECT h.path, h.root, h.root_line, min(o.line_no) AS sink_line FROM held h JOIN read o
+ON o.path = h.path AND o.variable = h.variable AND o.def_line = h.line_no
+JOIN outs x ON x.path = o.path AND x.line_no = o.line_no AND x.variable = o.variable GROUP BY 1, 2, 3""",
     "found": """SELECT l.path, 'L2-DATA-FLOW' AS rule_id, 'Insecure Data Flow' AS rule_name, l.root AS variable,
-s.line_number, l.sink_line, 'Source: ' || l.root || ' (line ' || CAST(s.line_number AS varchar) || ') -> Sink: '
-|| l.sink_text || ' (line ' || CAST(l.sink_line AS varchar) || ')' AS data_flow, 'HIGH' AS severity
-FROM leaked l JOIN (SELECT path, variable, min(line_no) AS line_number FROM sources GROUP BY 1, 2) s
-ON s.path = l.path AND s.variable = l.root""",
+l.root_line AS line_number, l.sink_line, 'Source: ' || l.root || ' (line ' || CAST(l.root_line AS varchar)
+|| ') -> Sink: ' || s.line || ' (line ' || CAST(l.sink_line AS varchar) || ')' AS data_flow, 'HIGH' AS severity
+FROM leaked l JOIN st s ON s.path = l.path AND s.line_no = l.sink_line""",
 }
 
 
@@ -479,16 +498,13 @@ def flow_sql(body: str) -> str:
     return ctes("code_files", extra=_PARTS).replace("WITH ", "WITH RECURSIVE ", 1) + body
 
 
-class _Flow:
-    """The flow relations of the code files.  Lines are parsed once, into tables in the shared folder."""
+def _flow(spark, sf) -> flow.Relations:
+    """The flow relations of the code files, written once."""
+    return flow.relations(bind(spark, sf, "code_files"))
 
-    def __init__(self, spark, sf):
-        self.files = bind(spark, sf, "code_files")
-        self.sources, self.uses = flow.relations(self.files)
-        self.reached = materialise(flow.reach(self.sources, self.uses), "reached")
 
-    def found(self):
-        return flow.unsanitised(self.sources, self.reached, self.uses)
+def _reached(found: flow.Relations):
+    return materialise(flow.reach(found), "reached")
 
 
 @query("fl1_fl2_sources", flow_sql("SELECT path, variable, line_no, expression, node_type FROM sources"))
@@ -496,38 +512,47 @@ def fl1(spark, sf):
     return flow.sources(flow.statements(bind(spark, sf, "code_files")))
 
 
+@query("fl1_statements", flow_sql("SELECT path, line_no, line, target FROM st"))
+def fl1_statements(spark, sf):
+    return flow.statements(bind(spark, sf, "code_files")).select("path", "line_no", "line", "target")
+
+
 @query("fl3_propagation", flow_sql('SELECT path, variable, line_no, "to", type FROM edges'))
 def fl3(spark, sf):
-    f = _Flow(spark, sf)
-    return flow.propagation(f.reached, f.uses)
+    found = _flow(spark, sf)
+    return flow.propagation(found, _reached(found))
 
 
 @query("fl4_sink_hits", flow_sql("SELECT path, variable, line_no, sink_name FROM hits"))
 def fl4(spark, sf):
-    f = _Flow(spark, sf)
-    return flow.sink_hits(f.reached, f.uses)
+    found = _flow(spark, sf)
+    return flow.sink_hits(found, _reached(found))
 
 
 @query("fl5_reach", flow_sql("SELECT path, root, variable, depth FROM reached"))
 def fl5(spark, sf):
-    return _Flow(spark, sf).reached
+    return flow.reach(_flow(spark, sf))
 
 
 @query("fl5_trace_boundary", flow_sql("SELECT path, max(depth) >= 3 AS trace_boundary_reached FROM reached GROUP BY 1"))
 def fl5_boundary(spark, sf):
-    return flow.boundary_hits(_Flow(spark, sf).reached)
+    return flow.boundary_hits(flow.reach(_flow(spark, sf)))
 
 
 @query("fl6_output_edges", flow_sql("""SELECT o.path, o.variable, o.line_no, o.line AS "to" FROM outs o
 WHERE EXISTS (SELECT 1 FROM sources s WHERE s.path = o.path AND s.variable = o.variable)"""))
 def fl6(spark, sf):
-    f = _Flow(spark, sf)
-    return flow.output_edges(f.sources, f.uses)
+    return flow.output_edges(_flow(spark, sf))
 
 
 @query("fl7_unsanitised_flow", flow_sql("SELECT * FROM found"))
 def fl7(spark, sf):
-    return _Flow(spark, sf).found()
+    return flow.unsanitised(_flow(spark, sf))
+
+
+@query("fl7_reaching_definitions", flow_sql("SELECT path, line_no, variable, def_line FROM read"))
+def fl7_reaching(spark, sf):
+    return flow.reaching(_flow(spark, sf)).select("path", "line_no", "variable", "def_line")
 
 
 @query("fl8_source_questions", flow_sql("""
@@ -540,9 +565,10 @@ coalesce((SELECT string_agg('  Line ' || CAST(h.line_no AS varchar) || ': hits r
   '  No registered sink reached') AS sink_status, c.code AS code_head
 FROM sources s JOIN code_files c ON c.path = s.path"""))
 def fl8(spark, sf):
-    f = _Flow(spark, sf)
-    return flow.source_questions(f.files, f.sources, flow.propagation(f.reached, f.uses),
-                                 flow.sink_hits(f.reached, f.uses))
+    found = _flow(spark, sf)
+    reached = _reached(found)
+    return flow.source_questions(bind(spark, sf, "code_files"), found.sources, flow.propagation(found, reached),
+                                 flow.sink_hits(found, reached))
 
 
 @query("fl9_flow_verdicts", flow_sql("""
@@ -553,5 +579,5 @@ coalesce(n, 0) AS n_violations, CASE WHEN coalesce(n, 0) > 0 THEN 'Layer 2 found
 FROM (SELECT path, count(*) AS n_sources FROM sources GROUP BY 1) s
 LEFT JOIN (SELECT path, count(*) AS n FROM found GROUP BY 1) f ON f.path = s.path"""))
 def fl9(spark, sf):
-    f = _Flow(spark, sf)
-    return flow.file_verdicts(f.sources, f.found())
+    found = _flow(spark, sf)
+    return flow.file_verdicts(found.sources, flow.unsanitised(found))

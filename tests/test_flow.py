@@ -1,5 +1,9 @@
+import random
+import re
+
 import pytest
 
+from auditloom.functions import logical
 from auditloom.operators import flow
 from auditloom.sources import config
 
@@ -20,8 +24,8 @@ def relations(rows):
         ("fstring.py", ".py", 'm = f"hi {name}"\np = "a %s" % b\nq = hashlib.md5(z)'),
         ("loop.py", ".py", "a = input[0]\nb = a\na = b"),
         ("query.sql", ".sql", "x = req.body"))
-    sources, uses = flow.relations(files)
-    return files, sources, uses, flow.reach(sources, uses)
+    found = flow.relations(files)
+    return files, found, flow.reach(found)
 
 
 def found(df, *cols):
@@ -29,7 +33,7 @@ def found(df, *cols):
 
 
 def test_sources(relations):
-    got = found(relations[1], "path", "variable", "line_no", "node_type")
+    got = found(relations[1].sources, "path", "variable", "line_no", "node_type")
     assert ("source.py", "user_name", 1, "EXTERNAL_INPUT") in got
     assert ("fstring.py", "m", 1, "F_STRING_TEMPLATE") in got
     assert ("fstring.py", "p", 2, "FORMAT_OPERATOR") in got
@@ -39,43 +43,143 @@ def test_sources(relations):
     assert sum(x[0] == "twice.js" for x in got) == 1
 
 
-def test_depth_bound(relations):
-    got = found(flow.boundary_hits(relations[3]), "path", "trace_boundary_reached")
+def test_depth(relations):
+    _, own, reached = relations
+    got = found(flow.boundary_hits(reached), "path", "trace_boundary_reached")
     assert ("chain.py", True) in got and ("sink.py", False) in got
-    depths = found(relations[3].where("path = 'chain.py' AND root = 'v1'"), "variable", "depth")
-    assert depths == {("v1", 0), ("v2", 1), ("v3", 2), ("v4", 3)}
-    assert found(relations[3].where("path = 'loop.py' AND root = 'a'"), "variable", "depth") == {("a", 0), ("b", 1)}
+    bounded = flow.reach(own, 3)
+    assert found(bounded.where("path = 'chain.py' AND root = 'v1'"), "variable", "depth") == {
+        ("v1", 0), ("v2", 1), ("v3", 2), ("v4", 3)}
+    assert found(reached.where("path = 'chain.py' AND root = 'v1'"), "variable", "depth") == {
+        (f"v{i + 1}", i) for i in range(5)}
+    assert found(reached.where("path = 'loop.py' AND root = 'a'"), "variable", "depth") == {("a", 0), ("b", 1)}
+
+
+def test_chain_of_fifty(rows):
+    chain = "v0 = request.args['x']\n" + "".join(f"v{i + 1} = v{i}\n" for i in range(50)) + "print(v50)\n"
+    own = flow.relations(rows(FILES, ("long.py", ".py", chain)))
+    assert found(flow.unsanitised(own), "variable", "line_number", "sink_line") == {("v0", 1, 52)}
+    assert not found(flow.unsanitised(own, 4), "variable")
+    assert found(flow.reach(own, 9), "variable", "depth") == {(f"v{i}", i) for i in range(10)}
 
 
 def test_sink_ends_propagation(relations):
-    _, _, uses, reached = relations
-    assert found(flow.sink_hits(reached, uses).where("path = 'sink.py'"), "variable", "line_no", "sink_name") == {
+    _, own, reached = relations
+    assert found(flow.sink_hits(own, reached).where("path = 'sink.py'"), "variable", "line_no", "sink_name") == {
         ("v1", 2, "redact")}
-    assert not found(flow.propagation(reached, uses).where("path = 'sink.py' AND variable = 'v1'"), "to")
+    assert not found(flow.propagation(own, reached).where("path = 'sink.py' AND variable = 'v1'"), "to")
 
 
 def test_propagation(relations):
-    got = found(flow.propagation(relations[3], relations[2]).where("path = 'chain.py'"), "variable", "line_no", "to")
+    _, own, reached = relations
+    got = found(flow.propagation(own, flow.reach(own, 3), 3).where("path = 'chain.py'"), "variable", "line_no", "to")
     assert got == {("v1", 2, "v2"), ("v2", 3, "v3"), ("v3", 4, "v4")}
+    assert found(flow.propagation(own, reached).where("path = 'chain.py'"), "variable", "line_no", "to") == got | {
+        ("v4", 5, "v5")}
 
 
 def test_unsafe_output(relations):
-    _, sources, uses, reached = relations
-    assert ("leak.js", "name", 2) in found(flow.output_edges(sources, uses), "path", "variable", "line_no")
-    leaks = found(flow.unsanitised(sources, reached, uses), "path", "variable", "line_number", "sink_line")
+    own = relations[1]
+    assert ("leak.js", "name", 2) in found(flow.output_edges(own), "path", "variable", "line_no")
+    leaks = found(flow.unsanitised(own), "path", "variable", "line_number", "sink_line")
     assert leaks == {("leak.js", "name", 1, 2)}
 
 
 def test_verdicts_and_questions(relations):
-    files, sources, uses, reached = relations
-    leaks = flow.unsanitised(sources, reached, uses)
-    got = found(flow.file_verdicts(sources, leaks), "path", "verdict", "details")
+    files, own, reached = relations
+    leaks = flow.unsanitised(own)
+    got = found(flow.file_verdicts(own.sources, leaks), "path", "verdict", "details")
     assert ("leak.js", "REJECT", "Layer 2 found 1 violation(s) across 1 source(s).") in got
     assert ("safe.js", "ACCEPT", "Layer 2 cleared 1 source(s). No violations confirmed.") in got
-    q = flow.source_questions(files, sources, flow.propagation(reached, uses), flow.sink_hits(reached, uses))
+    q = flow.source_questions(files, own.sources, flow.propagation(own, reached), flow.sink_hits(own, reached))
     row = q.where("path = 'safe.js'").first()
     assert row.sink_status == "  Line 2: hits registered sink sanitize - SAFE"
     assert row.propagation == "  No propagation detected"
+    assert row.code_head.startswith("const name") and q.count() == own.sources.count()
+
+
+def test_order_of_statements(rows):
+    own = flow.relations(rows(
+        FILES,
+        ("before.py", ".py", "x = request.args['a']\nprint(x)\nx = redact(x)\nprint(x)"),
+        ("after.py", ".py", "x = request.args['a']\nx = redact(x)\nprint(x)"),
+        ("anew.py", ".py", "x = request.args['a']\nx = 1\nprint(x)"),
+        ("copy.py", ".py", "x = request.args['a']\ny = x\nx = redact(x)\nprint(x)\nprint(y)"),
+        ("again.js", ".js", "let a = 1;\nconsole.log(a);\na = req.query.b;\nlet c = sanitize(a);\na = req.body.d;\nres.send(a);"),
+        ("same.py", ".py", "x = request.args['a']\nx = x + 1\nprint(x)")))
+    got = found(flow.unsanitised(own), "path", "variable", "line_number", "sink_line")
+    assert got == {("before.py", "x", 1, 2), ("copy.py", "x", 1, 5), ("again.js", "a", 5, 6), ("same.py", "x", 1, 3)}
+
+
+def interpreted(program):
+    """(root line, first line of output) of every source of a straight program, by running it line by line."""
+    held, leaks = {}, {}
+    for n, (kind, target, used) in enumerate(program, 1):
+        own = set().union(*(held.get(v, set()) for v in used)) if used else set()
+        if kind == "print":
+            for root in own:
+                leaks.setdefault(root, n)
+        elif kind == "source":
+            held[target] = {(target, n)}
+        else:
+            held[target] = own if kind == "copy" else set()
+    return {(v, n, out) for (v, n), out in leaks.items()}
+
+
+def test_flow_against_an_interpreter(rows):
+    rng = random.Random(5)
+    programs = {}
+    for k in range(120):
+        program = []
+        for _ in range(rng.randint(3, 25)):
+            kind = rng.choice(["source", "copy", "copy", "copy", "clean", "literal", "print"])
+            names = rng.sample("abcdefg", rng.randint(1, 2))
+            program.append((kind, rng.choice("abcdefg"), names if kind in ("copy", "clean", "print") else []))
+        programs[f"p{k}.py"] = program
+    shapes = {"source": "{t} = request.args['{t}']", "copy": "{t} = {u}", "clean": "{t} = redact({u})", "literal": "{t} = 3",
+              "print": "print({u})"}
+    files = rows(FILES, *[(path, ".py", "\n".join(
+        shapes[kind].format(t=t, u=(", " if kind in ("clean", "print") else " + ").join(used)) for kind, t, used in program))
+        for path, program in programs.items()])
+    got = found(flow.unsanitised(flow.relations(files)), "path", "variable", "line_number", "sink_line")
+    assert got == {(path, *leak) for path, program in programs.items() for leak in interpreted(program)} and len(got) > 30
+
+
+STATEMENTS = [
+    ("python", "a = f(\n    1,\n    [2,\n     3])\nb = 2", [(1, "a = f( 1, [2, 3])"), (5, "b = 2")]),
+    ("python", "x = {\n 'a': '(',  # open (\n}\n\ny = 1 + \\\n  2\n", [(1, "x = { 'a': '(',  # open ( }"), (5, "y = 1 + 2")]),
+    ("python", 's = """one (\ntwo"""\nt = 3', [(1, 's = """one ( two"""'), (3, "t = 3")]),
+    ("javascript", "app.get('/x', (req, res) => {\n  const n = req.body.n;\n  res.send(n);\n});\nf(\n a)",
+     [(1, "app.get('/x', (req, res) => {"), (2, "const n = req.body.n;"), (3, "res.send(n);"), (4, "});"), (5, "f( a)")]),
+    ("javascript", "const q = `a (\n b`; // (\n/* ( \n [ */ let z = [\n1]", [(1, "const q = `a ( b`; // ("), (3, "/* ( [ */ let z = [ 1]")]),
+    ("python", "print('never closed'\nx = 1\n)]\ny = (2", [(1, "print('never closed' x = 1 )]"), (4, "y = (2")]),
+    ("go", "a := 1\n\n  b := 2  \n", [(1, "a := 1"), (3, "b := 2")]), ("python", "", []), ("python", "\n\n", [])]
+
+
+@pytest.mark.parametrize("language, code, want", STATEMENTS)
+def test_logical_statements(language, code, want):
+    assert logical.statements(code, language) == want
+
+
+def test_unpaired_brackets_join_nothing():
+    code = "\n".join(f"x{i} = ({i}" for i in range(3000))
+    assert logical.statements(code, "python") == [(i + 1, f"x{i} = ({i}") for i in range(3000)]
+
+
+def test_statements_over_lines(rows):
+    own = flow.relations(rows(
+        FILES, ("wide.py", ".py", "name = request.get(\n    'a (b',\n    default=None)\nprint(\n    name\n)\n"
+                                  "name = redact(\n    name)\nprint(name)"),
+        ("wide.js", ".js", "const all = [\n  1,\n  req.query.id\n];\nres.json(\n  all\n);")))
+    assert found(own.sources, "path", "variable", "line_no") == {("wide.py", "name", 1), ("wide.js", "all", 1)}
+    assert found(flow.unsanitised(own), "path", "line_number", "sink_line") == {("wide.py", 1, 4), ("wide.js", 1, 5)}
+    assert ("wide.py", "name", 7, "redact") in found(flow.sink_hits(own, flow.reach(own)), "path", "variable", "line_no", "sink_name")
+
+
+def test_no_text_in_the_exchanges_of_flow(rows):
+    own = flow.relations(rows(FILES, ("a.py", ".py", "x = request.args['a']\nprint(x)")))
+    plan = flow.reaching(own)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"\b(line|code|expression)#", plan)
 
 
 def test_sink_config(spark, rows):
@@ -102,8 +206,8 @@ def test_whole_audit(rows):
                                    ' {"is_vulnerable": true, "line_number": 9}]}'),
                    (2, "secret.py", '{"findings": [{"is_vulnerable": true, "line_number": 1}]}'))
     got = {r.path: (r.verdict, r.n_violations, r.reasoning.split("]")[0]) for r in audits.audit(files, answers).collect()}
-    assert got == {"secret.py": ("REJECT", 1, "[Layer 1"), "leak.js": ("REJECT", 1, "[Layer 2"),
-                   "asked.py": ("REJECT", 1, "[V1.0"), "clean.py": ("ACCEPT", 0, "All layers cleared. No violations found.")}
+    assert got == {"secret.py": ("REJECT", 1, "[Layer1"), "leak.js": ("REJECT", 1, "[Layer1 + Layer2"),
+                   "asked.py": ("REJECT", 1, "[Layer1 + V1.0"), "clean.py": ("ACCEPT", 0, "[Layer1")}
     scan = audits.scan_folder(files.withColumn("code", files.code), "sys", profile=audits.R.LOCAL)
     assert {r.path for r in scan.queue.collect()} == {"secret.py", "leak.js"}
     assert scan.requests.count() == 2
