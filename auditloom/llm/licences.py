@@ -176,21 +176,24 @@ def bands(voted: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(id, th, template, label, first, last, covered, share, accepted): merged diagonals, verified.
 
     first and last are words of the text, last inclusive.  A band's diagonals rise by at most ``SLACK`` words (by a
-    quarter of a short template at most) and its hits leave at most ``GAP`` words between them.
+    quarter of a short template at most), in the order of diagonals; its hits leave at most ``GAP`` words between
+    them, in the order of the text.
     """
     known = template_words(templates)
     sizes = F.broadcast(voted.sparkSession.createDataFrame(
         [(k, label, len(words)) for k, label, words in known], "template int, label string, n int"))
-    of_text = Window.partitionBy("id", "th", "template").orderBy("diagonal", "first")
-    before = {"prev_diagonal": F.lag("diagonal").over(of_text), "prev_first": F.lag("first").over(of_text),
-              "prev_last": F.lag("last").over(of_text)}
+    of_text = Window.partitionBy("id", "th", "template").orderBy("diagonal")
     slack = F.least(F.lit(SLACK), F.floor(F.col("n") / 4))
-    apart = F.greatest(F.col("first") - F.col("prev_last"), F.col("prev_first") - F.col("last")) - GRAM
-    opens = F.col("prev_last").isNull() | (F.col("diagonal") - F.col("prev_diagonal") > slack) | (apart > GAP)
-    marked = voted.join(sizes, "template").withColumns(before).withColumn(
-        "band", F.sum(opens.cast("int")).over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
+    far = F.col("diagonal") - F.lag("diagonal", 1).over(of_text) > slack
+    near = voted.join(sizes, "template").withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn(
+        "near", F.sum("far").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("id", "th", "template", "near").orderBy("first", "diagonal")
+    reached = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first") - F.col("reached") - GRAM > GAP, F.lit(True))
+    marked = near.withColumn("reached", reached).withColumn("apart", apart.cast("int")).withColumn(
+        "band", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     # A template's places are bounded by its length, so a set of them is small.
-    joined = marked.groupBy("id", "th", "template", "label", "n", "band").agg(
+    joined = marked.groupBy("id", "th", "template", "label", "n", "near", "band").agg(
         F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"),
         F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(
@@ -206,11 +209,11 @@ def licence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, th, spans, share) of every text with a hit: the accepted spans and the greatest share of any template.
 
     spans: array of (first, last, label, covered, share) by first word, without spans within another one; of equal
-    spans that with more covered words stays, then the one first in order of label and template.
+    spans that with more covered words stays, then with the greater share, then the first by label and template.
     """
     found = materialise(bands(hits(docs, id_col, text_col, templates), templates), "licence-bands")
     best = Window.partitionBy("id", "th").orderBy(
-        "first", F.desc("last"), F.desc("covered"), "label", "template").rowsBetween(Window.unboundedPreceding, -1)
+        "first", F.desc("last"), F.desc("covered"), F.desc("share"), "label", "template").rowsBetween(Window.unboundedPreceding, -1)
     outer = found.where("accepted").withColumn("reached", F.coalesce(F.max("last").over(best), F.lit(-1)))
     spans = outer.where(F.col("last") > F.col("reached")).groupBy("id", "th").agg(F.sort_array(F.collect_list(
         F.struct("first", "last", "label", "covered", "share"))).alias("spans"))

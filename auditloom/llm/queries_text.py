@@ -177,28 +177,29 @@ hits AS (
 voted AS (
   SELECT doc_id, template, diagonal, min(place) AS first, max(place) AS last FROM hits GROUP BY ALL),
 sized AS (
-  SELECT v.*, len(string_split(t.t, ' ')) AS n, lag(diagonal) OVER d AS p_diagonal, lag(first) OVER d AS p_first,
-         lag(last) OVER d AS p_last
+  SELECT v.*, CASE WHEN diagonal - lag(diagonal) OVER d <= least({licences.SLACK}, len(string_split(t.t, ' ')) // 4)
+                   THEN 0 ELSE 1 END AS far
   FROM voted v JOIN templates t USING (template) WINDOW d AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-opened AS (
-  SELECT *, CASE WHEN p_last IS NULL OR diagonal - p_diagonal > least({licences.SLACK}, n // 4)
-                   OR greatest(first - p_last, p_first - last) - {licences.GRAM} > {licences.GAP} THEN 1 ELSE 0 END AS o
-  FROM sized),
+grouped AS (
+  SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS near FROM sized),
+reached AS (
+  SELECT *, max(last) OVER (PARTITION BY doc_id, template, near ORDER BY first, diagonal
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM grouped),
 banded AS (
-  SELECT doc_id, template, diagonal, n, sum(o) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band
-  FROM opened),
+  SELECT *, sum(CASE WHEN first - reached - {licences.GRAM} <= {licences.GAP} THEN 0 ELSE 1 END)
+            OVER (PARTITION BY doc_id, template, near ORDER BY first, diagonal) AS band
+  FROM reached),
 bands AS (
-  SELECT doc_id, template, band, any_value(n) AS n, min(place) AS first, max(place) + 3 AS last,
-         count(DISTINCT "at" + k) AS covered
+  SELECT doc_id, template, min(place) AS first, max(place) + 3 AS last, count(DISTINCT "at" + k) AS covered
   FROM banded JOIN hits USING (doc_id, template, diagonal), (SELECT unnest(range({licences.GRAM})) AS k)
-  GROUP BY doc_id, template, band),
+  GROUP BY doc_id, template, near, band),
 judged AS (
-  SELECT b.*, t.label, covered::double / n AS share,
+  SELECT b.*, t.label, len(string_split(t.t, ' ')) AS n, covered::double / n AS share,
          CASE WHEN n < {licences.SHORT} THEN covered = n ELSE covered::double / n >= {licences.LONG_SHARE} END
          AND covered >= {licences.DENSITY}::double * (last - first + 1) AS accepted
   FROM bands b JOIN templates t USING (template)),
 outer_ AS (
-  SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last DESC, covered DESC, label, template
+  SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last DESC, covered DESC, share DESC, label, template
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
   FROM judged WHERE accepted),
 labelled AS (
