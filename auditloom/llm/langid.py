@@ -80,7 +80,14 @@ def _counted(batches):
                                               "place": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
 
-def bounded(docs: DataFrame, most: int, max_languages: int, id_col: str = "doc_id") -> DataFrame:
+def bounded(docs: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """The ``most`` rows with the least hashes of their ids (more only on equal ids), all if there are fewer."""
+    mark = F.xxhash64(F.lit(7), F.col(id_col))
+    last = docs.select(mark.alias("h")).orderBy("h").limit(most).agg(F.max("h"), F.count("*")).first()
+    return docs if last[1] < most else docs.where(mark <= last[0])
+
+
+def bounded_each(docs: DataFrame, most: int, max_languages: int, id_col: str = "doc_id") -> DataFrame:
     """About ``most`` rows of each ``lang`` by the hash of the id, all rows of a language that has no more."""
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(
         max_languages + 1).collect()}
@@ -103,7 +110,7 @@ def train(docs: DataFrame, max_docs: int = 5_000, smoothing: float = 0.05, share
     2 ** BITS places; more languages are an error.  A language uses a script if ``share`` of its letters are in it.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    rows = bounded(known, max_docs, max_languages).select("text", "lang").mapInArrow(
+    rows = bounded_each(known, max_docs, max_languages).select("text", "lang").mapInArrow(
         _counted, "lang string, kind int, place int, n long").groupBy("lang", "kind", "place").agg(
         F.sum("n").alias("n"))
     table = rows.toArrow()
