@@ -219,9 +219,10 @@ def literal_expression(expression: Column) -> Column:
 LITERAL_LINE = r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*\s*=|return)\s*(?:\"[^\"]*\"|'[^']*')\s*$"
 
 
-def literal_line(code: Column, line_number: Column) -> Column:
-    """The reported line of the file assigns or returns a string literal."""
-    return F.coalesce(F.get(T.split_lines(code), line_number - 1).rlike(LITERAL_LINE), F.lit(False))
+def literal_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no) of the lines that assign or return a string literal; an index of places without texts."""
+    able = files.where(F.col("code").rlike(f"(?m){LITERAL_LINE}"))
+    return T.explode_lines(able, "path").where(F.col("line").rlike(LITERAL_LINE)).select("path", "line_no").distinct()
 
 
 # Texts of forced verdicts by what was found, in the order they are tried.  The reason is the same
@@ -243,17 +244,13 @@ def override(responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
     expression is checked.  Responses in findings schema are left out (``finding_verdicts``).
     """
     p = parsed(responses).where(_get(F.col("v"), "$.findings", "variant").isNull())
-    if files is not None:
-        p = p.join(files.select("path", F.col("code").alias("_code")), "path", "left")
-    else:
-        p = p.withColumn("_code", F.lit(None).cast("string"))
     v = F.col("v")
     step = F.coalesce(_get(v, "$.data_flow_logic.step_1_source[0]", "variant"),
                       F.when(_kind(_get(v, "$.data_flow_logic.step_1_source", "variant"))
                              .startswith("OBJECT"),
                              _get(v, "$.data_flow_logic.step_1_source", "variant")))
     p = p.select(
-        "response_id", "path", "raw", "v", "_code",
+        "response_id", "path", "raw", "v",
         F.upper(F.coalesce(_get(v, "$.verdict", "string"), F.lit("ACCEPT"))).alias("_verdict"),
         F.coalesce(_get(v, "$.rejection_reason", "string"), F.lit("")).alias("_why"),
         F.coalesce(_holds(_get(v, "$.chain_complete", "variant")), F.lit(False)).alias("_chain"),
@@ -261,6 +258,12 @@ def override(responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
         _get(step, "$.line", "int").alias("_line"), _get(step, "$.line", "string").alias("_told"),
         F.coalesce(_kind(_get(step, "$.line", "variant")) == "VOID", F.lit(True)).alias("_lineless"),
         F.coalesce(_get(step, "$.expression", "string"), F.lit("")).alias("_expr"))
+    if files is None:
+        p = p.withColumn("_literal", F.lit(False))
+    else:
+        places = literal_lines(files).select(F.col("path").alias("_path"), "line_no", F.lit(True).alias("_at"))
+        p = p.join(places, (F.col("path") == F.col("_path")) & (F.col("_line") == F.col("line_no")), "left").withColumn(
+            "_literal", F.coalesce("_at", F.lit(False)))
     v = F.col("v")
     missing = T.any_of([_get(v, f"$.{k}", "variant").isNull()
                         for k in ("data_flow_logic", "chain_complete", "verdict", "confidence")]
@@ -269,7 +272,7 @@ def override(responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
     confirmed = F.coalesce(F.exists("_sinks", lambda s: F.coalesce(
         _get(s, "$.verdict", "string") == "VIOLATION", F.lit(False))), F.lit(False))
     cites_line = F.lower("_why").contains("line") | F.col("_why").contains("L")
-    literal = literal_expression(F.col("_expr")) | literal_line(F.col("_code"), F.col("_line"))
+    literal = literal_expression(F.col("_expr")) | F.col("_literal")
     own = F.when(F.col("_why") != "", F.col("_why")).otherwise(
         F.trim(F.substring_index("raw", "{", 1)))
     p = p.withColumn("_said", F.lower(F.concat(own, F.lit(" "),

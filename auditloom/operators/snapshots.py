@@ -55,16 +55,37 @@ def snapshot_status(live: DataFrame, snapshot: DataFrame,
     return both.select("project", "name", status.alias("status"))
 
 
+def _digests(leaves: DataFrame, side: str) -> DataFrame:
+    """One digest a project over the digests of its documents, in any order: partial sums, no list."""
+    leaf = F.xxhash64("name", "_h").cast("decimal(38,0)")
+    return leaves.groupBy("project").agg(F.sum(leaf).alias(f"_sum_{side}"), F.count("*").alias(f"_n_{side}"))
+
+
+def changed_keys(live: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(project, name) of live documents that differ from the snapshot or are missing there, as a table.
+
+    Compared as a tree of digests: projects first, documents only of projects that differ.  Contents are read once
+    a side, to be hashed where they lie; what moves are hashes.
+    """
+    now, then = (materialise(docs.select("project", "name", F.md5("content").alias("_h")), "leaves")
+                 for docs in (live, snapshot))
+    same = _digests(now, "l").join(_digests(then, "s"), "project").where("_sum_l = _sum_s AND _n_l = _n_s")
+    open_ = now.join(same, "project", "left_anti")
+    return materialise(open_.join(then, ["project", "name", "_h"], "left_anti")
+                       .select("project", "name").distinct(), "changed")
+
+
 def changed_documents(live: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Live documents that differ from the snapshot or are missing there."""
-    same = _hashed(snapshot, "_h")
-    keyed = live.withColumn("_h", F.md5("content"))
-    return keyed.join(same, ["project", "name", "_h"], "left_anti").select(*live.columns)
+    return live.join(changed_keys(live, snapshot), ["project", "name"], "left_semi")
 
 
 def sync(live: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """New snapshot: changed live documents replace their copies; the rest stays."""
-    keys = materialise(changed_documents(live, snapshot).select("project", "name"), "changed")
+    """New snapshot: changed live documents replace their copies; the rest stays.
+
+    Only contents of changed documents are taken from ``live``; the keys that tell them are a narrow table.
+    """
+    keys = changed_keys(live, snapshot)
     kept = snapshot.join(keys, ["project", "name"], "left_anti")
     return kept.select("project", "name", "content").unionByName(
         live.join(keys, ["project", "name"], "left_semi").select("project", "name", "content"))
@@ -79,11 +100,23 @@ def cosmetic_form(content: Column) -> Column:
 
 
 def with_history(versions: DataFrame, bucket: str = "hour") -> DataFrame:
-    """``versions(path, ts, content)`` plus the previous version's content.
+    """``versions(path, ts, content)`` as lists of line hashes next to the previous version's: path, ts, lines, hash,
+    form (md5 of content and cosmetic form), prev_lines, prev_hash, prev_form.
 
-    ``bucket`` is the time unit a path's versions are cut into, so that one busy path is spread.
+    ``bucket`` is the time unit a path's versions are cut into, so that one busy path is spread.  Contents are hashed
+    where they lie; their lines are kept by ``line_store`` and fetched where they are shown.
     """
-    return with_previous(versions, ["path"], F.date_trunc(bucket, "ts"), F.col("ts"), ["content"])
+    listed = materialise(versions.select(
+        "path", "ts", F.transform(T.split_lines(F.col("content")), lambda x: F.xxhash64(x)).alias("lines"),
+        F.md5("content").alias("hash"), F.md5(cosmetic_form(F.col("content"))).alias("form")), "version-lists")
+    return with_previous(listed, ["path"], F.date_trunc(bucket, "ts"), F.col("ts"), ["lines", "hash", "form"])
+
+
+def line_store(versions: DataFrame) -> DataFrame:
+    """Every distinct line of every path once: path, hash, line.  Tasks drop repeats before anything moves, so lines
+    that stay the same over many versions move about once a task."""
+    lines = T.explode_lines(versions, "path", text="content")
+    return lines.select("path", F.xxhash64("line").alias("hash"), "line").distinct()
 
 
 def skip_flags(versions: DataFrame, bucket: str = "hour") -> DataFrame:
@@ -102,13 +135,25 @@ def _pair_flags(content: Column, previous: Column) -> Column:
     return F.zip_with(T.split_lines(content), T.split_lines(previous), lambda a, b: ~a.eqNullSafe(b))
 
 
-def changed_lines(history: DataFrame) -> DataFrame:
-    """Positions whose line differs from the previous version: path, ts, line_no, line, prev_line."""
-    pairs = F.zip_with(T.split_lines(F.col("content")), T.split_lines(F.col("prev_content")),
-                       lambda a, b: F.struct(a.alias("line"), b.alias("prev_line")))
-    rows = history.where("prev_content IS NOT NULL").select("path", "ts", F.posexplode(pairs).alias("p", "x"))
-    return rows.where(~F.col("x.line").eqNullSafe(F.col("x.prev_line"))).select(
-        "path", "ts", (F.col("p") + 1).alias("line_no"), "x.line", "x.prev_line")
+def changed_lines(history: DataFrame, store: DataFrame) -> DataFrame:
+    """Positions whose line differs from the previous version: path, ts, line_no, line, prev_line; a side that has no
+    such line is null.  ``history`` of ``with_history``, ``store`` of ``line_store``."""
+    pairs = F.zip_with("lines", "prev_lines", lambda a, b: F.struct(a.alias("now"), b.alias("prev")))
+    rows = history.where("prev_lines IS NOT NULL").select("path", "ts", F.posexplode(pairs).alias("p", "x")).where(
+        ~F.col("x.now").eqNullSafe(F.col("x.prev"))).select("path", "ts", (F.col("p") + 1).alias("line_no"), "x.*")
+    for side, name in (("now", "line"), ("prev", "prev_line")):
+        texts = store.select("path", F.col("hash").alias(side), F.col("line").alias(name))
+        rows = rows.join(texts, ["path", side], "left")
+    return rows.select("path", "ts", "line_no", "line", "prev_line")
+
+
+def _shown(flags: Column, n: Column, context: int) -> Column:
+    """Sorted line numbers within ``context`` of a set flag (a flag a position), up to ``n``."""
+    changed = F.filter(F.transform(flags, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
+    near = F.transform(
+        F.filter(changed, lambda i: F.greatest(F.lit(1), i - context) <= F.least(n, i + context)),
+        lambda i: F.sequence(F.greatest(F.lit(1), i - context), F.least(n, i + context)))
+    return F.array_sort(F.array_distinct(F.flatten(near)))
 
 
 def audit_chunk(content: Column, previous: Column, context: int = 10) -> Column:
@@ -117,33 +162,46 @@ def audit_chunk(content: Column, previous: Column, context: int = 10) -> Column:
     Each changed position yields its window of line numbers; the distinct sorted union is rendered.
     """
     lines = T.split_lines(content)
-    flags = _pair_flags(content, previous)
-    n = F.size(lines)
-    changed = F.filter(F.transform(flags, lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
-    near = F.transform(
-        F.filter(changed, lambda i: F.greatest(F.lit(1), i - context) <= F.least(n, i + context)),
-        lambda i: F.sequence(F.greatest(F.lit(1), i - context), F.least(n, i + context)))
-    shown = F.array_sort(F.array_distinct(F.flatten(near)))
+    shown = _shown(_pair_flags(content, previous), F.size(lines), context)
     return F.array_join(F.transform(shown, lambda i: F.concat(
         i.cast("string"), F.lit(" | "), F.element_at(lines, i))), "\n")
 
 
-def audit_mode(history: DataFrame, first_limit: int = 200, full_limit: int = 150, context: int = 10,
-               power_mode: bool = False) -> DataFrame:
-    """Per version: mode (skip, index_only, full, diff) and what is sent."""
-    n = F.size(T.split_lines(F.col("content")))
-    prev = F.col("prev_content")
-    same = F.coalesce(F.md5("content") == F.md5("prev_content"), F.lit(False))
-    cosmetic = F.coalesce(cosmetic_form(F.col("content")) == cosmetic_form(prev), F.lit(False))
-    mode = F.when(same | cosmetic, "skip")
+def audit_chunks(history: DataFrame, store: DataFrame, context: int = 10) -> DataFrame:
+    """``audit_chunk`` of every version with a predecessor, where not empty: path, ts, chunk.
+
+    Positions are told from the lists of hashes; only the lines that are shown are fetched.
+    """
+    flags = F.zip_with("lines", "prev_lines", lambda a, b: ~a.eqNullSafe(b))
+    places = history.where("prev_lines IS NOT NULL").select(
+        "path", "ts", "lines", F.explode(_shown(flags, F.size("lines"), context)).alias("n"))
+    texts = places.select("path", "ts", "n", F.element_at("lines", F.col("n")).alias("hash")).join(store, ["path", "hash"])
+    shown = F.array_sort(F.collect_list(F.struct("n", "line")))  # lines of one version
+    return texts.groupBy("path", "ts").agg(F.array_join(F.transform(
+        shown, lambda x: F.concat(x["n"].cast("string"), F.lit(" | "), x["line"])), "\n").alias("chunk"))
+
+
+def audit_mode(history: DataFrame, first_limit: int = 200, full_limit: int = 150, power_mode: bool = False) -> DataFrame:
+    """Per version: mode (skip, index_only, full, diff), from hashes alone; ``history`` of ``with_history``."""
+    n = F.size("lines")
+    first = F.col("prev_hash").isNull()
+    skip = F.coalesce((F.col("hash") == F.col("prev_hash")) | (F.col("form") == F.col("prev_form")), F.lit(False))
+    mode = F.when(skip, "skip")
     if power_mode:
         mode = mode.otherwise("full")
     else:
-        mode = (mode.when(prev.isNull() & (n > first_limit), "index_only")
-                .when(prev.isNull() | (n <= full_limit), "full").otherwise("diff"))
-    sent = (F.when(mode == "full", F.col("content"))
-            .when(mode == "diff", audit_chunk(F.col("content"), prev, context)))
-    return history.select("path", "ts", n.alias("n_lines"), mode.alias("mode"), sent.alias("sent"))
+        mode = (mode.when(first & (n > first_limit), "index_only")
+                .when(first | (n <= full_limit), "full").otherwise("diff"))
+    return history.select("path", "ts", n.alias("n_lines"), mode.alias("mode"))
+
+
+def sent_texts(versions: DataFrame, modes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What is sent of each version: path, ts, mode, sent (its content if full, its chunk if diff, else null)."""
+    full = versions.join(modes.where("mode = 'full'").select("path", "ts"), ["path", "ts"], "left_semi")
+    texts = full.select("path", "ts", F.col("content").alias("sent")).unionByName(
+        modes.where("mode = 'diff'").select("path", "ts").join(
+            chunks.select("path", "ts", F.col("chunk").alias("sent")), ["path", "ts"]))
+    return modes.select("path", "ts", "mode").join(texts, ["path", "ts"], "left")
 
 
 # --- removed technologies ---------------------------------------------------------------------------------

@@ -76,6 +76,9 @@ def store_{k}(request):
 PY_SECRET = """API_TOKEN = os.getenv('API_TOKEN')
 password = "pw-{k}-secret"
 def check_{k}(body):
+    def inner_{c}(x):
+        return x
+
     try:
         assert body.user == 'admin'
         data = pickle.loads(request.json)

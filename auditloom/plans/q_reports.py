@@ -355,6 +355,12 @@ def sn5(spark, sf):
         "project", "name", F.md5("content").alias("hash"))
 
 
+@query("sn5_changed_keys", ctes("live", "snapshot") + """SELECT l.project, l.name FROM live l
+LEFT JOIN snapshot s ON s.project = l.project AND s.name = l.name WHERE s.content IS DISTINCT FROM l.content""")
+def sn5_keys(spark, sf):
+    return N.changed_keys(bind(spark, sf, "live"), bind(spark, sf, "snapshot"))
+
+
 @query("sn5_sync", ctes("live", "snapshot") + """SELECT coalesce(l.project, s.project) AS project, coalesce(l.name, s.name) AS name,
 md5(coalesce(l.content, s.content)) AS hash FROM live l FULL JOIN snapshot s ON s.project = l.project AND s.name = l.name""")
 def sn5_sync(spark, sf):
@@ -382,7 +388,8 @@ _FORM = "array_to_string(list_filter(list_transform(string_split({}, chr(10)), l
 string_split(content, chr(10)) AS a, string_split(prev, chr(10)) AS b FROM h WHERE prev IS NOT NULL"""}) + """
 SELECT path, ts, CAST(n AS integer) AS line_no, a[n] AS line, b[n] AS prev_line FROM p WHERE a[n] IS DISTINCT FROM b[n]""")
 def sn7(spark, sf):
-    return N.changed_lines(N.with_history(B.versions(spark, sf)))
+    v = B.versions(spark, sf)
+    return N.changed_lines(N.with_history(v), N.line_store(v))
 
 
 @query("sn8_audit_chunk", ctes(extra=_HIST | {
@@ -393,9 +400,8 @@ ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS near FROM p"""}) + """
 SELECT path, ts, string_agg(CAST(n AS varchar) || ' | ' || a[n], chr(10) ORDER BY n) AS chunk FROM w
 WHERE near = 1 AND n <= len(a) GROUP BY path, ts""")
 def sn8(spark, sf):
-    h = N.with_history(B.versions(spark, sf)).where("prev_content IS NOT NULL")
-    return h.select("path", "ts", N.audit_chunk(F.col("content"), F.col("prev_content")).alias("chunk")).where(
-        "chunk <> ''")
+    v = B.versions(spark, sf)
+    return N.audit_chunks(N.with_history(v), N.line_store(v))
 
 
 @query("sn9_sn10_skip_flags", ctes(extra=_HIST) + f"""SELECT path, ts, coalesce(content = prev, false) AS unchanged,
@@ -410,8 +416,26 @@ OR coalesce({_FORM('content')} = {_FORM('prev')}, false) THEN 'skip' WHEN prev I
 WHEN prev IS NULL OR len(string_split(content, chr(10))) <= 5 THEN 'full' ELSE 'diff' END AS mode FROM h"""}) + "SELECT * FROM m")
 def sn11(spark, sf):
     # Limits of 20 and 5 lines: the documents have fewer lines than the defaults of 200 and 150.
-    return N.audit_mode(N.with_history(B.versions(spark, sf)), first_limit=20, full_limit=5).select(
-        "path", "ts", "n_lines", "mode")
+    return N.audit_mode(N.with_history(B.versions(spark, sf)), first_limit=20, full_limit=5)
+
+
+@query("sn11_sent_texts", ctes(extra=_HIST | {
+    "m": f"""SELECT *, CASE WHEN coalesce(content = prev, false)
+OR coalesce({_FORM('content')} = {_FORM('prev')}, false) THEN 'skip' WHEN prev IS NULL AND len(string_split(content, chr(10))) > 20 THEN 'index_only'
+WHEN prev IS NULL OR len(string_split(content, chr(10))) <= 5 THEN 'full' ELSE 'diff' END AS mode FROM h""",
+    "p": """SELECT path, ts, CAST(unnest(range(1, greatest(len(string_split(content, chr(10))), len(string_split(prev, chr(10)))) + 1)) AS integer) AS n,
+string_split(content, chr(10)) AS a, string_split(prev, chr(10)) AS b FROM m WHERE mode = 'diff'""",
+    "w": """SELECT path, ts, n, a, max(CASE WHEN a[n] IS DISTINCT FROM b[n] THEN 1 ELSE 0 END) OVER (PARTITION BY path, ts ORDER BY n
+ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS near FROM p""",
+    "k": """SELECT path, ts, string_agg(CAST(n AS varchar) || ' | ' || a[n], chr(10) ORDER BY n) AS chunk FROM w
+WHERE near = 1 AND n <= len(a) GROUP BY path, ts"""}) + """
+SELECT m.path, m.ts, mode, md5(CASE mode WHEN 'full' THEN content WHEN 'diff' THEN chunk END) AS sent FROM m
+LEFT JOIN k ON k.path = m.path AND k.ts = m.ts""")
+def sn11_sent(spark, sf):
+    v = B.versions(spark, sf)
+    history = materialise(N.with_history(v), "history")
+    modes = N.audit_mode(history, first_limit=20, full_limit=5)
+    return N.sent_texts(v, modes, N.audit_chunks(history, N.line_store(v))).withColumn("sent", F.md5("sent"))
 
 
 _REMOVED = {"dl": lines_sql("diffs", "project, path", "diff"), "rem": f"""SELECT DISTINCT project, path, lower(unnest({imports_sql('t')})) AS tech

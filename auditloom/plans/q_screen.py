@@ -350,16 +350,15 @@ def dr8(spark, sf):
     return rows.withColumn("rule_id", D.canonical_rule_id("finding_type"))
 
 
-@query("dr9_function_metrics", ctes("code_files", extra={"l": lines_sql("code_files"), "m": f"""
-SELECT path, line_no, line, length(regexp_extract(line, '^( *)', 1)) AS indent,
-regexp_extract(line, {text(D.DEFINITION)}, 1) AS name FROM l""", "p": """
-SELECT *, last_value(CASE WHEN name <> '' THEN {'at': line_no, 'name': name, 'indent': indent} END IGNORE NULLS)
-OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS f FROM m"""}) + """
-SELECT path, f.name AS function, f.at AS start_line, count(*) AS n_lines,
-greatest(0, CAST(max(CASE WHEN trim(line) <> '' THEN floor((indent - f.indent) / 4.0) - 1 END) AS bigint)) AS max_depth,
-count(*) > 50 AS too_long,
-greatest(0, max(CASE WHEN trim(line) <> '' THEN floor((indent - f.indent) / 4.0) - 1 END)) > 3 AS too_deep
-FROM p WHERE f IS NOT NULL GROUP BY 1, 2, 3""")
+@query("dr9_function_metrics", ctes("code_files", extra={"l": lines_sql("code_files"), "m": r"""
+SELECT path, line_no, trim(line) <> '' AS said, length(regexp_extract(line, '^( *)', 1)) AS indent,
+regexp_extract(line, '^\s*(?:async )?(?:def|function|func) +([A-Za-z_]\w*)', 1) AS name FROM l""", "d": """
+SELECT d.path, d.name, d.line_no, d.indent, (SELECT min(e.line_no) FROM m e WHERE e.path = d.path AND e.line_no > d.line_no
+AND e.said AND e.indent <= d.indent) AS stop FROM m d WHERE d.name <> ''"""}) + """
+SELECT d.path, d.name AS function, d.line_no AS start_line, count(*) AS n_lines,
+greatest(0, CAST(max(CASE WHEN said THEN floor((m.indent - d.indent) / 4.0) - 1 END) AS bigint)) AS max_depth,
+count(*) > 50 AS too_long, greatest(0, max(CASE WHEN said THEN floor((m.indent - d.indent) / 4.0) - 1 END)) > 3 AS too_deep
+FROM d JOIN m ON m.path = d.path AND m.line_no >= d.line_no AND (d.stop IS NULL OR m.line_no < d.stop) GROUP BY 1, 2, 3""")
 def dr9(spark, sf):
     return D.function_metrics(bind(spark, sf, "code_files"))
 

@@ -178,6 +178,56 @@ def test_version_modes(rows):
     assert power == ["full", "skip", "skip", "full", "full"]
 
 
+def test_sent_texts_and_changed_lines(rows):
+    big = "\n".join(f"l{i}" for i in range(250))
+    v = versions(rows, big, big.replace("l7\n", "L7\n"), "short", "short\nand\nlong", "short")
+    history, store = N.with_history(v), N.line_store(v)
+    assert store.count() == store.dropDuplicates(["path", "hash"]).count() == 254
+    sent = [r.sent for r in N.sent_texts(v, N.audit_mode(history), N.audit_chunks(history, store)).orderBy("ts").collect()]
+    chunk = "\n".join(f"{i + 1} | {'L7' if i == 7 else f'l{i}'}" for i in range(18))
+    assert sent == [None, chunk, "short", "short\nand\nlong", "short"]
+    changed = [(r.line_no, r.line, r.prev_line) for r in N.changed_lines(history, store).orderBy("ts", "line_no").collect()]
+    assert changed[:3] == [(8, "L7", "l7"), (1, "short", "l0"), (2, None, "l1")]
+    assert changed[-4:] == [(2, "and", None), (3, "long", None), (2, None, "and"), (3, None, "long")]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=30), min_size=2, max_size=6))
+def test_chunks_of_lists_equal_chunks_of_texts(spark, contents):
+    start = dt.datetime(2024, 1, 1)
+    data = [("f", start + dt.timedelta(hours=13 * i), "\n".join(c)) for i, c in enumerate(contents)]
+    v = spark.createDataFrame(data, "path string, ts timestamp, content string")
+    got = {r.ts: r.chunk for r in N.audit_chunks(N.with_history(v), N.line_store(v), 2).collect()}
+    pairs = spark.createDataFrame([(data[i][1], data[i][2], data[i - 1][2]) for i in range(1, len(data))],
+                                  "ts timestamp, n string, b string")
+    want = {r.ts: r.c for r in pairs.select("ts", N.audit_chunk(F.col("n"), F.col("b"), 2).alias("c")).collect() if r.c}
+    assert got == want
+
+
+def exchanged(df):
+    """Lines of the plan that tell what an exchange carries."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Scan" in line or "Exchange" in line]
+
+
+def test_no_content_in_the_exchanges_of_histories(rows):
+    v = versions(rows, "a\nb", "a\nc")
+    for df in (N.with_history(v), N.audit_mode(N.with_history(v)), N.skip_flags(v)):
+        lines = exchanged(df)
+        assert lines and not any("content#" in line for line in lines)
+    docs = rows(DOCS, ("p", "done_tasks.md", "a"))
+    assert not any("content#" in line for line in exchanged(N.changed_keys(docs, docs)))
+
+
+def test_changed_keys_by_projects(rows):
+    live = rows(DOCS, ("p", "a", "1"), ("p", "b", "2"), ("q", "a", "1"), ("q", "b", "x"), ("r", "a", None), ("s", "n", "1"))
+    snap = rows(DOCS, ("p", "a", "1"), ("p", "b", "2"), ("q", "a", "1"), ("q", "b", "y"), ("q", "c", "z"), ("s", "n", "1"), ("s", "m", "2"))
+    assert {(r.project, r["name"]) for r in N.changed_keys(live, snap).collect()} == {("q", "b"), ("r", "a")}
+    assert {(r.project, r["name"], r.content) for r in N.sync(live, snap).collect()} == {
+        ("p", "a", "1"), ("p", "b", "2"), ("q", "a", "1"), ("q", "b", "x"), ("q", "c", "z"), ("r", "a", None), ("s", "n", "1"),
+        ("s", "m", "2")}
+
+
 def test_removed_imports(rows):
     diff = "--- a\n-import torch\n-from Cuda import x\n+import keep\n-const m = require('mongodb')\n- import 'redis'\n-import torch"
     got = {r.tech for r in N.removed_imports(rows("path string, diff string", ("a", diff))).collect()}
@@ -220,6 +270,17 @@ def test_tasks(rows):
     assert [r.message for r in errors.collect()] == ["Task not found: nope"]
 
 
+def test_containment_of_long_needles(rows):
+    line = "the quick brown fox jumps over the lazy dog " * 20
+    t = rows("g string, i int, t string", *[("p", i, line + str(i)) for i in range(30)], ("p", 99, "the quick fox"), ("q", 1, line))
+    n = rows("g string, n string", ("p", "dog 7"), ("p", "lazy dog the quick"), ("p", "the slow"), ("p", "x"), ("p", "q"), ("q", "fox"),
+             ("p", "ck fox"), ("p", None), ("p", ""))
+    got = {tuple(r) for r in containing(t, n, ["g"], ["i"], "t", "n").collect()}
+    want = {("p", 7, "dog 7"), ("q", 1, "fox"), ("p", 99, "ck fox")} | {
+        ("p", i, x) for i in range(30) for x in ("lazy dog the quick", "x", "q")} | {("p", 99, "x"), ("p", 99, "q")}
+    assert got == want
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("pq"), st.text("ab", max_size=8)), min_size=1, max_size=12),
        st.lists(st.tuples(st.sampled_from("pq"), st.text("ab", max_size=4)), min_size=1, max_size=8))

@@ -133,6 +133,16 @@ def test_function_metrics(rows):
     assert (got["g"].n_lines, got["g"].too_long, got["g"].too_deep) == (62, True, False)
 
 
+def test_nested_functions(rows):
+    code = ("x = 1\ndef outer(a):\n    def inner(b):\n        return b\n\n    async def second():\n        if a:\n            pass\n"
+            "    return inner\ny = 2\ndef last(): pass")
+    got = sorted((r.start_line, r.function, r.n_lines, r.max_depth) for r in D.function_metrics(
+        rows(FILES, ("a.py", ".py", code), ("none.py", ".py", "x = 1"), ("null.py", ".py", None))).collect())
+    assert got == [(2, "outer", 8, 2), (3, "inner", 3, 0), (6, "second", 3, 1), (11, "last", 1, 0)]
+    plan = D.function_metrics(rows(FILES, ("a.py", ".py", code)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_size_split(rows):
     out = S.size_split(rows("path string, code string", ("a", "x" * 2048), ("b", "é" * 600)), max_kb=1)
     assert {r.path: r.skip_reason for r in out.collect()} == {
