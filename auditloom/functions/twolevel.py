@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from auditloom.functions.session import materialise
+
 
 def running_sums(df: DataFrame, keys: Sequence[str], bucket: Sequence[Column],
                  order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
@@ -31,6 +33,25 @@ def running_sums(df: DataFrame, keys: Sequence[str], bucket: Sequence[Column],
     return out.select(*df.columns, *sums)
 
 
+def range_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``running_sums`` without a bucket: rows are dealt by ranges of (keys, order), so a key of any size is spread
+    evenly over tasks; a range's totals move to the ranges after it as one row a (key, range).
+
+    ``order`` must tell rows of a key apart, or large ties stay together.
+    """
+    keyed = df.withColumns({f"_v_{n}": v for n, v in sums.items()})
+    dealt = materialise(keyed.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_range", *[
+        F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_p_{n}") for n in sums])
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.join(before, [*keys, "_range"])
+    for n in sums:
+        out = out.withColumn(n, F.col(f"_p_{n}") + F.sum(f"_v_{n}").over(inner))
+    return out.select(*df.columns, *sums)
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: Column,
                   columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add the values of ``columns`` of the key's previous row (null for its first row).

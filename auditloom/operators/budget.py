@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from auditloom.functions import text as T
 from auditloom.functions.session import materialise
-from auditloom.functions.twolevel import running_sums
+from auditloom.functions.twolevel import range_sums
 
 # Words and punctuation marks; spelt as Unicode classes so that engines agree on accented text.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
@@ -84,14 +84,14 @@ def minute_slots(requests: DataFrame, tpm: int, rpm: int) -> DataFrame:
     """Assign each request of a project to a minute so that none exceeds ``tpm`` tokens or ``rpm`` calls.
 
     ``requests(project, path, risk_score, tokens)`` with every request within the cap.  Requests are
-    taken by falling score; within a score by md5 of the path, which splits evenly and gives the
-    buckets of the two-level running sum.
+    taken by falling score; within a score by md5 of the path.  Rows are dealt by ranges of that order, so a project
+    of any size is spread evenly.
     """
-    # Written once: the two-level sum reads its input twice, and tokens may be estimated from texts.
+    # Written once: ranges are told from a sample first, and tokens may be estimated from texts.
     keyed = materialise(requests.select("project", "path", "risk_score", "tokens")
                         .withColumn("_h", F.md5("path")), "requests")
-    summed = running_sums(keyed, ["project"], [-F.col("risk_score"), F.substring("_h", 1, 3)],
-                          [F.col("_h"), F.col("path")], {"cum_tokens": F.col("tokens")})
+    summed = range_sums(keyed, ["project"], [F.desc("risk_score"), F.asc("_h"), F.asc("path")],
+                        {"cum_tokens": F.col("tokens")})
     width = tpm - file_cap(tpm)
     slotted = summed.withColumn("_token_slot", F.floor((F.col("cum_tokens") - 1) / width).cast("bigint"))
     # A token slot holds few requests (each costs tokens), so these windows stay small.
@@ -99,8 +99,7 @@ def minute_slots(requests: DataFrame, tpm: int, rpm: int) -> DataFrame:
     called = materialise(slotted.withColumn(
         "_call_slot", F.floor((F.row_number().over(inside) - 1) / rpm).cast("bigint")), "slots")
     per_slot = called.groupBy("project", "_token_slot").agg((F.max("_call_slot") + 1).alias("_n"))
-    placed = running_sums(per_slot, ["project"], [F.floor(F.col("_token_slot") / 1000)],
-                          [F.col("_token_slot")], {"_upto": F.col("_n")})
+    placed = range_sums(per_slot, ["project"], [F.asc("_token_slot")], {"_upto": F.col("_n")})
     start = placed.select("project", "_token_slot", (F.col("_upto") - F.col("_n")).alias("_start"))
     return called.join(start, ["project", "_token_slot"]).select(
         "project", "path", "tokens", "cum_tokens",

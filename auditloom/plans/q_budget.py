@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom import rules as R
-from auditloom.functions.session import scratch_path
-from auditloom.functions.twolevel import with_previous
+from auditloom.functions.session import materialise, scratch_path
 from auditloom.operators import budget as U
 from auditloom.operators import responses as P
 from auditloom.operators import screen as S
@@ -181,51 +180,86 @@ def st2(spark, sf):
     return jobs.run_to_table(jobs.reaudit(saves, first_limit=20, full_limit=5), "reaudit")
 
 
-_ACT = ["ts", "result AS action"]
+# Rows arrive in the four quarters of their time span; of the first one, some come as late as the last.
+_QUARTERS = 4
 
 
-@query("st4_verdict_rates_tumbling", ctes("ledger") + """SELECT date_trunc('hour', ts) AS window_start,
-date_trunc('hour', ts) + INTERVAL '1' HOUR AS window_end, result AS action, count(*) AS n FROM ledger GROUP BY 1, 2, 3""")
+def _arriving(rows, at: str, late: str):
+    """Parts in which ``rows`` arrive, and a last row far behind that closes what is open."""
+    held = materialise(rows.withColumn(at, F.col(at).cast("timestamp")), "arrivals")  # watermarks need instants
+    micros = F.unix_micros(at)
+    low, high = held.select(F.min(micros), F.max(micros)).first()
+    quarter = F.floor((micros - low) * _QUARTERS / (high - low + 1))
+    placed = held.withColumn("_q", F.when((quarter == 0) & F.expr(late), _QUARTERS - 1).otherwise(quarter))
+    end = held.agg((F.max(at) + F.expr("INTERVAL '60' DAY")).alias(at))
+    closing = end.select(*[F.col(c) if c == at else F.lit(None).cast(t).alias(c) for c, t in held.dtypes])
+    return [placed.where(F.col("_q") == q).drop("_q") for q in range(_QUARTERS)] + [closing]
+
+
+def _in_time(source: str, at: str, late: str) -> str:
+    """SQL: rows of ``source`` that are not late."""
+    return (f"SELECT * FROM {source} WHERE NOT (({late}) AND (epoch_us({at}) - (SELECT min(epoch_us({at})) FROM {source})) * {_QUARTERS}"
+            f" < (SELECT max(epoch_us({at})) - min(epoch_us({at})) + 1 FROM {source}))")
+
+
+_LATE = "key % 13 = 0"
+_ON_TIME = {"in_time": _in_time("ledger", "ts", _LATE)}
+
+
+def _local(table_, *times: str):
+    """Times as they are in the tables, without a zone."""
+    return table_.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
+
+
+def _saves(spark, sf):
+    return _arriving(bind(spark, sf, "ledger"), "ts", _LATE)
+
+
+@query("st4_verdict_rates_tumbling", ctes("ledger", extra=_ON_TIME) + """SELECT date_trunc('hour', ts) AS window_start,
+date_trunc('hour', ts) + INTERVAL '1' HOUR AS window_end, result AS action, count(*) AS n FROM in_time GROUP BY 1, 2, 3""")
 def st4(spark, sf):
-    return jobs.windowed_verdicts(bind(spark, sf, "ledger").selectExpr(*_ACT))
+    return _local(jobs.run_in_parts(_saves(spark, sf), lambda s: jobs.windowed_verdicts(
+        s.selectExpr("ts", "result AS action")), "rates"), "window_start", "window_end")
 
 
-@query("st4_verdict_rates_sliding", ctes("ledger", extra={
-    "w": "SELECT date_trunc('hour', ts) - k * INTERVAL '1' HOUR AS s, result FROM ledger, range(0, 3) t(k)"}) + """
+@query("st4_verdict_rates_sliding", ctes("ledger", extra=_ON_TIME | {
+    "w": "SELECT date_trunc('hour', ts) - k * INTERVAL '1' HOUR AS s, result FROM in_time, range(0, 3) t(k)"}) + """
 SELECT s AS window_start, s + INTERVAL '3' HOUR AS window_end, result AS action, count(*) AS n FROM w GROUP BY 1, 2, 3""")
 def st4_sliding(spark, sf):
-    return jobs.windowed_verdicts(bind(spark, sf, "ledger").selectExpr(*_ACT), "3 hours", "1 hour")
+    return _local(jobs.run_in_parts(_saves(spark, sf), lambda s: jobs.windowed_verdicts(
+        s.selectExpr("ts", "result AS action"), "3 hours", "1 hour"), "rates"), "window_start", "window_end")
 
 
-@query("st5_repeat_sends", ctes("calls", extra={
-    "p": "SELECT call_id, ts, lag(ts) OVER (PARTITION BY key, model ORDER BY ts, call_id) AS prev FROM calls"}) + """
-SELECT call_id FROM p WHERE prev IS NULL OR ts - prev > INTERVAL '12' HOUR""")
+@query("st5_repeat_sends", ctes("calls") + "SELECT DISTINCT key AS path, model AS hash FROM calls")
 def st5(spark, sf):
-    """Sends with no same send of the key in the half day before (batch form)."""
-    sends = bind(spark, sf, "calls").select("key", "model", "ts", "call_id")
-    p = with_previous(sends, ["key", "model"], F.date_trunc("day", "ts"), F.struct("ts", "call_id"), ["ts"])
-    return p.where("prev_ts IS NULL OR ts - prev_ts > INTERVAL '12' HOUR").select("call_id")
+    """Sends of which none with the same path and hash was seen within more than a year, over several runs."""
+    sends = bind(spark, sf, "calls").selectExpr("key AS path", "model AS hash", "ts")
+    return jobs.run_in_parts(_arriving(sends, "ts", "path % 13 = 0")[:-1], lambda s: jobs.suppress_repeats(s, "400 days"),
+                             "sends").select("path", "hash")
 
 
-@query("st6_save_bursts", ctes("ledger", extra={
-    "g": "SELECT key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS fresh FROM ledger",
+@query("st6_save_bursts", ctes("ledger", extra=_ON_TIME | {
+    "g": "SELECT key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS fresh FROM in_time",
     "s": "SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g"}) + """
 SELECT key, min(ts) AS session_start, max(ts) + INTERVAL '30' MINUTE AS session_end, count(*) AS n_saves FROM s GROUP BY key, sid""")
 def st6(spark, sf):
-    # Sessions are merged within each partition before the shuffle, so a busy key arrives pre-aggregated.
-    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
-    return jobs.save_bursts(bind(spark, sf, "ledger").select("key", "ts"))
+    return _local(jobs.run_in_parts(_saves(spark, sf), lambda s: jobs.save_bursts(s.select("key", "ts")), "bursts"),
+                  "session_start", "session_end")
 
 
 _LOG_TS = "TIMESTAMP '2024-01-01 00:00:00' + (response_id % 5) * INTERVAL '20' MINUTE"
+_SPREAD_TS = "TIMESTAMP '2024-01-01 00:00:00' + (response_id % 8) * INTERVAL '12' HOUR"
+_FORCED_LATE = "response_id % 13 = 0"
 
 
-@query("st7_override_alerts", ctes("flow_reviews", "doc_files", extra=_LADDER) + f"""
-SELECT date_trunc('hour', {_LOG_TS}) AS window_start, override_reason, count(*) AS n FROM final WHERE override_reason IS NOT NULL
-GROUP BY 1, 2 HAVING count(*) > 5""")
+@query("st7_override_alerts", ctes("flow_reviews", "doc_files", extra=_LADDER | {
+    "forced": f"SELECT {_SPREAD_TS} AS timestamp, response_id, override_reason FROM final WHERE override_reason IS NOT NULL",
+    "in_time": _in_time("forced", "timestamp", _FORCED_LATE)}) + """
+SELECT date_trunc('hour', timestamp) AS window_start, override_reason, count(*) AS n FROM in_time GROUP BY 1, 2 HAVING count(*) > 2""")
 def st7(spark, sf):
     done = P.override(bind(spark, sf, "flow_reviews"), bind(spark, sf, "doc_files"))
-    return jobs.override_alerts(P.override_log(done, F.expr(_LOG_TS)), threshold=5)
+    log = P.override_log(done, F.expr(_SPREAD_TS))
+    return jobs.run_in_parts(_arriving(log, "timestamp", _FORCED_LATE), lambda s: jobs.override_alerts(s, threshold=2), "alerts")
 
 
 # --- sinks ----------------------------------------------------------------------------------------------------------

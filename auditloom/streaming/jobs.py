@@ -6,7 +6,7 @@ Functions take a streaming DataFrame and return one; starting the query is left
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,6 +36,24 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_in_parts(parts: Sequence[DataFrame], shape: Callable[[DataFrame], DataFrame], name: str,
+                 mode: str = "append") -> DataFrame:
+    """Let ``parts`` (of one schema) arrive one after the other and return what the stream ``shape`` makes of them.
+
+    Each part is appended to a folder in the shared one; then the query is started again from its checkpoint and
+    takes what is new, so state and watermark are carried on from run to run.  ``shape`` gets the streaming
+    DataFrame of the folder.
+    """
+    spark, base = parts[0].sparkSession, scratch_path(parts[0].sparkSession, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = shape(spark.readStream.schema(parts[0].schema).parquet(f"{base}/in"))
+        query = (stream.writeStream.format("parquet").option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start())
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def continuous_screen(files: DataFrame, profile: R.Profile = R.LOCAL) -> DataFrame:
     """Findings of arriving files: gate and line rules, stateless."""
     return screen_findings(files, profile, "path")

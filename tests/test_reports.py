@@ -10,7 +10,7 @@ from auditloom.operators import memory as M
 from auditloom.operators import merge as G
 from auditloom.operators import snapshots as N
 from auditloom.functions.containment import containing
-from auditloom.functions.twolevel import running_sums, with_previous
+from auditloom.functions.twolevel import range_sums, running_sums, with_previous
 
 FOUND = "path string, line_number int, rule_id string, severity string, violation string, seq string"
 
@@ -307,5 +307,21 @@ def test_two_level_equals_plain_window(spark, data):
     bucket = F.floor(F.col("o") / 7)
     sums = running_sums(df, ["k"], [bucket], [F.col("o"), F.col("i")], {"s": F.col("v")})
     assert {r.i: r.s for r in sums.collect()} == want_sum
+    ranges = range_sums(df, ["k"], [F.col("o"), F.col("i")], {"s": F.col("v")})
+    assert {r.i: r.s for r in ranges.collect()} == want_sum
     prev = with_previous(df, ["k"], bucket, F.struct("o", "i"), ["v"])
     assert {r.i: r.prev_v for r in prev.collect()} == want_prev
+
+
+def test_range_sums_of_one_key_are_spread(spark):
+    """All rows under one key and most under one score: ranges stay even, totals are right."""
+    df = spark.range(20_000).selectExpr("'p' AS k", "id AS i", "CASE WHEN id % 5 = 0 THEN id ELSE 7 END AS score", "id % 3 AS v")
+    out = range_sums(df, ["k"], [F.desc("score"), F.asc("i")], {"s": F.col("v")})
+    rows = sorted(out.collect(), key=lambda r: (-r.score, r.i))
+    total = 0
+    for r in rows:
+        total += r.v
+        assert r.s == total
+    dealt = df.repartitionByRange(8, "k", F.desc("score"), F.asc("i")).groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in dealt)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]

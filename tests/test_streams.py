@@ -55,6 +55,17 @@ def test_windows_drop_late_rows(spark, folder):
     assert got[(t(0), "ACCEPT")] == 1 and got[(t(0), "REJECT")] == 1
 
 
+def test_runs_carry_state_and_drop_late_rows(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m)
+    schema = "key string, ts timestamp"
+    given = [[("k", t(0)), ("k", t(20)), ("j", t(5))], [("k", t(45)), ("j", t(300))], [("k", t(600))],
+             [("k", t(1)), ("k", t(601))], [("z", t(9000))]]
+    out = jobs.run_in_parts([spark.createDataFrame(rows, schema) for rows in given], jobs.save_bursts, "bursts")
+    # A session goes on over two runs; the row of minute 1 comes when its session is closed.
+    assert sorted((r.key, r.session_start, r.n_saves) for r in out.collect()) == [
+        ("j", t(5), 1), ("j", t(300), 1), ("k", t(0), 3), ("k", t(600), 2)]
+
+
 def test_repeat_sends(spark, folder):
     t = lambda m: dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m)
     schema = "path string, hash string, ts timestamp"
