@@ -5,10 +5,11 @@ model is kept as sorted arrays of gram codes with log-probabilities beside them.
 its hash, free of collisions and good for every script, and bound a language's model at 2 ** 24 grams.  Unseen
 grams back off to the interpolated bigrams.
 
-A document's perplexity is that of its stretches of STRETCH bytes, the QUANTILE-th from below, so that a passage
-of another language does not speak for the whole text.  It is compared with bands around its language's median,
-as wide as a number of median absolute deviations and wider for short texts.  Bands come from histograms over
-all documents.
+A document's perplexity is told twice, from its stretches of STRETCH bytes: the QUANTILE-th and the UPPER-th from
+below.  The first one does not let a passage of another language speak for the whole text; the second one does not
+let a clean passage speak for a text of which half or more is out of order.  Each is compared with bands around
+its own median in the language, as wide as a number of median absolute deviations and wider for short texts, and
+both must lie within.  Bands come from histograms over all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from auditloom.llm.chars import runs
 
 BEGIN = b"\xff\xff"  # no byte of UTF-8: what stands before a text
 PART = 1_000_000
-STRETCH, QUANTILE = 128, 0.3
+STRETCH, QUANTILE, UPPER = 128, 0.3, 0.6
 FINE = 1000  # bins of the band histograms for each unit of log-perplexity
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 UNSHOWN = SPACES + bytes(range(0x80, 0xC0))  # bytes that begin no character of a word
@@ -123,7 +124,8 @@ def model(grams: np.ndarray, counts: np.ndarray) -> Model:
 
 
 def log_perplexity(m: Model, texts: list[bytes]) -> np.ndarray:
-    """Log-perplexity (mean of -log p over bytes) of each text, by its stretches; NaN for empty ones.
+    """Log-perplexity (mean of -log p over bytes) of each text, by its stretches at QUANTILE and UPPER; NaN for empty
+    ones.
 
     A last stretch of less than half the length belongs to the one before it.
     """
@@ -138,9 +140,10 @@ def log_perplexity(m: Model, texts: list[bytes]) -> np.ndarray:
     piece = first[text] + np.minimum(at // STRETCH, pieces[text] - 1)
     mean = -np.bincount(piece, log_p, int(pieces.sum())) / np.maximum(np.bincount(piece, minlength=int(pieces.sum())), 1)
     ordered = mean[np.lexsort((mean, np.repeat(np.arange(len(sizes)), pieces)))]
-    out = np.full(len(sizes), np.nan)
+    out = np.full((len(sizes), 2), np.nan)
     some = sizes > 0
-    out[some] = ordered[(first + np.floor(QUANTILE * (pieces - 1)).astype(np.int64))[some]]
+    for k, q in enumerate((QUANTILE, UPPER)):
+        out[some, k] = ordered[(first + np.floor(q * (pieces - 1)).astype(np.int64))[some]]
     return out
 
 
@@ -180,7 +183,7 @@ def _measures(text: bytes) -> tuple[int, int, int, int, int]:
 
 def measured(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", most: int = 1 << 24) -> DataFrame:
-    """(id, lang, n_bytes, log_ppl, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row.
+    """(id, lang, n_bytes, log_ppl, upper_ppl, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row.
 
     The models of several languages are broadcast together up to ``most`` grams, which one language cannot pass;
     beyond that the documents are scored by groups of languages.
@@ -190,7 +193,7 @@ def measured(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("")).alias("lang"),
                        F.col(text_col).cast("binary").alias("text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    shape = f"id {kind}, lang string, n_bytes long, log_ppl double, " + ", ".join(f"{n} long" for n in names)
+    shape = f"id {kind}, lang string, n_bytes long, log_ppl double, upper_ppl double, " + ", ".join(f"{n} long" for n in names)
     groups = [[lang for lang, _ in sizes[a:b]] for a, b in runs([n for _, n in sizes], most)]
     out = None
     for k, group in enumerate(groups or [[]]):
@@ -203,7 +206,7 @@ def measured(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col
         def scored(batches, shared=shared):
             models = shared.value
             for batch in batches:
-                ppl = np.full(batch.num_rows, np.nan)
+                ppl = np.full((batch.num_rows, 2), np.nan)
                 for lang, own, texts in _by_language(batch):
                     if lang in models:
                         ppl[own] = log_perplexity(models[lang], texts)
@@ -211,8 +214,8 @@ def measured(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col
                 found = np.array([_measures(t) for t in texts], np.int64).reshape(-1, len(names))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()),
-                     pa.array(ppl, mask=np.isnan(ppl)), *(pa.array(c) for c in found.T)],
-                    ["id", "lang", "n_bytes", "log_ppl", *names])
+                     *(pa.array(p, mask=np.isnan(p)) for p in ppl.T.copy()), *(pa.array(c) for c in found.T)],
+                    ["id", "lang", "n_bytes", "log_ppl", "upper_ppl", *names])
 
         # Languages without a model (empty texts only) go with the first group.
         own = F.col("lang").isin(group)
@@ -231,13 +234,13 @@ def _median(bins: DataFrame) -> DataFrame:
         F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg(F.min("bin").alias("median"))
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """(lang, median, spread) of ``log_ppl``: median and median absolute deviation, both to one bin.
+def bands(rows: DataFrame, of: str = "log_ppl") -> DataFrame:
+    """(lang, median, spread) of a log-perplexity: median and median absolute deviation, both to one bin.
 
     Only histograms, whose bins the range of log-perplexity bounds, meet by language.
     """
     n = F.sum("n").alias("n")
-    bins = materialise(rows.select("lang", F.round(F.col("log_ppl") * FINE).cast("long").alias("bin"), F.lit(1).alias("n"))
+    bins = materialise(rows.select("lang", F.round(F.col(of) * FINE).cast("long").alias("bin"), F.lit(1).alias("n"))
                        .groupBy("lang", "bin").agg(n), "perplexity-bins")
     middle = materialise(_median(bins), "perplexity-medians")
     apart = bins.join(middle, "lang").groupBy("lang", F.abs(F.col("bin") - F.col("median")).alias("bin")).agg(n)
@@ -247,9 +250,10 @@ def bands(rows: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            below: float = 8.0, above: float = 5.0, short: int = 600, least: float = 0.01) -> DataFrame:
-    """``measured`` columns of every row, base_failed, low and high (the document's band), and kept.
+    """``measured`` columns of every row, base_failed, low and high (the document's band), upper_low and upper_high
+    (that of ``upper_ppl``), and kept.
 
-    The band is ``below`` and ``above`` deviations around the median of the language's texts that pass the base
+    A band is ``below`` and ``above`` deviations around the median of the language's texts that pass the base
     rules, times 1 + short / bytes; a deviation is the median absolute one, ``least`` at least.  Null and
     empty texts fail the base rules.  A language none of whose texts pass has no band; all fail anyhow.
     Repeated rows count and are judged each.  Other columns are not read.
@@ -258,9 +262,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = materialise(measured(docs, grams, id_col, text_col, lang_col).withColumn("base_failed", failed),
                        "perplexity-measures")
-    known = materialise(bands(rows.where(~F.col("base_failed"))), "perplexity-bands")
+    sound = rows.where(~F.col("base_failed"))
     wide = F.greatest("spread", F.lit(least)) * (1 + short / F.greatest("n_bytes", F.lit(1)))
-    return rows.join(known, "lang", "left").withColumns({
-        "low": F.col("median") - below * wide, "high": F.col("median") + above * wide}).withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")),
-                                                   F.lit(False))).drop("median", "spread")
+    within = ~F.col("base_failed")
+    for of, before in (("log_ppl", ""), ("upper_ppl", "upper_")):
+        low, high = f"{before}low", f"{before}high"
+        known = materialise(bands(sound, of), "perplexity-bands")
+        rows = rows.join(known, "lang", "left").withColumns({
+            low: F.col("median") - below * wide, high: F.col("median") + above * wide}).drop("median", "spread")
+        within = within & F.coalesce(F.col(of).between(F.col(low), F.col(high)), F.lit(False))
+    return rows.withColumn("kept", within)

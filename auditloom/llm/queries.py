@@ -82,7 +82,8 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = perplexity.judged(table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                        "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
+                        "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high", "upper_ppl", "upper_low",
+                        "upper_high")
 
 
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditloom.llm import langid, linededup, neardup, queries, simhash
+from auditloom.llm import langid, linededup, neardup, perplexity, queries, simhash
 from auditloom.llm.components import connected
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -208,3 +208,25 @@ def test_language_of_scripts_nobody_learned(spark):
         F.lit(-1).cast("long").alias("doc_id"), F.lit("αβγ δεζ ηθι").alias("text"), F.lit(None).cast("string").alias("lang"),
         "source", "n_chars"))
     assert -1 not in {r.doc_id for r in corpus_pipeline.known_language(spark, given, MIDDLE).collect()}
+
+
+def test_texts_half_of_garbage_fail(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    rng = random.Random(6)
+    clean = docs.where("lang = 'en' AND n_chars BETWEEN 1500 AND 4000").orderBy("doc_id").limit(60).collect()
+    kept = {r.id for r in perplexity.judged(docs).where("kept").collect()}
+    clean = [r for r in clean if r.doc_id in kept][:30]
+    assert len(clean) == 30
+    rows = []
+    for k, r in enumerate(clean):
+        for j, share in enumerate((0.5, 0.65, 0.9)):
+            n = int(len(r.text) * share / (1 - share)) // 7
+            junk = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=6)) for _ in range(n))
+            rows.append((10_000_000 + 10 * k + j, f"{r.text}\n{junk}", "en", r.source, 0))
+        # A passage in another language is no garbage if most of the text is sound.
+        other = docs.where("lang = 'fr'").orderBy("doc_id").first().text[:len(r.text) // 5] if k == 0 else other
+        rows.append((10_000_000 + 10 * k + 9, f"{r.text}\n{other[:len(r.text) // 5]}", "en", r.source, 0))
+    got = {r.id: r.kept for r in perplexity.judged(docs.unionByName(spark.createDataFrame(rows, docs.schema))).where(
+        "id >= 10000000").collect()}
+    assert not any(v for i, v in got.items() if i % 10 != 9)
+    assert sum(v for i, v in got.items() if i % 10 == 9) >= 27
