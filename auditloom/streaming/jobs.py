@@ -92,12 +92,17 @@ def override_alerts(log: DataFrame, threshold: int, length: str = "1 hour",
 # --- re-audit state --------------------------------------------------------------------------------------
 
 class ReauditProcessor(StatefulProcessor):
-    """Per path: hash and cosmetic form of the last version; emits the audit mode of each save."""
+    """Per path: hash and cosmetic form of the last version; emits the audit mode of each save.
 
-    def __init__(self, first_limit: int = 200, full_limit: int = 150):
-        self.first_limit, self.full_limit = first_limit, full_limit
+    With ``keep_days`` every save sets a timer so many days ahead, in event time; the state of a path without a save
+    until then is dropped, so state grows with the paths in use and not with all that ever were.
+    """
+
+    def __init__(self, first_limit: int = 200, full_limit: int = 150, keep_days: int | None = None):
+        self.first_limit, self.full_limit, self.keep_days = first_limit, full_limit, keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "hash string, form string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -115,23 +120,37 @@ class ReauditProcessor(StatefulProcessor):
             seen = (digest, form)
             out.append((key[0], ts, n, mode))
         self.last.update(seen)
+        if self.keep_days is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            last = int(pd.Timestamp(batch["ts"].iloc[-1]).timestamp() * 1000)
+            self.handle.registerTimer(last + self.keep_days * 86_400_000)
         yield pd.DataFrame(out, columns=["path", "ts", "n_lines", "mode"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"path": pd.Series(dtype="str"), "ts": pd.Series(dtype="datetime64[ns]"),
+                            "n_lines": pd.Series(dtype="int32"), "mode": pd.Series(dtype="str")})
+
     def close(self) -> None:
         pass
 
 
-def reaudit(saves: DataFrame, first_limit: int = 200, full_limit: int = 150) -> DataFrame:
+def reaudit(saves: DataFrame, first_limit: int = 200, full_limit: int = 150, keep_days: int | None = None,
+            lateness: str = "1 hour") -> DataFrame:
     """Audit mode of each save from keyed state: ``saves(path, ts, content)``.
 
-    Hashes are taken before the shuffle, so contents never reach the Python state processor.
+    Hashes are taken before the shuffle, so contents never reach the Python state processor.  With ``keep_days`` the
+    state of a path that is not saved for so long is dropped, and saves later than ``lateness`` are, too.
     """
     use_rocksdb(saves.sparkSession)
     content = F.col("content")
     slim = saves.select("path", "ts", F.md5(content).alias("hash"),
                         F.md5(cosmetic_form(content)).alias("form"),
                         F.size(T.split_lines(content)).alias("n_lines"))
+    if keep_days is not None:
+        slim = slim.withWatermark("ts", lateness)
     return slim.groupBy("path").transformWithStateInPandas(
-        ReauditProcessor(first_limit, full_limit),
+        ReauditProcessor(first_limit, full_limit, keep_days),
         outputStructType="path string, ts timestamp, n_lines int, mode string",
-        outputMode="append", timeMode="none")
+        outputMode="append", timeMode="none" if keep_days is None else "EventTime")

@@ -45,6 +45,21 @@ def test_reaudit_stream_equals_batch(spark, folder):
     assert [got[("a", day(i))] for i in range(6)] == ["index_only", "skip", "skip", "diff", "full", "skip"]
 
 
+def test_reaudit_state_expires(spark):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    schema = "path string, ts timestamp, content string"
+    given = [[("a", day(0), "x"), ("b", day(0), "x")], [("b", day(20), "x")], [("c", day(40), "x")], [("c", day(41), "y")],
+             [("a", day(42), "x"), ("b", day(42), "x")]]
+    def modes(**kw):
+        out = jobs.run_in_parts([spark.createDataFrame(rows, schema) for rows in given],
+                                lambda s: jobs.reaudit(s, 200, 150, **kw), "modes")
+        return {(r.path, r.ts): r["mode"] for r in out.collect()}
+    kept = {("a", day(0)): "full", ("b", day(0)): "full", ("b", day(20)): "skip", ("c", day(40)): "full",
+            ("c", day(41)): "full", ("a", day(42)): "skip", ("b", day(42)): "skip"}
+    assert modes() == kept
+    assert modes(keep_days=30) == kept | {("a", day(42)): "full"}
+
+
 def test_windows_drop_late_rows(spark, folder):
     t = lambda m: dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m)
     schema = "ts timestamp, action string"
