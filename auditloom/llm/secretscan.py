@@ -137,11 +137,17 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     before = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("id", "th", "kind").orderBy("i"))
     placed = each.withColumn("end", before.cast("int")).where("good").select(
         "id", "th", F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end").alias("span"))
-    found = placed.groupBy("id", "th").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    kept = F.expr("""filter(spans, m -> m.kind < 3 OR NOT exists(filter(spans, b -> b.kind < 3),
-        b -> b.start < m.end AND m.start < b.end))""")
+    # A sweep in both directions: how far the fixed spans reach that start no later, and where the next one starts.
+    of_text = Window.partitionBy("id", "th")
+    reached = F.max(F.when(F.col("span.kind") < 3, F.col("span.end"))).over(of_text.orderBy("span.start").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(F.col("span.kind") < 3, F.col("span.start"))).over(of_text.orderBy(F.desc("span.start")).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    touched = F.coalesce((F.col("reached") > F.col("span.start")) | (F.col("ahead") < F.col("span.end")), F.lit(False))
+    apart = placed.withColumn("reached", reached).withColumn("ahead", ahead).where((F.col("span.kind") < 3) | ~touched)
+    found = apart.groupBy("id", "th").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     out = table_of.select("id", "th").join(
-        found.select(F.col("id").alias("i"), F.col("th").alias("t"), kept.alias("found")),
+        found.select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("spans").alias("found")),
         F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
     return out.select("id", F.coalesce("found", F.array().cast(
         "array<struct<start:int,kind:int,end:int>>")).alias("found"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditloom.llm import langid, linededup, neardup, perplexity, queries, simhash
+from auditloom.llm import langid, linededup, neardup, perplexity, queries, secretscan, simhash
 from auditloom.llm.components import connected
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -230,3 +230,20 @@ def test_texts_half_of_garbage_fail(spark):
         "id >= 10000000").collect()}
     assert not any(v for i, v in got.items() if i % 10 != 9)
     assert sum(v for i, v in got.items() if i % 10 == 9) >= 27
+
+
+def test_random_spans_keep_off_fixed_ones(spark):
+    """Against all pairs of spans of a text; many of them in one text take linear time."""
+    rng = random.Random(8)
+    pieces = ["password=abcdefghij", "AKIA" + "Q" * 16, "0123456789abcdef" * 2, "xK9" * 8, "token: x", "plain words here", "é"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", ",", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    texts.append(" ".join(f"xK9vT{k:06d}qWz7Lm4Rb AKIA{'B' * 16}" for k in range(6000)))
+    flat = [3.0] * len(secretscan.ALPHABET) ** 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.id: r.found for r in secretscan.scan(docs, flat).collect()}
+    for i, text in enumerate(texts[:-1]):
+        base = [s for s in rows[i] if s.kind < 3]
+        runs = [(m.start(), m.end()) for m in re.finditer(secretscan.RUN + "{20,}", text)]
+        want = [x for x in runs if not any(b.start < x[1] and x[0] < b.end for b in base)]
+        assert [(s.start, s.end) for s in rows[i] if s.kind == 3] == want
+    assert len(rows[60]) == 12_000
