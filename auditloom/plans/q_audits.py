@@ -29,6 +29,35 @@ def layered(spark, sf):
     return audits.audit(bind(spark, sf, "code_files"), profile=R.LOCAL)
 
 
+# The model's layer: answers on files that the first layers pass, vulnerable items on lines the file has, once a line.
+_ANSWERED = {k: v for k, v in _LAYERS.items() if k not in ("t", "ran")} | {
+    "asked": "SELECT * FROM answers WHERE path NOT IN (SELECT path FROM u)",
+    "items": "SELECT path, response_id, unnest(CAST(json_extract(raw, '$.findings') AS JSON[])) AS i, "
+             "unnest(range(CAST(json_array_length(raw, '$.findings') AS bigint))) AS pos FROM asked",
+    "told": "SELECT path, pos, coalesce(i->>'vulnerability_type', 'Unknown Vulnerability') AS rule_id, "
+            "CAST(i->>'line_number' AS integer) AS line_number FROM items WHERE (i->>'is_vulnerable') = 'true'",
+    "model": "SELECT t.* FROM told t JOIN code_files c ON c.path = t.path WHERE line_number BETWEEN 1 AND "
+             "len(string_split(code, chr(10))) - CASE WHEN code = '' OR ends_with(code, chr(10)) THEN 1 ELSE 0 END "
+             "QUALIFY row_number() OVER (PARTITION BY t.path, line_number ORDER BY pos) = 1",
+    "every": "SELECT path, rule_id, line_number, rank, seq FROM u UNION ALL "
+             "SELECT path, rule_id, line_number, 2, lpad(CAST(pos AS varchar), 8, '0') FROM model",
+    "t": "SELECT path, count(*) AS n, arg_min(rule_id || ' on line ' || CAST(line_number AS varchar), (rank, seq)) AS top "
+         "FROM every GROUP BY path",
+    "ran": "SELECT path, 'Layer1' AS layer FROM code_files UNION SELECT path, 'Layer2' FROM sources "
+           "UNION SELECT path, 'V1.0' FROM asked"}
+
+
+@query("audit_answered_verdicts", ctes("code_files", "answers", extra=_ANSWERED).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT c.path, CASE WHEN n > 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, coalesce(n, 0) AS n_violations,
+'[' || r.layers || '] ' || CASE WHEN n > 0 THEN CAST(n AS varchar) || ' violation(s) found. Most severe: '
+|| top || '.' ELSE 'All layers cleared. No violations found.' END AS reasoning FROM code_files c LEFT JOIN t ON t.path = c.path
+JOIN (SELECT path, string_agg(DISTINCT layer, ' + ' ORDER BY layer) AS layers FROM ran GROUP BY path) r ON r.path = c.path""")
+def answered(spark, sf):
+    """All three layers; the model's answers stand in a table."""
+    return audits.audit(bind(spark, sf, "code_files"), bind(spark, sf, "answers"), R.LOCAL).select(
+        "path", "verdict", "n_violations", "reasoning")
+
+
 _SYSTEM = "You are a code auditor. Answer in JSON."
 
 
