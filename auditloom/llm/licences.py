@@ -163,10 +163,14 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     chunks = words.select("id", "th", F.explode_outer(F.expr(
         f"if(size(words) >= {GRAM}, transform(sequence(0, size(words) - {GRAM}, {CHUNK}), "
         f"s -> struct(s, slice(words, s + 1, {CHUNK + GRAM - 1}) AS own)), NULL)")).alias("chunk"))
-    rolled = chunks.select("id", "th", "chunk.s", F.posexplode_outer(F.expr(
-        f"transform(sequence(1, size(chunk.own) - {GRAM - 1}), i -> array_join(slice(chunk.own, i, {GRAM}), ' '))")))
-    met = rolled.select("id", "th", (F.col("s") + F.col("pos")).alias("place"), F.col("col").alias("found"),
-                        F.xxhash64("col").alias("h")).join(table.withColumn("h", F.xxhash64("gram")), "h")
+    # A gram can only meet one that begins with the same word, so the others are not even built.
+    begins = ", ".join(f"'{w}'" for w in sorted({own[i] for _, _, own in template_words(templates)
+                                                 for i in range(len(own) - GRAM + 1)}))
+    rolled = chunks.select("id", "th", "chunk.s", F.explode_outer(F.expr(
+        f"transform(filter(sequence(1, size(chunk.own) - {GRAM - 1}), i -> chunk.own[i - 1] IN ({begins})), "
+        f"i -> struct(i - 1 AS pos, array_join(slice(chunk.own, i, {GRAM}), ' ') AS gram))")).alias("rolled"))
+    met = rolled.select("id", "th", (F.col("s") + F.col("rolled.pos")).alias("place"), F.col("rolled.gram").alias("found"),
+                        F.xxhash64("rolled.gram").alias("h")).join(table.withColumn("h", F.xxhash64("gram")), "h")
     same = met.where("found = gram")  # a hash may lie
     return same.groupBy("id", "th", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("at").alias("ats"))
@@ -212,13 +216,13 @@ def licence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans that with more covered words stays, then with the greater share, then the first by label and template.
     """
     found = materialise(bands(hits(docs, id_col, text_col, templates), templates), "licence-bands")
-    best = Window.partitionBy("id", "th").orderBy(
-        "first", F.desc("last"), F.desc("covered"), F.desc("share"), "label", "template").rowsBetween(Window.unboundedPreceding, -1)
-    outer = found.where("accepted").withColumn("reached", F.coalesce(F.max("last").over(best), F.lit(-1)))
-    spans = outer.where(F.col("last") > F.col("reached")).groupBy("id", "th").agg(F.sort_array(F.collect_list(
-        F.struct("first", "last", "label", "covered", "share"))).alias("spans"))
-    shares = found.groupBy("id", "th").agg(F.max("share").alias("share"))
-    return shares.join(spans, ["id", "th"], "left")
+    best = Window.partitionBy("id", "th", "accepted").orderBy(
+        "first", F.desc("last"), F.desc("covered"), F.desc("share"), "label", "template").rowsBetween(
+        Window.unboundedPreceding, -1)
+    within = F.col("last") <= F.coalesce(F.max("last").over(best), F.lit(-1))
+    span = F.when(F.col("accepted") & ~F.col("within"), F.struct("first", "last", "label", "covered", "share"))
+    return found.withColumn("within", within).groupBy("id", "th").agg(
+        F.sort_array(F.collect_list(span)).alias("spans"), F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES,
