@@ -325,3 +325,16 @@ def test_range_sums_of_one_key_are_spread(spark):
     dealt = df.repartitionByRange(8, "k", F.desc("score"), F.asc("i")).groupBy(F.spark_partition_id()).count().collect()
     sizes = sorted(r["count"] for r in dealt)
     assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
+def test_grams_are_not_sent_to_the_driver(spark, tmp_path):
+    """A small scan makes many grams: no table of them is broadcast, whatever the planner takes it for."""
+    spark.range(300).selectExpr("id % 20 AS project", "id AS line_no", "'ship order ' || id AS line").write.parquet(f"{tmp_path}/lines")
+    lines = spark.read.parquet(f"{tmp_path}/lines")
+    done = lines.where("line_no % 2 = 0").selectExpr("project", "line AS task", "current_timestamp() AS ts")
+    still, ready, errors = M.complete_tasks(lines, done)
+    for df in (still, ready, errors):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert (ready.count(), errors.count()) == (150, 0)
+    assert {r.line_no for r in still.collect()} == {i for i in range(300) if i % 2 and not any(
+        str(i).startswith(str(j)) for j in range(i % 20, 300, 20) if j % 2 == 0)}
