@@ -29,8 +29,8 @@ def scan(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENS
     decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     rows = raw.select(rel.alias("path"), F.when(~big, decoded).alias("code"),
                       F.col("length").alias("n_bytes"),
-                      F.when(big, F.concat(F.lit("File too large ("), F.format_string("%.1f", kb),
-                                           F.lit("KB)"))).alias("skip_reason"))
+                      F.when(big, F.concat(F.lit("File too large ("), T.one_decimal(kb), F.lit("KB)")))
+                      .alias("skip_reason"))
     return rows.where(~T.has_part(F.col("path"), skip_dirs)).select(
         "path", T.extension(F.col("path")).alias("ext"), "code", "n_bytes", "skip_reason")
 

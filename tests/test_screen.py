@@ -149,6 +149,13 @@ def test_size_split(rows):
         "a": "File too large (2.0KB)", "b": "File too large (1.2KB)"}
 
 
+def test_size_ties_go_to_the_even_digit(rows):
+    """17.25 KB and 17.75 KB, as Python and C print them; Java's format takes both up."""
+    out = S.size_split(rows("path string, code string", ("a", "x" * 17664), ("b", "x" * 18176), ("c", "x" * 17665)), max_kb=16)
+    assert {r.path: r.skip_reason for r in out.collect()} == {
+        p: f"File too large ({n / 1024:.1f}KB)" for p, n in (("a", 17664), ("b", 18176), ("c", 17665))}
+
+
 def test_score_is_computed_once(spark, rows, files):
     """A filter on the gate must not copy the score expression below the projection."""
     plan = S.gate(files, R.LOCAL).where("should_audit")._jdf.queryExecution().optimizedPlan().toString()
