@@ -151,8 +151,9 @@ def bg10(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of part files: streams refuse a plain path of a file, not a glob."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _bound_stream(spark, sf, name):

@@ -5,6 +5,7 @@ import pytest
 
 from auditloom.functions.session import materialise, small_rows, spread
 from auditloom.operators import snapshots as N
+from auditloom.plans import catalog
 from auditloom.sources import corpus, logs
 from auditloom.streaming import jobs
 
@@ -151,3 +152,13 @@ def test_session_helpers(spark, rows):
     assert len(small_rows(df, 5)) == 5
     assert spread(spark.range(0, 5, 1, 50), "id").rdd.getNumPartitions() == 50
     assert spread(spark.range(0, 5, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_table_of_part_files_is_streamed_whole(spark, folder):
+    """ST1 and ST2 on documents as one file and as a folder of part files: the same rows."""
+    small = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{small}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    for name in ("st1_continuous_screen", "st2_reaudit_state"):
+        one, many = (catalog.QUERIES[name](spark, sf) for sf in (small, folder))
+        assert one.count() > 0
+        assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0
