@@ -219,3 +219,32 @@ def test_calls_and_subscripts(rows):
                          + "x" * 50 + " = read(a)"))
     got = found(flow.sources(flow.statements(files)), "variable", "node_type")
     assert got == {("a", "EXTERNAL_INPUT"), ("d", "EXTERNAL_INPUT"), ("x" * 50, "EXTERNAL_INPUT")}
+
+
+@pytest.mark.parametrize("max_depth", [None, 2])
+def test_closure_in_the_row_equals_joins(rows, monkeypatch, max_depth):
+    """Short files are closed in their row, long ones by joins, mixed files by both: the same rows, no shuffled rounds."""
+    rand = random.Random(5)
+    name = lambda: f"v{rand.randrange(12)}"
+    steps = rows("path string, variable string, next_variable string", *[
+        (f"p{rand.randrange(4)}", name(), name()) for _ in range(60)], *[("long", f"v{i}", f"v{i + 1}") for i in range(30)])
+    seeds = rows("path string, root string, variable string", *[(f"p{i}", v, v) for i in range(5) for v in ("v1", "v2")],
+                 ("long", "v0", "v0"))
+    made = []
+    for closed in (10_000, 25, 0):
+        monkeypatch.setattr(flow, "CLOSED", closed)
+        out = flow.closure(seeds, steps, ["root"], ["variable"], max_depth)
+        made.append(sorted(map(tuple, out.collect())))
+    assert made[0] == made[1] == made[2] and (max_depth or ("long", "v0", "v30", 30) in made[0])
+    by_joins = sorted(map(tuple, flow._closure_by_joins(seeds, steps, ["root"], ["variable"], max_depth).collect()))
+    assert by_joins == made[0]
+
+
+def test_sources_are_parsed_once(rows, monkeypatch):
+    parsed = []
+    real = flow.materialise
+    monkeypatch.setattr(flow, "materialise", lambda df, purpose: parsed.append(
+        df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")) or real(df, purpose))
+    found = flow.sources(flow.statements(rows(FILES, ("a.py", ".py", "x = request.args['a']"), ("b.js", ".js", "let y = req.query.id;"))))
+    assert parsed == [1] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2
