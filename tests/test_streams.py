@@ -162,3 +162,11 @@ def test_table_of_part_files_is_streamed_whole(spark, folder):
         one, many = (catalog.QUERIES[name](spark, sf) for sf in (small, folder))
         assert one.count() > 0
         assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0
+
+
+def test_tasks_of_narrow_scans_grow_with_the_splits(spark, folder):
+    spark.range(1000).repartition(12).write.parquet(f"{folder}/narrow")
+    scan = spark.read.parquet(f"{folder}/narrow")
+    splits = scan.rdd.getNumPartitions()
+    dealt = spread(scan, "id", per_split=16)
+    assert dealt.rdd.getNumPartitions() >= 16 * splits and dealt.count() == 1000
