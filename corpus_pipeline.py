@@ -45,14 +45,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row is repeated; of documents with one doc_id all stay that are no near-duplicates.
 
     Near-duplicates have SimHash fingerprints that differ in at most two bits, or sets of five-word shingles with a
-    Jaccard index of 0.8 at least, or are chained by such documents; in groups of more than 16 texts with a common
-    MinHash key each is compared with the group's hub.  Documents with a null doc_id have nothing to be chosen by;
-    they stay.
+    Jaccard index of 0.8 at least, or are chained by such documents; groups of any size with a common MinHash key
+    are searched exactly.  Documents with a null doc_id have nothing to be chosen by; they stay.
     """
     rows = docs.select(*COLUMNS).withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("th")))
     named = rows.where("doc_id IS NOT NULL")
     prints = materialise(simhash.near_duplicates(named, "key").select("id", "component"), "pipeline-prints")
-    alike = neardup.near_duplicates(named, "key", exact=False).where("id <> component").select("id", "component")
+    alike = neardup.near_duplicates(named, "key").where("id <> component").select("id", "component")
     ends = materialise(prints.where("id <> component").unionByName(alike), "pipeline-alike")
     node = lambda c: F.xxhash64(f"{c}.doc_id", f"{c}.th")
     roots = connected(ends.select(node("id").alias("a"), node("component").alias("b")))

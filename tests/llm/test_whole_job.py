@@ -247,3 +247,13 @@ def test_random_spans_keep_off_fixed_ones(spark):
         want = [x for x in runs if not any(b.start < x[1] and x[0] < b.end for b in base)]
         assert [(s.start, s.end) for s in rows[i] if s.kind == 3] == want
     assert len(rows[60]) == 12_000
+
+
+def test_near_dedup_stage_searches_large_keys_exactly(spark, monkeypatch):
+    """The stage leaves no key to its hub alone."""
+    asked, real = [], neardup.similar_links
+    monkeypatch.setattr(neardup, "similar_links", lambda *a: asked.append(a[3]) or real(*a))
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 2}", "en", "s", 24) for i in range(4)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert asked == [True] and {r.doc_id for r in kept.collect()} == {0, 1}
