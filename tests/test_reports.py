@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -338,3 +339,11 @@ def test_grams_are_not_sent_to_the_driver(spark, tmp_path):
     assert (ready.count(), errors.count()) == (150, 0)
     assert {r.line_no for r in still.collect()} == {i for i in range(300) if i % 2 and not any(
         str(i).startswith(str(j)) for j in range(i % 20, 300, 20) if j % 2 == 0)}
+
+
+def test_lines_without_imports_are_not_cut(rows):
+    """Texts that can name no import are dropped before they are cut into lines."""
+    diffs = rows("path string, diff string", ("a", "-import os\n-x = 1\n-const a = require('fs')"), ("b", "-x = 1\n-y = 2"))
+    out = N.removed_imports(diffs)
+    assert {tuple(r) for r in out.collect()} == {("a", "os"), ("a", "fs")}
+    assert re.search(r"Filter \(+Contains\(diff", out._jdf.queryExecution().optimizedPlan().toString())
