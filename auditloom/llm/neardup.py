@@ -108,13 +108,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _rare(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, token): so many of the rarest elements of each set that two sets of ``similarity`` share one."""
+    """(node, n, token, place): so many of the rarest elements of each set of n that two sets of ``similarity`` share
+    one, without those that no other set holds."""
     tokens = materialise(nodes.join(sets, "node").select("node", F.size("own").alias("n"), F.explode("own").alias("token")),
                          "near-tokens")
     rarity = tokens.groupBy("token").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))  # a text's own elements
     return tokens.join(rarity, "token").withColumn("place", place).where(
-        F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).select("node", "token")
+        F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).where("held > 1").select(
+        "node", "n", "token", "place")
 
 
 def _left_over(large: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -129,9 +131,13 @@ def _left_over(large: DataFrame, found: DataFrame, sets: DataFrame, similarity:
     all_ = labelled.join(apart.select("key").distinct(), "key", "left_semi").select("node").distinct()
     rare = materialise(_rare(all_, sets, similarity).join(roots, "node"), "near-rare")
     few = rare.join(apart.select("node").distinct(), "node", "left_semi")
-    met = few.select("token", F.col("node").alias("a"), F.col("root").alias("root_a")).join(
-        rare.select("token", F.col("node").alias("b"), F.col("root").alias("root_b")), "token")
-    return met.where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root")])
+            for rows, side in ((few, "a"), (rare, "b")))
+    # At the rarest element that two similar sets share, as many must be left in both as they share.
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    shared = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity))
+    met = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & (left >= shared - 1e-6))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def similar_links(keyed: DataFrame, sets_of, similarity: float, exact: bool = True) -> DataFrame:

@@ -171,6 +171,21 @@ def test_links_of_large_keys_against_all_pairs(spark, seed):
     assert len(set(map(find, nodes))) > 4
 
 
+def test_sets_of_a_large_key_that_are_just_too_far_apart_make_no_pairs(spark):
+    """Sets near one base share common elements among their rarest, but too few are left after them."""
+    rng = random.Random(5)
+    rows = [(i, [1_000 * i + k + 1_000 if k in own else k for k in range(60)])
+            for i in range(40) for own in [set(rng.sample(range(60), 9))]]
+    sets = spark.createDataFrame(rows, "node long, own array<long>")
+    large = sets.select(F.lit(1).cast("long").alias("key"), "node")
+    none = spark.createDataFrame([], "a long, b long")
+    assert neardup._left_over(large, none, sets, 0.8).count() == 0
+    near = spark.createDataFrame([(100, rows[7][1][:59] + [-1])], "node long, own array<long>")
+    left = neardup._left_over(large.unionByName(near.select(F.lit(1).cast("long").alias("key"), "node")), none,
+                              sets.unionByName(near), 0.8)
+    assert [tuple(r) for r in left.collect()] == [(7, 100)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     base = words(9, 60)
     rows = [(None, base), (5, base), (3, base + " x"), (5, base), (5, "other text altogether and more"), (7, None),
