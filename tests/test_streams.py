@@ -170,3 +170,18 @@ def test_tasks_of_narrow_scans_grow_with_the_splits(spark, folder):
     splits = scan.rdd.getNumPartitions()
     dealt = spread(scan, "id", per_split=16)
     assert dealt.rdd.getNumPartitions() >= 16 * splits and dealt.count() == 1000
+
+
+def test_dealt_tasks_follow_bytes_and_not_the_size_of_splits(spark, tmp_path):
+    spark.range(0, 1_500_000, 1, 1).selectExpr("id", "rand(1) AS x").write.parquet(f"{tmp_path}/t")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        scan = spark.read.parquet(f"{tmp_path}/t")
+        assert scan.rdd.getNumPartitions() == 1
+        dealt = spread(scan, "id", per_split=16)
+        assert dealt.rdd.getNumPartitions() >= 48 and dealt.count() == 1_500_000
+        assert spread(scan, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == small
