@@ -248,3 +248,11 @@ def test_sources_are_parsed_once(rows, monkeypatch):
     found = flow.sources(flow.statements(rows(FILES, ("a.py", ".py", "x = request.args['a']"), ("b.js", ".js", "let y = req.query.id;"))))
     assert parsed == [1] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 2
+
+
+def test_closure_meets_seeds_and_steps_in_one_shuffle(rows):
+    seeds = rows("path string, root string, variable string", ("p", "a", "a"), ("p", "a", "a"))
+    steps = rows("path string, variable string, next_variable string", ("p", "a", "b"), ("p", "a", "b"), ("q", "a", "b"))
+    out = flow.closure(seeds, steps, ["root"], ["variable"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    assert sorted(map(tuple, out.collect())) == [("p", "a", "a", 0), ("p", "a", "b", 1)]
