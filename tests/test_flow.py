@@ -256,3 +256,28 @@ def test_closure_meets_seeds_and_steps_in_one_shuffle(rows):
     out = flow.closure(seeds, steps, ["root"], ["variable"])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
     assert sorted(map(tuple, out.collect())) == [("p", "a", "a", 0), ("p", "a", "b", 1)]
+
+
+def test_files_are_followed_in_their_row(rows, monkeypatch):
+    """Nothing of a file is shuffled to be followed; long files and rows of one path meet in joins, with the same result."""
+    chain = "v0 = request.args['x']\n" + "".join(f"v{i + 1} = v{i}\n" for i in range(9)) + "print(v9)\n"
+    files = rows(FILES, *[(f"{k}.py", ".py", chain) for k in range(3)], ("a.js", ".js", "let b = req.query.id;\nlet c = b;\nres.send(c);"),
+                 ("two.py", ".py", "x = request.args['a']"), ("two.py", ".py", "\ny = x\nprint(y)"))
+    made = []
+    for closed in (2_000, 12, 0):
+        monkeypatch.setattr(flow, "CLOSED", closed)
+        own = flow.relations(files)
+        made.append([sorted(map(str, df.collect())) for df in (
+            flow.reach(own), flow.unsanitised(own), flow.reaching(own), flow.sink_hits(own, flow.reach(own)))])
+    assert made[0] == made[1] == made[2] and any("two.py" in r for r in made[0][1])
+    monkeypatch.setattr(flow, "CLOSED", 2_000)
+    once = flow.relations(files.where("path <> 'two.py'"))
+    for followed in (flow.reach(once), flow.unsanitised(once)):
+        assert "Exchange" not in followed._jdf.queryExecution().executedPlan().toString()
+    plan = flow.statements(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
+def test_pairs_of_brackets_within_a_line():
+    assert logical.statements('f(["""a\n(b"""])\nx = {"a": (1)}', "python") == [(1, 'f(["""a (b"""])'), (3, 'x = {"a": (1)}')]
+    assert logical.statements("f(a // (\n)\ng('(')", "javascript") == [(1, "f(a // ( )"), (3, "g('(')")]
