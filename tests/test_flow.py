@@ -281,3 +281,28 @@ def test_files_are_followed_in_their_row(rows, monkeypatch):
 def test_pairs_of_brackets_within_a_line():
     assert logical.statements('f(["""a\n(b"""])\nx = {"a": (1)}', "python") == [(1, 'f(["""a (b"""])'), (3, 'x = {"a": (1)}')]
     assert logical.statements("f(a // (\n)\ng('(')", "javascript") == [(1, "f(a // ( )"), (3, "g('(')")]
+
+
+@pytest.mark.parametrize("max_depth", [None, 2])
+def test_traces_equal_relations(rows, monkeypatch, max_depth):
+    """What is followed is written without texts, and files are told in their row; the results are those of relations."""
+    chain = "v0 = request.args['x']\n" + "".join(f"v{i + 1} = v{i} + v0\n" for i in range(9)) + "print(redact(v9))\nv2 = redact(v1)\n"
+    files = rows(FILES, *[(f"{k}.py", ".py", chain) for k in range(3)], ("none.py", ".py", "print(1)"), ("null.py", ".py", None),
+                 ("a.js", ".js", "let b = req.query.id;\nlet c = b;\nif (a == c) {\nsanitize(c);\n}\nlet s = \"c = d\";"),
+                 ("loop.py", ".py", "a = input[0]\nb = a\na = b\nx = 1\nclean(f'{x} {b}')"), ("query.sql", ".sql", "x = req.body"),
+                 ("two.py", ".py", "x = request.args['a']"), ("two.py", ".py", "\ny = x\nredact(y)"))
+    listed = lambda *frames: [sorted(map(tuple, df.collect())) for df in frames]
+    for closed in (2_000, 12, 0):
+        monkeypatch.setattr(flow, "CLOSED", closed)
+        own = flow.relations(files)
+        reached = flow.reach(own, max_depth)
+        want = listed(reached, flow.boundary_hits(reached), flow.sink_hits(own, reached, max_depth))
+        assert all(want) and ("two.py", "y", 3, "redact") in want[2]
+        found = flow.traces(files, met=True)
+        assert listed(flow.trace(flow.traces(files), max_depth), flow.trace_boundary(found, max_depth=max_depth),
+                      flow.trace_sink_hits(found, max_depth)) == want
+    monkeypatch.setattr(flow, "CLOSED", 2_000)
+    once = flow.traces(files.where("path <> 'two.py'"), met=True)
+    assert {"st", "line", "code"}.isdisjoint(once.files.columns)
+    for df in (flow.trace(once), flow.trace_boundary(once), flow.trace_sink_hits(once)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
