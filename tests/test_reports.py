@@ -347,3 +347,22 @@ def test_lines_without_imports_are_not_cut(rows):
     out = N.removed_imports(diffs)
     assert {tuple(r) for r in out.collect()} == {("a", "os"), ("a", "fs")}
     assert re.search(r"Filter \(+Contains\(diff", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("together", [1_000, 3])
+def test_pairs_equal_histories(rows, monkeypatch, together):
+    """Versions that meet their predecessor in one move, also of busy paths, give what histories and stores give."""
+    monkeypatch.setattr(N, "TOGETHER", together)
+    big = "\n".join(f"l{i}" for i in range(250))
+    v = versions(rows, big, big, big.replace("l7\n", "  l7\n"), big.replace("l9\n", "L9\n"), "short", "short\nand", "", None, "x").unionByName(
+        rows("path string, ts timestamp, content string", ("g", dt.datetime(2024, 1, 1), "a"), ("g", dt.datetime(2024, 1, 1, 0, 0, 1), "b")))
+    history, store, pairs = N.with_history(v), N.line_store(v), N.version_pairs(v)
+    listed = lambda df: sorted(map(str, df.collect()))
+    assert listed(N.changed_pairs(pairs)) == listed(N.changed_lines(history, store))
+    assert listed(N.audit_pairs(pairs)) == listed(N.audit_chunks(history, store))
+    want = N.sent_texts(v, N.audit_mode(history, 200, 1), N.audit_chunks(history, store))
+    assert listed(N.sent_pairs(pairs, 200, 1)) == listed(want)
+    if together == 1_000:
+        for df in (N.changed_pairs(pairs), N.audit_pairs(pairs), N.sent_pairs(pairs)):
+            assert df._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+            assert sum("Exchange" in line for line in exchanged(df)) == 1
