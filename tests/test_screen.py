@@ -9,6 +9,7 @@ from auditloom import rules as R
 from auditloom.functions import text as T
 from auditloom.operators import declared as D
 from auditloom.operators import screen as S
+from auditloom.plans import bindings as B
 
 FILES = "path string, ext string, code string"
 
@@ -125,6 +126,25 @@ def test_gate_bypass(rows, files):
     assert got["a.py"] == (False, "File too small (< 100 chars)", 0)
 
 
+def test_gate_of_marked_files(spark, rows, files, tmp_path):
+    """Files of projects with their own rules pass before their texts are read or made; the rest as in two steps."""
+    rules = rows("project string, rules string", ("p1", "no print"), ("p2", ""), ("p4", None))
+    project = F.concat(F.lit("p"), (F.pmod(F.hash("path"), F.lit(4)) + 1).cast("string"))
+    owned = files.withColumn("project", project).join(
+        S.projects_with_rules(rules).withColumn("own", F.lit(True)), "project", "left").withColumn("own", F.col("own").isNotNull())
+    columns = ("project", "path", "should_audit", "reason", "risk_score")
+    want = S.gate_with_project_rules(S.gate(owned, R.CLOUD), rules).select(*columns)
+    unread = owned.withColumn("code", F.when(~F.col("own"), F.col("code")))
+    for got in (S.gate(owned, R.CLOUD, own="own"), S.gate(unread, R.CLOUD, own="own")):
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.collect()))
+    rows("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string", *[
+        (i, 7 + i % 3, "FOP"[i % 3], "1-URGENT") for i in range(6)]).write.parquet(f"{tmp_path}/orders.parquet")
+    marked = B.marked_code_files(spark, str(tmp_path), rows("project string", ("cust7",))).collect()
+    assert [(r.project == "cust7", r.own, r.code is None) for r in marked].count((True, True, True)) == 2
+    plain = {r.path: r.code for r in B.bind(spark, str(tmp_path), "code_files").collect()}
+    assert all(r.code == plain[r.path] for r in marked if not r.own) and len(marked) == len(plain) == 6
+
+
 def test_function_metrics(rows):
     body = "def f(a):\n    if a:\n        if b:\n            if c:\n                if d:\n                    x\n"
     long = "def g():\n" + "    y = 1\n" * 60
