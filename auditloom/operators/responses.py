@@ -121,20 +121,27 @@ def finding_items(responses: DataFrame) -> DataFrame:
         *responses.columns, "shape", "items")
 
 
-def confirmed_findings(items: DataFrame) -> DataFrame:
-    """One row per item that is an object with ``is_vulnerable`` literally true."""
-    rows = items.select("response_id", "path", F.posexplode("items").alias("pos", "i"))
+def told_items(items: DataFrame, *keep: str) -> DataFrame:
+    """One row per item, and one for a response without any, with ``confirmed``: it is an object with ``is_vulnerable``
+    literally true.  ``keep`` are further columns of the responses."""
+    rows = items.select("response_id", "path", *keep, F.posexplode_outer("items").alias("pos", "i"))
     i = F.col("i")
     truth = (_kind(_get(i, "$.is_vulnerable", "variant")) == "BOOLEAN") & _get(
         i, "$.is_vulnerable", "boolean")
-    return rows.where(_kind(i).startswith("OBJECT")).where(truth).select(
-        "response_id", "path", F.col("pos").alias("seq"),
+    return rows.select(
+        "response_id", "path", *keep, F.col("pos").alias("seq"),
         F.upper(F.coalesce(_get(i, "$.severity", "string"), F.lit("UNKNOWN"))).alias("severity"),
         F.coalesce(_get(i, "$.vulnerability_type", "string"),
                    F.lit("Unknown Vulnerability")).alias("vulnerability_type"),
         _get(i, "$.line_number", "int").alias("line_number"),
         F.coalesce(_get(i, "$.description", "string"),
-                   F.lit("No description provided.")).alias("description"))
+                   F.lit("No description provided.")).alias("description"),
+        F.coalesce(_kind(i).startswith("OBJECT") & truth, F.lit(False)).alias("confirmed"))
+
+
+def confirmed_findings(items: DataFrame) -> DataFrame:
+    """One row per item that is an object with ``is_vulnerable`` literally true."""
+    return told_items(items).where("confirmed").drop("confirmed")
 
 
 def actions(items: DataFrame) -> DataFrame:
