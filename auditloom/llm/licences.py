@@ -8,6 +8,9 @@ words that its hits cover, as a share of the template and of the span.  Short no
 one word tells one licence from another there; long texts by ``LONG_SHARE``.  Spans within another one are left out,
 and of equal spans all but the one with most covered words.
 
+Texts are cut into words once.  Only words of texts that hold a phrase or a gram of a template go on, as the others have
+neither places nor hits; they are written and read by both scans.
+
 Templates are bounded by their code, so they are broadcast.  Texts are never shuffled: hits carry no text, are
 added up before they move and are at most one a template for each vote; groups are bounded by a template's length
 (a diagonal) or by one text (its bands).
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from auditloom.functions.session import materialise
@@ -27,6 +31,8 @@ SHORT, LONG_SHARE, DENSITY = 20, 0.6, 0.6
 SLACK, GAP = 8, 16
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The same words by bytes of UTF-8: small letters for A-Z, a space for all other ASCII but letters and digits.
+SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
 
 #: Phrases of the base scan and their labels, fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -112,10 +118,33 @@ def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, template int, at int")
 
 
-def text_words(text: Column) -> Column:
-    """Words of a text, none of a null one."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0)),
-                      F.array().cast("array<string>"))
+def _cut(grams: set[tuple[bytes, ...]], phrases: list[bytes]):
+    """A text to (n_words, words); words are null unless a gram or a phrase stands in them."""
+    longest = {max(g, key=len) for g in grams}  # no gram stands in a text without one of these words
+
+    def holds(words: list[bytes]) -> bool:
+        if not longest.isdisjoint(words) and not grams.isdisjoint(zip(*(words[k:] for k in range(GRAM)))):
+            return True
+        line = b" %b " % b" ".join(words)
+        return any(p in line for p in phrases)
+
+    def run(texts: pa.Array) -> pa.Array:
+        n_words, kept = [], []
+        for text in texts:
+            words = (text.as_py() or b"").translate(SPACED).split()
+            n_words.append(len(words))
+            kept.append(words if holds(words) else None)
+        return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(kept, pa.list_(pa.binary()))], ["n_words", "words"])
+    return F.arrow_udf(run, "n_words long, words array<binary>")
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES,
+              templates=TEMPLATES) -> DataFrame:
+    """(id, th, n_words, words) of every row; words only of texts in which a phrase or a gram of a template stands."""
+    grams = {tuple(w.encode() for w in own[i:i + GRAM]) for _, _, own in template_words(templates) for i in range(len(own) - GRAM + 1)}
+    cut = _cut(grams, [f" {p} ".encode() for p in phrases])
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), cut(F.col(text_col).cast("binary")).alias("cut")).select(
+        "id", "th", "cut.n_words", F.col("cut.words").cast("array<string>").alias("words"))
 
 
 def phrase_places(words: str, phrases: tuple[str, ...]) -> Column:
@@ -129,20 +158,16 @@ def phrase_places(words: str, phrases: tuple[str, ...]) -> Column:
     return F.expr(f"concat({', '.join(arrays)})")
 
 
-def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """(id, th, n_words, n_base, first_word, last_word, base_labels) of every row: places of whole phrases.
+def base_scan(texts: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """(id, th, n_words, n_base, first_word, last_word, base_labels) of every row of ``cut_texts``: places of whole phrases.
 
     Phrases are small letters and digits parted by one space; a phrase of one word is allowed.
     """
     names, tags = tuple(phrases), tuple(phrases.values())
     # The space on either side keeps phrases whole; only texts that hold one are searched word by word.
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
-                        text_words(F.col(text_col)).alias("words"))
     holds = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).rlike("|".join(f" {p} " for p in names))
     none = F.array().cast("array<struct<place:int,phrase:int>>")
-    found = lines.select("id", "th", F.size("words").cast("long").alias("n_words"),
-                         F.when(holds, phrase_places("words", names)).otherwise(none).alias("places"))
+    found = texts.select("id", "th", "n_words", F.when(holds, phrase_places("words", names)).otherwise(none).alias("places"))
     label = F.transform("places", lambda p: F.element_at(F.array(*map(F.lit, tags)), p["phrase"] + 1))
     return found.select("id", "th", "n_words", F.size("places").cast("long").alias("n_base"),
                         F.array_min("places.place").cast("long").alias("first_word"),
@@ -151,14 +176,18 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
-    """(id, th, template, diagonal, first, last, ats): votes of a diagonal, the first and last place of its hits in
-    the text and the places of its hits in the template.
+    """``text_hits`` of documents."""
+    return text_hits(cut_texts(docs, id_col, text_col, {}, templates), templates)
+
+
+def text_hits(texts: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(id, th, template, diagonal, first, last, ats) of ``cut_texts``: votes of a diagonal, the first and last place of its
+    hits in the text and the places of its hits in the template.
 
     Texts are cut into chunks of words that share ``GRAM - 1`` words with the next one, so no gram is lost or twice.
     """
-    table = F.broadcast(template_grams(docs.sparkSession, templates))  # bounded by the templates in the code
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
-                        text_words(F.col(text_col)).alias("words"))
+    table = F.broadcast(template_grams(texts.sparkSession, templates))  # bounded by the templates in the code
+    words = texts.where("words IS NOT NULL").select("id", "th", "words")
     # Outer: an inner one would also filter by the size of its array, which means to build it twice.
     chunks = words.select("id", "th", F.explode_outer(F.expr(
         f"if(size(words) >= {GRAM}, transform(sequence(0, size(words) - {GRAM}, {CHUNK}), "
@@ -209,13 +238,13 @@ def bands(voted: DataFrame, templates=TEMPLATES) -> DataFrame:
                          (enough & dense).alias("accepted"))
 
 
-def licence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
-    """(id, th, spans, share) of every text with a hit: the accepted spans and the greatest share of any template.
+def licence_spans(texts: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """(id, th, spans, share) of every text of ``cut_texts`` with a hit: the accepted spans and the greatest share of any template.
 
     spans: array of (first, last, label, covered, share) by first word, without spans within another one; of equal
     spans that with more covered words stays, then with the greater share, then the first by label and template.
     """
-    found = materialise(bands(hits(docs, id_col, text_col, templates), templates), "licence-bands")
+    found = materialise(bands(text_hits(texts, templates), templates), "licence-bands")
     best = Window.partitionBy("id", "th", "accepted").orderBy(
         "first", F.desc("last"), F.desc("covered"), F.desc("share"), "label", "template").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -234,8 +263,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     arrays, null places and score 0.  Repeated rows are treated alike, null ids like any other; other columns are
     not read.
     """
-    base = base_scan(docs, id_col, text_col, phrases)
-    own = licence_spans(docs, id_col, text_col, templates).withColumnsRenamed({"id": "i", "th": "t"})
+    texts = materialise(cut_texts(docs, id_col, text_col, phrases, templates), "licence-words")
+    base = base_scan(texts, phrases)
+    own = licence_spans(texts, templates).withColumnsRenamed({"id": "i", "th": "t"})
     met = base.join(own, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int,label:string,covered:int,share:double>>"))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))

@@ -160,3 +160,21 @@ def test_grams_over_chunks(spark, monkeypatch):
     n = len(licences.words_of(NOTICE))
     longest = next(k for k, (_, t) in enumerate(licences.TEMPLATES) if t == NOTICE)
     assert {r.diagonal for r in voted if r.template == longest and len(r.ats) == n - 3} == {2, 3 + n}
+
+
+def test_words_of_texts_are_cut_once(spark, monkeypatch):
+    """Texts are read by one scan; the words are those of the pattern, and only texts with a phrase or a gram keep them."""
+    texts = ["", None, "MIT LicensÉ Key_value,x y 1\x00b", "All under the mit/License!", "nothing to see here",
+             "x Permission is hereby, GRANTED y", "granted permission hereby is"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = licences.cut_texts(docs).orderBy("id").collect()
+    assert [r.n_words for r in cut] == [len(licences.words_of(t or "")) for t in texts]
+    assert [r.words for r in cut] == [licences.words_of(t) if k in (3, 5) else None for k, t in enumerate(texts)]
+    plans, real = [], licences.materialise
+    monkeypatch.setattr(licences, "materialise", lambda df, purpose: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or real(df, purpose))
+    found = licences.scan(docs).orderBy("id")
+    read = [p.count("text#") > 0 for p in (*plans, found._jdf.queryExecution().executedPlan().toString())]
+    assert read == [True, False, False]
+    assert [(r.n_base, r.labels, r.score > 0) for r in found.collect()] == [
+        (0, [], False)] * 3 + [(1, ["mit"], True), (0, [], False), (0, [], True), (0, [], False)]
